@@ -64,7 +64,6 @@ def main():
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
-            traceback.print_exc(limit=3)
             bad += 1
             continue
         ts = time.time() - t0

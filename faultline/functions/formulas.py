@@ -142,6 +142,32 @@ def chi2_pvalue(a: str, b: str, c: str, d: str) -> str:
     return f"(CASE WHEN least({a}, {b}, {c}, {d}) >= 1 THEN {p} ELSE NULL END)"
 
 
+def chi2_pvalue_staged(df, a: str, b: str, c: str, d: str, out: str, prefix: str = "_chi"):
+    """Same value as :func:`chi2_pvalue`, built in steps (chi² → x → t → p) so each
+    generated expression stays small enough for whole-stage codegen."""
+    x, t = f"{prefix}_x", f"{prefix}_t"
+    df = df.withColumn(x, F.expr(f"sqrt({yates_chi2(a, b, c, d)} / 2e0)"))
+    df = df.withColumn(t, F.expr(f"1e0 / (1e0 + 5e-1 * `{x}`)"))
+    horner = lit(ERFC_COEFFS[-1])
+    for coef in reversed(ERFC_COEFFS[1:-1]):
+        horner = f"({lit(coef)} + `{t}` * {horner})"
+    p = f"(`{t}` * exp(-`{x}` * `{x}` + {lit(ERFC_COEFFS[0])} + `{t}` * {horner}))"
+    df = df.withColumn(out, F.expr(f"CASE WHEN least({a}, {b}, {c}, {d}) >= 1 THEN {p} ELSE NULL END"))
+    return df.drop(x, t)
+
+
+def chi2_pvalue_sql_steps(a: str, b: str, c: str, d: str) -> tuple[str, str, str]:
+    """The three staged expressions of :func:`chi2_pvalue_staged` for SQL (x, t, p over
+    columns named ``_chi_x`` / ``_chi_t``)."""
+    x = f"sqrt({yates_chi2(a, b, c, d)} / 2e0)"
+    t = "1e0 / (1e0 + 5e-1 * `_chi_x`)"
+    horner = lit(ERFC_COEFFS[-1])
+    for coef in reversed(ERFC_COEFFS[1:-1]):
+        horner = f"({lit(coef)} + `_chi_t` * {horner})"
+    p = f"(`_chi_t` * exp(-`_chi_x` * `_chi_x` + {lit(ERFC_COEFFS[0])} + `_chi_t` * {horner}))"
+    return x, t, f"CASE WHEN least({a}, {b}, {c}, {d}) >= 1 THEN {p} ELSE NULL END"
+
+
 def saturate(x: str, scale: float) -> str:
     return f"(CASE WHEN ({x}) > 0e0 THEN 1e0 - exp(-({x}) / {lit(scale)}) ELSE 0e0 END)"
 

@@ -30,4 +30,5 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from faultline.plans import investigate_plans, kpi_plans, pattern_plans, trend_plans  # noqa: F401
+    from faultline.plans import (findings_plans, investigate_plans, kpi_plans,  # noqa: F401
+                                 pattern_plans, trend_plans)

@@ -30,5 +30,6 @@ def register(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every plan module so its queries register themselves."""
-    from faultline.plans import (findings_plans, ingest_plans, investigate_plans, kpi_plans,  # noqa: F401
+    from faultline.plans import (cluster_plans, findings_plans, ingest_plans,  # noqa: F401
+                                 investigate_plans, kpi_plans,
                                  pattern_plans, trend_plans)

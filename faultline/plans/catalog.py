@@ -32,4 +32,4 @@ def load_all() -> None:
     """Import every plan module so its queries register themselves."""
     from faultline.plans import (cluster_plans, findings_plans, ingest_plans,  # noqa: F401
                                  investigate_plans, kpi_plans,
-                                 pattern_plans, trend_plans)
+                                 pattern_plans, streaming_plans, trend_plans)

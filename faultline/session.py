@@ -46,3 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="faultline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``faultline`` importable in Python workers (pandas UDFs / state functions
+    defined in the package are pickled by reference): zip it once and ``addPyFile``."""
+    import shutil
+    import sys
+
+    sc = spark.sparkContext
+    if getattr(sc, "_faultline_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="faultline-pkg-", dir=os.environ.get("TMPDIR", "/tmp"))
+    archive = shutil.make_archive(os.path.join(out, "faultline"), "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir="faultline")
+    sc.addPyFile(archive)
+    sc._faultline_shipped = True
+    if os.path.dirname(pkg) not in sys.path:
+        sys.path.insert(0, os.path.dirname(pkg))

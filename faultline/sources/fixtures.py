@@ -95,7 +95,12 @@ JOIN part     ON l_partkey = p_partkey"""
 
 
 def event_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    return event_view(table(spark, sf_dir, "events"))
+
+
+def event_view(ev: DataFrame) -> DataFrame:
+    """Canonical columns over an events frame (batch or streaming)."""
+    ev = ev.select("event_id", "ts", "user_id", "event_type", "value")
     h = F.hour("ts")
     return ev.select(
         F.concat(F.lit("EV-"), F.col("event_id").cast("string")).alias("inspection_id"),

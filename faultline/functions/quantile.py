@@ -41,10 +41,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], p: float) -> dict[str, float
         return {}
     long = _long(df, cols)
     delta = 2.0 / ACCURACY
-    stats = {r["param"]: r for r in long.groupBy("param").agg(
-        F.count("v").alias("n"), F.min("v").alias("lo_v"), F.max("v").alias("hi_v"),
-        F.percentile_approx("v", [max(0.0, p - delta), min(1.0, p + delta)], ACCURACY).alias("br"),
-    ).collect()}
+    # pass 1: one aggregate, no reshaping — count, min, max and a sketch per column
+    aggs = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
+                 F.percentile_approx(v, [max(0.0, p - delta), min(1.0, p + delta)], ACCURACY).alias(f"br{i}")]
+    r1 = df.agg(*aggs).first()
+    stats = {c: {"n": r1[f"n{i}"], "lo_v": r1[f"lo{i}"], "hi_v": r1[f"hi{i}"], "br": r1[f"br{i}"]}
+             for i, c in enumerate(cols)}
     out: dict[str, float | None] = {c: None for c in cols}
     todo: dict[str, dict] = {}
     for c in cols:
@@ -65,16 +70,15 @@ def exact_quantiles(df: DataFrame, cols: list[str], p: float) -> dict[str, float
     for _ in range(MAX_ROUNDS):
         if not todo:
             break
-        cond = F.lit(False)
-        for c, t in todo.items():
-            cond = cond | (F.col("param") == c)
-        sub = long.where(cond)
-        lo_of = F.create_map(*[x for c, t in todo.items() for x in (F.lit(c), F.lit(t["lo"]))])[F.col("param")]
-        hi_of = F.create_map(*[x for c, t in todo.items() for x in (F.lit(c), F.lit(t["hi"]))])[F.col("param")]
-        counts = {r["param"]: r for r in sub.groupBy("param").agg(
-            F.sum(F.when(F.col("v") < lo_of, 1).otherwise(0)).alias("below"),
-            F.sum(F.when((F.col("v") >= lo_of) & (F.col("v") <= hi_of), 1).otherwise(0)).alias("inside"),
-        ).collect()}
+        # pass 2: rows below / inside each bracket, one aggregate over the wide rows
+        names = list(todo)
+        aggs = []
+        for i, c in enumerate(names):
+            v, t = F.col(c).cast("double"), todo[c]
+            aggs += [F.sum(F.when(v < t["lo"], 1).otherwise(0)).alias(f"b{i}"),
+                     F.sum(F.when((v >= t["lo"]) & (v <= t["hi"]), 1).otherwise(0)).alias(f"i{i}")]
+        r2 = df.agg(*aggs).first()
+        counts = {c: {"below": r2[f"b{i}"], "inside": r2[f"i{i}"]} for i, c in enumerate(names)}
         ready, narrow = {}, {}
         for c, t in list(todo.items()):
             below, inside = counts[c]["below"], counts[c]["inside"]

@@ -33,7 +33,6 @@ K_RANGE = (3, 5)
 RESTARTS = 10
 SEED = 42
 DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DBSCAN_MIN_ROWS = 0.9, 5, 15
-BLOCK_DIMS = 3            # grid blocking on the first three scaled features (3^3 neighbour cells)
 MAX_ITER = 50
 
 
@@ -54,12 +53,13 @@ def window_features(df: DataFrame) -> DataFrame:
 
 
 def standardize(feat: DataFrame, cols=NUM_FEATURES) -> DataFrame:
-    """M-2: zero mean, unit *population* std per feature; constant features → 0."""
-    stats = feat.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    """M-2: zero mean, unit *population* std per feature; constant features → 0.
+    The 2 × 6 moments come back in one small job and enter the plan as literals."""
+    st = feat.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     out = feat
     for c in cols:
-        m, s = stats.select(f"m_{c}").scalar(), stats.select(f"s_{c}").scalar()
-        out = out.withColumn(f"z_{c}", F.when(s > 0, (F.col(c) - m) / s).otherwise(F.lit(0.0)))
+        m, s = st[f"m_{c}"], st[f"s_{c}"]
+        out = out.withColumn(f"z_{c}", ((F.col(c) - F.lit(m)) / F.lit(s)) if s else F.lit(0.0))
     return out
 
 
@@ -69,9 +69,10 @@ def _key(df: DataFrame) -> DataFrame:
 
 def scaled_features(df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """M-1 + M-2 + assembled vector, shared by K-means and DBSCAN (M-9)."""
-    z = _key(standardize(window_features(df)))
-    z = VectorAssembler(inputCols=[f"z_{c}" for c in NUM_FEATURES], outputCol="features").transform(z)
-    return z.checkpoint() if checkpoint else z.cache()
+    feat = window_features(df)
+    feat = feat.checkpoint() if checkpoint else feat.cache()   # bounded table, read by every model
+    z = _key(standardize(feat))
+    return VectorAssembler(inputCols=[f"z_{c}" for c in NUM_FEATURES], outputCol="features").transform(z)
 
 
 def pca_2d(z: DataFrame):
@@ -148,42 +149,49 @@ def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_
            cols=NUM_FEATURES) -> DataFrame:
     """M-8: DBSCAN on the scaled features, Euclidean, self counted in ``min_samples``.
 
-    1. blocking: cell = floor(z / eps) on the first three features; a point is
-       compared only with points of the 27 neighbouring cells (exact: a neighbour
-       within eps differs by < eps in every coordinate);
+    1. blocking: cell = floor(z / eps) in every dimension; a point is compared only
+       with points of the 3^d neighbouring cells (exact: a neighbour within eps
+       differs by ≤ eps in every coordinate, so its cell differs by at most one);
     2. core points: ≥ ``min_samples`` neighbours (self included);
     3. clusters: connected components of core points by iterative min-label
        propagation (checkpointed every round, stops when no label changes);
     4. border points take the smallest label among adjacent cores; the rest is noise
        (−1).  Clusters are numbered 0.. by their smallest point key."""
     zc = [f"z_{c}" for c in cols]
-    blk = zc[:BLOCK_DIMS]
-    pts = z.select("pid", *zc, *[F.floor(F.col(c) / eps).alias(f"cell{i}") for i, c in enumerate(blk)])
-    offsets = list(itertools.product((-1, 0, 1), repeat=len(blk)))
-    probe = pts.select("pid", *zc, F.explode(F.array(*[
-        F.struct(*[(F.col(f"cell{i}") + o[i]).alias(f"cell{i}") for i in range(len(blk))]) for o in offsets]))
-        .alias("nc")).select("pid", *zc, *[F.col(f"nc.cell{i}").alias(f"cell{i}") for i in range(len(blk))])
-    a = probe.select(F.col("pid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in zc],
-                     *[f"cell{i}" for i in range(len(blk))])
-    b = pts.select(F.col("pid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in zc],
-                   *[f"cell{i}" for i in range(len(blk))])
+    cells = [f"cell{i}" for i in range(len(zc))]
+    pts = z.select("pid", *zc, *[F.floor(F.col(c) / eps).alias(cell) for c, cell in zip(zc, cells)])
+    # neighbour cells: one small explode per dimension (3^d keys per point in total)
+    probe = pts
+    for cell in cells:
+        probe = probe.withColumn(cell, F.explode(F.array(F.col(cell) - 1, F.col(cell), F.col(cell) + 1)))
+    a = probe.select(F.col("pid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in zc], *cells)
+    b = pts.select(F.col("pid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in zc], *cells)
     d2 = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in zc)
-    edges = a.join(b, [f"cell{i}" for i in range(len(blk))]).where(d2 <= eps * eps).select("a", "b")
+    edges = a.join(b, cells).where(d2 <= eps * eps).select("a", "b")
     edges = edges.checkpoint()
     deg = edges.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("pid"))
     core_edges = (edges.join(core.withColumnRenamed("pid", "a"), "a", "left_semi")
                        .join(core.withColumnRenamed("pid", "b"), "b", "left_semi"))
-    labels = core.withColumn("label", F.col("pid"))
+    # connected components by contraction: every core point first takes the smallest
+    # core id among its neighbours (self included); afterwards only the *contracted*
+    # graph (distinct label pairs, which shrinks every round) is iterated, never the
+    # full edge list again
+    labels = core_edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "pid").checkpoint()
+    g = (core_edges.join(labels.withColumnRenamed("pid", "a").withColumnRenamed("label", "la"), "a")
+                   .join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
+                   .where(F.col("la") != F.col("lb")).select("la", "lb").distinct()).checkpoint()
     for _ in range(MAX_ITER):
-        prop = (core_edges.join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
-                          .groupBy("a").agg(F.min("lb").alias("cand")))
-        new = (labels.join(prop.withColumnRenamed("a", "pid"), "pid", "left")
-                     .select("pid", F.least("label", F.coalesce("cand", "label")).alias("label"))).checkpoint()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "pid").where(F.col("label") != F.col("old")).count()
-        labels = new
-        if changed == 0:
+        if g.isEmpty():
             break
+        step = g.groupBy("la").agg(F.least(F.col("la"), F.min("lb")).alias("nl")).withColumnRenamed("la", "old")
+        labels = (labels.join(step.withColumnRenamed("old", "label"), "label", "left")
+                        .select("pid", F.coalesce("nl", "label").alias("label"))).checkpoint()
+        g = (g.join(step.withColumnRenamed("old", "la"), "la", "left")
+              .select(F.coalesce("nl", "la").alias("la"), "lb")
+              .join(step.withColumnRenamed("old", "lb"), "lb", "left")
+              .select("la", F.coalesce("nl", "lb").alias("lb"))
+              .where(F.col("la") != F.col("lb")).distinct()).checkpoint()
     border = (edges.join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
                    .join(core.withColumnRenamed("pid", "a"), "a", "left_anti")
                    .groupBy("a").agg(F.min("lb").alias("label")).withColumnRenamed("a", "pid"))

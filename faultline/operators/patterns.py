@@ -277,7 +277,7 @@ def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
     s = s.withColumn("rank", F.row_number().over(w).cast("bigint"))
     # presentation after the window: a fresh code-generation stage
     score_part = lambda k: X.spark(f"CAST({X.round_half_up(f'({parts[k]}) * 1e2', 0)} AS BIGINT)")
-    return s.select(
+    out = s.select(
         F.when(F.col("rank") <= TOP_IDS, F.format_string("P-%03d", F.col("rank"))).alias("pattern_id"), "rank",
         "skey", "combo_idx", *[F.col(d) for d in space.dims], *describe(space),
         "factor_count", (F.col("factor_count") >= 2).alias("is_multi_factor"),
@@ -303,6 +303,9 @@ def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
         "affected_batch_id", "affected_shift", "affected_machine_id",
         *[F.col(c) for c in ("lift_raw", "p_raw", "r_in", "r_out", "u_out", "d_out", "recurrence_raw")],
         *_param_stats(space))
+    # one row per qualifying slice (≤ 18,400): materialise once so recommendations,
+    # evidence and exports do not re-run the mining passes
+    return out.checkpoint() if checkpoint else out
 
 
 def _param_stats(space: MiningSpace) -> list[Column]:

@@ -117,7 +117,8 @@ def change_points(series: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("idx", "defect_rate"))).alias("rs"),
         F.min(F.when(F.col("cusum_flag") == 1, F.col("idx"))).alias("cp_idx"))
     cp = series.where(F.col("cusum_flag") == 1).groupBy(*keys).agg(
-        F.min_by(F.struct("idx", "period", "period_start", "cusum_pos", "cusum_neg"), F.col("idx")).alias("c"))
+        F.min_by(F.struct("idx", "period", "period_start", "cusum_pos", "cusum_neg"), F.col("idx")).alias("c")
+    ).where(F.col("c").isNotNull())          # a global aggregate yields one row even without flags
     j = cp.join(pts, list(keys), "inner") if keys else \
         cp.withColumn("_one", F.lit(1)).join(pts.withColumn("_one", F.lit(1)), "_one")
     before = ("aggregate(slice(transform(rs, x -> x.defect_rate), greatest(1, CAST(cp_idx AS INT) - "

@@ -99,7 +99,7 @@ ev AS (
 
 
 def _findings_sql(select: str) -> str:
-    return with_views(f"WITH {PP._mining_ctes()},\n{_pattern_view_sql()},\n{_rules_sql()}\n{select}")
+    return with_views(f"WITH {PP._mining_ctes()},\n{_pattern_view_sql()},\n{_rules_sql()}\n{select.strip()}")
 
 
 def _all(spark, sf):
@@ -155,12 +155,31 @@ def r12(spark, sf):
 
 
 # ---------------------------------------------------------------- R-7 / R-9 / R-10 / R-11 / C-9
-@register("r07_contribution_evidence")
+def _r07_sql() -> str:
+    from faultline.plans.investigate_plans import _contribution_sql
+    v = dict(f="factor", v="factor_value", dt="'STANDARD'", rin="CAST(defect_rate_in AS VARCHAR)",
+             base="CAST(baseline_rate AS VARCHAR)", lift="CAST(lift AS VARCHAR)", p="p_display")
+    return f"""SELECT rank, factor, factor_value, {_fmt_sql(R.CONTRIB_FINDING, **v)} AS finding,
+       CAST(defect_rate_in AS VARCHAR) || '%' AS ev_slice_rate, CAST(baseline_rate AS VARCHAR) || '%' AS ev_baseline_rate,
+       CAST(lift AS VARCHAR) || 'x' AS ev_lift, 'n=' || format('{{:,}}', sample_size) AS ev_sample_size,
+       '{R.STATISTICAL_TEST}' AS ev_statistical_test, p_display AS ev_p_value,
+       CASE WHEN p_value < 0.01 THEN 'High' WHEN p_value < 0.05 THEN 'Moderate' ELSE 'Low' END AS ev_confidence_label,
+       {_fmt_sql(R.CONTRIB_INTERPRETATION, **v)} AS interpretation, '{R.DISCLAIMER}' AS disclaimer
+FROM ({_contribution_sql()}) c"""
+
+
+@register("r07_contribution_evidence", _r07_sql())
 def r07(spark, sf):
     return R.contribution_evidence(C.contribution(inspections(spark, sf), "STANDARD"), "STANDARD")
 
 
-@register("c09_top_evidence_for_type")
+@register("c09_top_evidence_for_type", _findings_sql("""
+, dom_t AS (SELECT defect_type FROM patv WHERE pattern_id IS NOT NULL GROUP BY defect_type
+            ORDER BY count(*) DESC, defect_type LIMIT 1)
+SELECT p.pattern_id, p.pattern_score, p.rank, ev.* EXCLUDE (pattern_id)
+FROM patv p JOIN ev ON p.pattern_id = ev.pattern_id, dom_t
+WHERE lower(p.defect_type) = lower(dom_t.defect_type)
+ORDER BY p.pattern_score DESC, p.rank LIMIT 4"""))
 def c09(spark, sf):
     pats, _, ev = _all(spark, sf)
     dominant = pats.where(F.col("pattern_id").isNotNull()).groupBy("defect_type").count() \
@@ -168,7 +187,15 @@ def c09(spark, sf):
     return C.top_evidence_for_type(pats, ev, dominant)
 
 
-@register("r11_report_sections")
+@register("r11_report_sections", _findings_sql("""
+, split AS (SELECT *, row_number() OVER (PARTITION BY factor_count >= 2 ORDER BY rank) AS kind_rank FROM patv)
+SELECT 'multi_factor_patterns' AS section, kind_rank AS position, pattern_id, description AS item,
+       pattern_score AS score FROM split WHERE factor_count >= 2 AND kind_rank <= 10
+UNION ALL
+SELECT 'single_factor_signals', kind_rank, pattern_id, description, pattern_score FROM split
+WHERE factor_count < 2 AND kind_rank <= 8
+UNION ALL
+SELECT 'recommendations', rec_rank, pattern_id, text, priority_score FROM recs25 WHERE rec_rank <= 10"""))
 def r11(spark, sf):
     pats, recs, _ = _all(spark, sf)
     return R.report_sections(pats, recs)

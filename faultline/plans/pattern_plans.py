@@ -273,7 +273,27 @@ def p17(spark, sf):
 
 
 # ---------------------------------------------------------------- P-9
-@register("p09_type_restricted_patterns")
+def _p09_sql() -> str:
+    t = TYPE_FOR_P09
+    return with_views(f"""WITH {_mining_ctes()},
+tt AS (SELECT skey, tu, td FROM (
+         SELECT {_skey_sql()} AS skey, tu, td, {", ".join(f"g_{d}" for d in DIMS)}, {", ".join(DIMS)}
+         FROM (SELECT {", ".join(DIMS)}, {_grouping_cols()}, sum(units_inspected) AS tu, sum(defect_count) AS td
+               FROM rws WHERE defect_type = '{t}' GROUP BY GROUPING SETS ({_gsets()})))
+       WHERE {_valid_sql()}),
+ttot AS (SELECT sum(units_inspected) AS type_tot_u, sum(defect_count) AS type_tot_d FROM rws WHERE defect_type = '{t}'),
+r9 AS (SELECT sc.*, tt.tu, tt.td, ttot.* FROM sc JOIN tt USING (skey), ttot WHERE tt.tu >= sc.min_units),
+r9b AS (SELECT *, CAST(td AS DOUBLE) / CAST(greatest(1, tu) AS DOUBLE) AS r_in_dt,
+               CASE WHEN type_tot_u - tu >= min_units THEN CAST(type_tot_d - td AS DOUBLE) /
+                    CAST(greatest(1, type_tot_u - tu) AS DOUBLE) ELSE global_rate END AS r_out_dt FROM r9),
+r9c AS (SELECT *, CASE WHEN r_out_dt > 0 THEN r_in_dt / r_out_dt END AS lift_dt FROM r9b)
+SELECT {DESCRIPTION_SQL}, '{t}' AS defect_type, {Q(X.round_half_up('"r_in_dt" * 1e2', 2))} AS slice_rate,
+       {Q(X.round_half_up('"r_out_dt" * 1e2', 2))} AS baseline_rate, {Q(X.round_half_up('"lift_dt"', 2))} AS lift,
+       {Q(X.composite_score({k: f'"sc_{k}"' for k in ("lift", "significance", "sample_size", "recurrence", "effect_size")}))} AS pattern_score
+FROM r9c, thr WHERE lift_dt IS NOT NULL AND lift_dt >= 1.0""")
+
+
+@register("p09_type_restricted_patterns", _p09_sql())
 def p09(spark, sf):
     return _patterns(spark, sf, defect_type=TYPE_FOR_P09).select(
         "description", "defect_type", "slice_rate", "baseline_rate", "lift", "pattern_score")

@@ -82,10 +82,6 @@ def _series_sql(cols: str, source="inspections", key=None, events=False) -> str:
     return with_views(f"WITH {_series_ctes(source, key)}\nSELECT {cols} FROM fs", events=events)
 
 
-def _series_select(spark_df, cols):
-    return spark_df.select(*cols)
-
-
 # ------------------------------------------------------------------ T-2
 @register("t02_adaptive_grain_trend", _series_sql(
     "idx, period, period_start, units, defects, defect_rate"))
@@ -104,7 +100,6 @@ def t02b(spark, sf):
 # ------------------------------------------------------------------ T-3
 @register("t03_ewma", _series_sql(f"idx, period, {_r('ewma', 10)} AS ewma"))
 def t03(spark, sf):
-    from pyspark.sql import functions as F
     s = trend.trend_series(inspections(spark, sf))
     return s.select("idx", "period", X.spark(X.round_half_up("`ewma`", 10)).alias("ewma"))
 
@@ -212,7 +207,47 @@ def t09b(spark, sf):
 
 
 # ------------------------------------------------------------------ T-10
-@register("t10_trend_interpretation")
+def _pct_sql(x: str) -> str:
+    return Q(X.fixed_text(f"({x}) * 1e2", 2))
+
+
+def _t10_sql() -> str:
+    before = _r('list_reduce(list_slice(r.r, greatest(1, f.idx - 14 + 1), f.idx), lambda a, x: a + x, 0e0) / CAST(f.idx - greatest(0, f.idx - 14) AS DOUBLE)')
+    after = _r('list_reduce(list_slice(r.r, f.idx + 1, len(r.r)), lambda a, x: a + x, 0e0) / CAST(len(r.r) - f.idx AS DOUBLE)')
+    cusum = _r('CASE WHEN f.cusum_pos > 5e0 THEN f.cusum_pos ELSE -f.cusum_neg END', 6)
+    return with_views(f"""WITH {_series_ctes()},
+first_cp AS (SELECT * FROM (SELECT fs.*, row_number() OVER (ORDER BY idx) AS rk FROM fs WHERE cusum_flag = 1) WHERE rk = 1),
+rr AS (SELECT list(defect_rate ORDER BY idx) AS r, list(period ORDER BY idx) AS per, count(*) AS n FROM fs),
+cpv AS (SELECT f.period_start AS cp_date, {before} AS before_rate, {after} AS after_rate, {cusum} AS cusum_value
+        FROM first_cp f, rr r),
+st AS (SELECT n, greatest(1, CAST(floor(n / 2) AS INTEGER)) AS half, r, per FROM rr),
+st2 AS (SELECT *, list_reduce(list_slice(r, 1, half), lambda a, x: a + x, 0e0) / CAST(half AS DOUBLE) AS h1,
+               list_reduce(list_slice(r, half + 1, n), lambda a, x: a + x, 0e0) / CAST(n - half AS DOUBLE) AS h2,
+               list_reduce(r, lambda a, x: a + x, 0e0) / CAST(n AS DOUBLE) AS m,
+               list_max(r) AS peak_rate, per[list_position(r, list_max(r))] AS peak_period FROM st),
+k AS (SELECT st2.*, cpv.*, CASE WHEN cp_date IS NOT NULL THEN 'change_point'
+                                WHEN h2 > h1 * 1.15e0 THEN 'increasing' WHEN h1 > h2 * 1.15e0 THEN 'decreasing'
+                                ELSE 'stable' END AS trend
+      FROM st2 LEFT JOIN cpv ON true)
+SELECT trend, peak_period, {_r('peak_rate', 8)} AS peak_rate,
+       CASE WHEN trend = 'change_point' THEN 'A change-point was detected on ' || strftime(cp_date, '%Y-%m-%d')
+              || ' (CUSUM shift score ' || {Q(X.fixed_text('"cusum_value"', 1))} || '). Defect rate shifted from '
+              || {_pct_sql('"before_rate"')} || '% prior to ' || {_pct_sql('"after_rate"')}
+              || '% following the shift. The peak defect rate of ' || {_pct_sql('"peak_rate"')} || '% occurred on '
+              || peak_period || '.'
+            WHEN trend = 'increasing' THEN 'Defect rates increased during the latter portion of the observation window (second-half average '
+              || {_pct_sql('"h2"')} || '% vs first-half average ' || {_pct_sql('"h1"')} || '%). The peak defect rate of '
+              || {_pct_sql('"peak_rate"')} || '% occurred on ' || peak_period || '.'
+            WHEN trend = 'decreasing' THEN 'Defect rates decreased over the observation window (first-half average '
+              || {_pct_sql('"h1"')} || '% vs second-half average ' || {_pct_sql('"h2"')}
+              || '%). The highest historical defect rate of ' || {_pct_sql('"peak_rate"')} || '% occurred on '
+              || peak_period || '.'
+            ELSE 'Defect rates remained stable across the observation window (average ' || {_pct_sql('"m"')}
+              || '%). Minor variation peaked at ' || {_pct_sql('"peak_rate"')} || '% on ' || peak_period || '.' END AS text
+FROM k""")
+
+
+@register("t10_trend_interpretation", _t10_sql())
 def t10(spark, sf):
     df = inspections(spark, sf)
     s = trend.trend_series(df)

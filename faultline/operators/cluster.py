@@ -11,6 +11,7 @@ propagation — no all-pairs product and nothing collected to the driver.
 from __future__ import annotations
 
 import itertools
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -90,14 +91,19 @@ def kmeans_sweep(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS):
     """M-4 / M-5: for each k, the best of ``restarts`` seeded runs (lowest cost); k chosen
     by silhouette.  Spark's evaluator uses squared Euclidean distance (linear cost);
     the exact Euclidean silhouette would need every pair of windows."""
+    z = z.select("features").cache()      # bounded feature table, read by every iteration of every fit
     n = z.count()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
     rows, best = [], None
     for k in range(k_range[0], k_range[1] + 1):
         if k >= n:
             continue
-        models = [KMeans(k=k, seed=SEED + r, featuresCol="features", predictionCol="cluster", maxIter=50).fit(z)
-                  for r in range(restarts)]
+        # the restarts are independent: submit them concurrently (each fit is a chain of
+        # small jobs, so one at a time leaves the cluster idle)
+        with ThreadPoolExecutor(max_workers=restarts) as pool:
+            models = list(pool.map(lambda r, k=k: KMeans(k=k, seed=SEED + r, featuresCol="features",
+                                                            predictionCol="cluster", maxIter=50).fit(z),
+                                   range(restarts)))
         model = min(models, key=lambda m: m.summary.trainingCost)
         sil = ev.evaluate(model.transform(z))
         rows.append((k, float(sil), float(model.summary.trainingCost)))
@@ -135,6 +141,7 @@ def kmeans_clustering(df: DataFrame):
     """M-3..M-7: returns (sweep rows, profiles, labelled points, explained variance)."""
     z = scaled_features(df)
     z, var = pca_2d(z)
+    z = z.cache()
     sweep, best = kmeans_sweep(z)
     if best is None:
         return sweep, None, None, var

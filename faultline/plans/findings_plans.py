@@ -139,15 +139,15 @@ def s05(spark, sf):
 # ---------------------------------------------------------------- R-12
 @register("r12_causal_language_audit", _findings_sql("""
 SELECT 'recommendations' AS source, count(*) AS rows_checked,
-       sum(CASE WHEN contains(replace(lower(concat_ws(' ', pattern_id, category, priority, priority_key, text)),
-            'does not establish that the listed factors caused', ''), 'caused') THEN 1 ELSE 0 END) AS caused_mentions
+       CAST(sum(CASE WHEN contains(replace(lower(concat_ws(' ', pattern_id, category, priority, priority_key, text)),
+            'does not establish that the listed factors caused', ''), 'caused') THEN 1 ELSE 0 END) AS BIGINT) AS caused_mentions
 FROM recs25
 UNION ALL
 SELECT 'evidence', count(*),
-       sum(CASE WHEN contains(replace(lower(concat_ws(' ', pattern_id, finding, ev_slice_rate, ev_baseline_rate, ev_lift,
+       CAST(sum(CASE WHEN contains(replace(lower(concat_ws(' ', pattern_id, finding, ev_slice_rate, ev_baseline_rate, ev_lift,
             ev_sample_size, ev_date_range, ev_affected_batches, ev_affected_shifts, ev_statistical_test, ev_p_value,
             ev_confidence_label, interpretation, recommendation, recommendation_category, disclaimer)),
-            'does not establish that the listed factors caused', ''), 'caused') THEN 1 ELSE 0 END)
+            'does not establish that the listed factors caused', ''), 'caused') THEN 1 ELSE 0 END) AS BIGINT)
 FROM ev"""))
 def r12(spark, sf):
     pats, recs, ev = _all(spark, sf)

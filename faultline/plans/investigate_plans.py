@@ -13,7 +13,8 @@ PARAMS = ["temperature", "pressure", "speed", "vibration", "humidity"]
 
 
 @register("c01_target_baseline", with_views(f"""
-SELECT '{TYPE}' AS defect_type, target_units, target_defects,
+SELECT '{TYPE}' AS defect_type, CAST(target_units AS BIGINT) AS target_units,
+       CAST(target_defects AS BIGINT) AS target_defects,
        {Q(X.rate_pct('"target_defects"', '"target_units"'))} AS target_rate,
        {Q(X.round_half_up(X.safe_div('"d" * 1e2', '"u"', '0e0'), 2))} AS baseline_rate
 FROM (SELECT sum(CASE WHEN defect_type = '{TYPE}' THEN units_inspected ELSE 0 END) AS target_units,

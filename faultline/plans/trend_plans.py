@@ -106,7 +106,7 @@ def t03(spark, sf):
 
 # ------------------------------------------------------------------ T-4 / T-5
 @register("t04_rolling_zscore_spikes", _series_sql(
-    f"idx, period, b, {_r('z_trend', 6)} AS z_trend, spike_flag"))
+    f"idx, period, CAST(b AS BIGINT) AS b, {_r('z_trend', 6)} AS z_trend, spike_flag"))
 def t04(spark, sf):
     s = trend.trend_series(inspections(spark, sf))
     return s.select("idx", "period", "b", X.spark(X.round_half_up("`z_trend`", 6)).alias("z_trend"), "spike_flag")

@@ -81,8 +81,10 @@ def contribution(df: DataFrame, defect_type: str, reference_cells: bool = False,
     tot = df.agg(F.sum(F.when(is_t, F.col("units_inspected")).otherwise(0)).alias("tu"),
                  F.sum(F.when(is_t, F.col("defect_count")).otherwise(0)).alias("td"),
                  X.spark(X.safe_div("sum(defect_count)", "sum(units_inspected)", "0e0")).alias("gr"))
-    levels = Window.partitionBy("factor_col")   # over the (factor, value) table: ≤ 40 rows per factor kept
-    g = (g.withColumn("levels", F.count(F.lit(1)).over(levels))
+    # number of values per factor: a grouped count joined back (one row per factor) —
+    # a window partitioned by factor would put all values of a wide factor in one task
+    levels = g.groupBy("factor_col").agg(F.count(F.lit(1)).alias("levels"))
+    g = (g.join(F.broadcast(levels), "factor_col")          # ≤ one row per factor (8): bounded
           .withColumn("target_units", tot.select("tu").scalar())
           .withColumn("target_defects", tot.select("td").scalar())
           .withColumn("global_rate", tot.select("gr").scalar()))
@@ -140,17 +142,34 @@ def mutual_information(df: DataFrame, defect_type: str, bins: int = MI_BINS) ->
               .withColumn("rank", F.row_number().over(w).cast("bigint")))
 
 
+def ordinal_encode(df: DataFrame, col: str, out: str) -> DataFrame:
+    """Alphabetical 0-based code of ``col`` without gathering its values anywhere: the
+    distinct values are range-sorted across the cluster, numbered by per-partition
+    offsets, and joined back (shuffle join; the code table grows with the values)."""
+    from faultline.operators.ingest import with_position
+    codes = with_position(df.select(F.col(col).cast("string").alias("_v")).distinct().orderBy("_v"))
+    codes = codes.select(F.col("_v").alias(col), F.col("_pos").cast("double").alias(out))
+    return df.join(codes, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(-1.0)))
+
+
 def feature_frame(df: DataFrame, defect_type: str | None = None):
     """C-4: ordinal-encoded categoricals (alphabetical, unseen → extra index), numerics
     with nulls replaced by the median, assembled into one vector column."""
     params = [p for p in PARAMS if p in df.columns]
     idx_cols = [f"{c}_idx" for c in CATS]
+    # StringIndexer keeps its label list on the driver: fine for a bounded number of
+    # values; wider columns get the distributed ordinal encoder (treated as numbers)
+    levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in CATS]).first()
+    wide = [c for c in CATS if levels[c] > MAX_TREE_CATEGORIES]
+    for c in wide:
+        df = ordinal_encode(df, c, f"{c}_idx")
     stages = [StringIndexer(inputCol=c, outputCol=o, stringOrderType="alphabetAsc", handleInvalid="keep")
-              for c, o in zip(CATS, idx_cols)]
+              for c, o in zip(CATS, idx_cols) if c not in wide]
     imp_cols = [f"{p}_imp" for p in params]
     stages.append(Imputer(inputCols=params, outputCols=imp_cols, strategy="median"))
     stages.append(VectorAssembler(inputCols=idx_cols + imp_cols, outputCol="features"))
-    src = df.select(*CATS, *[F.col(p).cast("double").alias(p) for p in params], "defect_type")
+    src = df.select(*CATS, *[f"{c}_idx" for c in wide], *[F.col(p).cast("double").alias(p) for p in params],
+                    "defect_type")
     model = Pipeline(stages=stages).fit(src)
     out = model.transform(src)
     if defect_type is not None:

@@ -192,13 +192,32 @@ def describe(space: MiningSpace) -> list[Column]:
     return [F.concat_ws(";", *keys).alias("factors"), F.concat_ws(" + ", *desc).alias("description")]
 
 
-def recurrence(space: MiningSpace, passing: DataFrame, max_depth: int = 3) -> DataFrame:
+def slice_profiles(space: MiningSpace, passing: DataFrame, max_depth: int = 3, checkpoint: bool = True) -> DataFrame:
+    """One pass for every per-slice breakdown: each cube row is tagged with
+    (kind, key) for kind ∈ {week, defect type, raw batch, raw shift, raw machine}, the
+    tags are exploded, rows of non-qualifying slices are dropped by the broadcast
+    semi-join, and one aggregate yields (slice, kind, key) → units, defects, rows.
+    Its size is bounded by the qualifying slices times the key cardinalities."""
+    tags = F.explode(F.array(
+        F.struct(F.lit("week").alias("kind"), F.col("week").cast("string").alias("key")),
+        F.struct(F.lit("type").alias("kind"), F.col("defect_type").alias("key")),
+        F.struct(F.lit("batch_id").alias("kind"), F.col("raw_batch_id").alias("key")),
+        F.struct(F.lit("shift").alias("kind"), F.col("raw_shift").alias("key")),
+        F.struct(F.lit("machine_id").alias("kind"), F.col("raw_machine_id").alias("key"))))
+    cube = (space.fine.select(*space.dims, "u", "d", "n", tags.alias("t"))
+                 .groupBy(*space.dims, "t.kind", "t.key")
+                 .agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")))
+    prof = (_expanded(space, cube, max_depth, ["kind", "key", "u", "d", "n"], passing)
+            .groupBy("skey", "kind", "key").agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")))
+    return prof.checkpoint() if checkpoint else prof
+
+
+def recurrence(space: MiningSpace, prof: DataFrame) -> DataFrame:
     """P-5: per slice, share of weeks (both slice and all data ≥ 50 units) where the slice
     rate beats the all-data rate; 0 without such weeks."""
-    cube = space.fine.groupBy(*space.dims, "week").agg(F.sum("u").alias("u"), F.sum("d").alias("d"))
-    wk = _expanded(space, cube, max_depth, ["week", "u", "d"], passing).groupBy("skey", "week").agg(
-        F.sum("u").alias("u"), F.sum("d").alias("d"))
-    totals = space.fine.groupBy("week").agg(F.sum("u").alias("wu"), F.sum("d").alias("wd"))
+    wk = prof.where(F.col("kind") == "week").select("skey", F.col("key").alias("week"), "u", "d")
+    totals = space.fine.groupBy(F.col("week").cast("string").alias("week")).agg(
+        F.sum("u").alias("wu"), F.sum("d").alias("wd"))
     # one row per week of the observed span: sized by time, not data → AQE picks the join
     j = wk.join(totals, "week").where((F.col("wu") >= WEEK_MIN_UNITS) & (F.col("u") >= WEEK_MIN_UNITS))
     win = X.spark("CAST(`d` AS DOUBLE) / CAST(greatest(1, `u`) AS DOUBLE) > "
@@ -208,11 +227,9 @@ def recurrence(space: MiningSpace, passing: DataFrame, max_depth: int = 3) -> Da
                     .alias("recurrence_raw"))
 
 
-def dominant_types(space: MiningSpace, passing: DataFrame, max_depth: int = 3) -> DataFrame:
+def dominant_types(prof: DataFrame) -> DataFrame:
     """P-8: top-3 defect types by rows in the slice, dominant real type or 'Multiple…'."""
-    cube = space.fine.groupBy(*space.dims, "defect_type").agg(F.sum("n").alias("n"))
-    t = _expanded(space, cube, max_depth, ["defect_type", "n"], passing).groupBy("skey", "defect_type").agg(
-        F.sum("n").alias("n"))
+    t = prof.where(F.col("kind") == "type").select("skey", F.col("key").alias("defect_type"), "n")
     w = Window.partitionBy("skey").orderBy(F.col("n").desc(), F.col("defect_type"))
     top = t.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= TOP_TYPES)
     g = top.groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("rk", "defect_type", "n"))).alias("top"))
@@ -228,18 +245,15 @@ def dominant_types(space: MiningSpace, passing: DataFrame, max_depth: int = 3) -
                     .alias("top_defect_types"))
 
 
-def affected(space: MiningSpace, cat: str, passing: DataFrame, max_depth: int = 3,
-             first: int | None = None) -> DataFrame:
+def affected(prof: DataFrame, cat: str, first: int | None = None) -> DataFrame:
     """P-12: sorted distinct raw values of ``cat`` inside each slice (first ``first``).
     The per-slice top-k is a ``row_number() <= k`` filter, which Spark turns into a
     partial (map-side) window group limit: no slice's full member list is gathered."""
-    raw = f"raw_{cat}"
-    cube = space.fine.groupBy(*space.dims, raw).agg(F.sum("n").alias("n"))
-    t = _expanded(space, cube, max_depth, [raw], passing).select("skey", raw).distinct()
+    t = prof.where(F.col("kind") == cat).select("skey", F.col("key").alias("v"))
     if first is not None:
-        w = Window.partitionBy("skey").orderBy(raw)
+        w = Window.partitionBy("skey").orderBy("v")
         t = t.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= first).drop("rk")
-    return t.groupBy("skey").agg(F.array_join(F.array_sort(F.collect_list(raw)), ", ").alias(f"affected_{cat}"))
+    return t.groupBy("skey").agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias(f"affected_{cat}"))
 
 
 def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
@@ -250,12 +264,12 @@ def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
     if checkpoint:
         s = s.checkpoint()
     passing = s.select("skey")
-    rec = recurrence(space, passing, max_depth)
+    prof = slice_profiles(space, passing, max_depth, checkpoint)
+    rec = recurrence(space, prof)
     s = s.join(rec, "skey", "left").withColumn("recurrence_raw", F.coalesce("recurrence_raw", F.lit(0.0)))
-    dom = dominant_types(space, passing, max_depth)
-    s = s.join(dom, "skey", "left")
+    s = s.join(dominant_types(prof), "skey", "left")
     for cat, first in (("batch_id", BATCHES_LISTED), ("shift", None), ("machine_id", None)):
-        s = s.join(affected(space, cat, passing, max_depth, first), "skey", "left")
+        s = s.join(affected(prof, cat, first), "skey", "left")
     if defect_type is not None:
         s = _restrict_to_type(space, s, defect_type, max_depth)
     else:

@@ -88,7 +88,7 @@ def _fmt(template: str, **cols) -> "F.Column":
     """Render a ``{name}`` template with Column values (concat of literal pieces)."""
     import re
     parts = []
-    for piece in re.split(r"(\{[a-zA-Z]+\})", template):
+    for piece in re.split(r"(\{[A-Za-z0-9_]+\})", template):
         if not piece:
             continue
         if piece.startswith("{") and piece.endswith("}"):

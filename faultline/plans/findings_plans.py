@@ -21,7 +21,7 @@ Q = X.to_duckdb
 
 def _fmt_sql(template: str, **vals: str) -> str:
     parts = []
-    for piece in re.split(r"(\{[a-zA-Z]+\})", template):
+    for piece in re.split(r"(\{[A-Za-z0-9_]+\})", template):
         if not piece:
             continue
         if piece.startswith("{") and piece.endswith("}"):
@@ -218,7 +218,40 @@ def r10(spark, sf):
                             trend.change_points(s), R.recommendations(pats))
 
 
-@register("r08_executive_summary")
+def _r08_sql() -> str:
+    from faultline.plans.catalog import ORACLES as O
+    fx = lambda c: Q(X.fixed_text(c, 2))
+    return f"""
+WITH t AS ({O["k02_kpi_totals"]}),
+m AS (SELECT machine_id AS top_m, defect_rate_pct AS m_rate FROM ({O["k12_machine_ranking"]}) WHERE risk_rank = 1),
+s AS (SELECT shift AS top_s, defect_rate_pct AS s_rate FROM ({O["k13_shift_ranking"]}) WHERE risk_rank = 1),
+d AS (SELECT defect_type AS dom FROM ({O["k08_defect_type_ranking"]}) WHERE rank = 1),
+bp AS (SELECT parameter AS bp, threshold_q90 AS bp_thr, high_threshold_rate_pct AS bp_rate, lift AS bp_lift
+       FROM ({O["k14_parameter_contrast"]}) WHERE has_data
+       ORDER BY lift DESC, CASE parameter WHEN 'temperature' THEN 0 WHEN 'pressure' THEN 1 WHEN 'speed' THEN 2
+                                          WHEN 'vibration' THEN 3 ELSE 4 END LIMIT 1),
+j AS (SELECT * FROM t LEFT JOIN m ON true LEFT JOIN s ON true LEFT JOIN d ON true LEFT JOIN bp ON true)
+SELECT 'Across ' || format('{{:,}}', inspection_records) || ' inspections from ' || CAST(date_min AS VARCHAR) || ' to '
+       || CAST(date_max AS VARCHAR) || ', the overall defect rate was ' || {fx('"defect_rate_pct"')} || '%. '
+       || CASE WHEN top_m IS NOT NULL THEN (CASE WHEN starts_with(lower(top_m), 'machine') THEN top_m
+                                                 ELSE 'Machine ' || top_m END)
+               || ' recorded the highest machine defect rate at ' || {fx('"m_rate"')} || '%'
+               ELSE '{R.SUMMARY_MACHINE_NONE}' END
+       || ', while '
+       || CASE WHEN top_s IS NOT NULL THEN (CASE WHEN starts_with(lower(top_s), 'shift') THEN top_s
+                                                 ELSE 'Shift ' || top_s END)
+               || ' recorded the highest shift defect rate at ' || {fx('"s_rate"')} || '%'
+               ELSE '{R.SUMMARY_SHIFT_NONE}' END
+       || '. ' || '{R.SUMMARY_ASSOC}' || ' '
+       || upper(substr(coalesce(dom, 'unclassified'), 1, 1)) || lower(substr(coalesce(dom, 'unclassified'), 2))
+       || ' was the dominant defect category. '
+       || CASE WHEN bp IS NOT NULL THEN 'Elevated ' || bp || ' (>' || CAST({Q(X.round_half_up('"bp_thr"', 2))} AS VARCHAR)
+               || ') was associated with a ' || {fx('"bp_rate"')} || '% defect rate (' || {fx('"bp_lift"')}
+               || 'x lift).' ELSE '{R.SUMMARY_PARAM_NONE}' END AS executive_summary
+FROM j"""
+
+
+@register("r08_executive_summary", _r08_sql())
 def r08(spark, sf):
     df = inspections(spark, sf)
     return R.executive_summary(kpi.kpi_totals(df), kpi.defect_type_ranking(df),

@@ -15,7 +15,7 @@ load_all()
 SAMPLE = ["k02_kpi_totals", "k08_defect_type_ranking", "k12_machine_ranking", "k14_parameter_contrast",
           "k20_batch_table", "t06_cusum", "t07_change_point", "p06_pattern_scores", "p12_slice_envelope",
           "c02_contribution_ranking", "r05_recommendations", "i16_validated_deduplicated", "m01_window_features",
-          "st01_tumbling_daily_rate_by_machine"]
+          "st01_tumbling_daily_rate_by_machine", "r08_executive_summary"]
 
 
 def _norm(v):
@@ -61,3 +61,10 @@ def test_entry_contract(spark):
     qs, orc = mod.queries(), mod.oracle_sql()
     assert set(orc) <= set(qs)
     assert len(qs) >= 80
+
+
+def test_narratives_have_no_unfilled_placeholders(spark):
+    for name in ("r08_executive_summary", "r09_findings_summary", "t10_trend_interpretation"):
+        row = QUERIES[name](spark, SF_SMALL).first()
+        text = [v for v in row if isinstance(v, str)][-1]
+        assert "{" not in text and "}" not in text, (name, text)

@@ -12,6 +12,7 @@ from faultline.operators import investigate as C
 from faultline.operators import kpi, trend
 from faultline.operators import patterns as P
 from faultline.plans import pattern_plans as PP
+from faultline.plans import trend_plans  # noqa: F401  (registers the oracles reused below)
 from faultline.plans.catalog import register
 from faultline.plans.kpi_plans import k14 as k14_query
 from faultline.sources.fixtures import inspections, with_views
@@ -201,7 +202,30 @@ def r11(spark, sf):
     return R.report_sections(pats, recs)
 
 
-@register("r09_findings_summary")
+def _r09_sql() -> str:
+    from faultline.plans.catalog import ORACLES as O
+    fx = lambda c: Q(X.fixed_text(c, 2))
+    top = PP._pattern_sql(f"""pattern_score AS t_score, {PP.DESCRIPTION_SQL[:-len(' AS description')]} AS t_desc,
+        {Q(X.round_half_up('"r_in" * 1e2', 2))} AS t_in, {Q(X.round_half_up('"r_out" * 1e2', 2))} AS t_base,
+        lift AS t_lift""", "WHERE rank = 1")
+    return f"""
+WITH t AS ({O["k02_kpi_totals"]}),
+top AS ({top}),
+cp AS (SELECT cp_date AS c_date, before_rate AS c_b, after_rate AS c_a FROM ({O["t07_change_point"]})
+       ORDER BY cp_index LIMIT 1),
+j AS (SELECT * FROM t LEFT JOIN top ON true LEFT JOIN cp ON true)
+SELECT 'Across ' || format('{{:,}}', inspection_records) || ' inspections (' || CAST(date_min AS VARCHAR) || ' to '
+       || CAST(date_max AS VARCHAR) || '), the overall defect rate was ' || {fx('"defect_rate_pct"')} || '%.'
+       || CASE WHEN t_desc IS NOT NULL THEN ' The strongest detected association (score ' || CAST(t_score AS VARCHAR)
+               || '/100) associates ' || t_desc || ' with a ' || {fx('"t_in"')} || '% defect rate versus a '
+               || {fx('"t_base"')} || '% baseline (' || {fx('"t_lift"')} || 'x lift).' ELSE '' END
+       || CASE WHEN c_date IS NOT NULL THEN ' A rate shift was detected on ' || CAST(c_date AS VARCHAR)
+               || ', moving from ' || {fx('"c_b" * 1e2')} || '% to ' || {fx('"c_a" * 1e2')} || '%.' ELSE '' END
+       || '{R.FINDINGS_CLOSE}' AS summary
+FROM j"""
+
+
+@register("r09_findings_summary", _r09_sql())
 def r09(spark, sf):
     df = inspections(spark, sf)
     pats = P.patterns(df)

@@ -4,8 +4,8 @@ The feature table has one row per (window, machine, shift): its size follows tim
 the machine / shift cardinalities, not the number of inspections.  It is built by one
 distributed aggregate and checkpointed; scaling, PCA and K-means run on it with
 ``pyspark.ml``; DBSCAN is a grid-blocked range self-join (only pairs in neighbouring
-cells are compared) followed by connected components via iterative min-label
-propagation — no all-pairs product and nothing collected to the driver.
+cells are compared) followed by connected components by graph contraction — no
+all-pairs product and nothing collected to the driver.
 """
 
 from __future__ import annotations
@@ -160,8 +160,9 @@ def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_
        with points of the 3^d neighbouring cells (exact: a neighbour within eps
        differs by ≤ eps in every coordinate, so its cell differs by at most one);
     2. core points: ≥ ``min_samples`` neighbours (self included);
-    3. clusters: connected components of core points by iterative min-label
-       propagation (checkpointed every round, stops when no label changes);
+    3. clusters: connected components of core points by contraction (smallest
+       neighbour id first, then only the shrinking graph of distinct label pairs is
+       iterated, checkpointed every round, until no edge joins two labels);
     4. border points take the smallest label among adjacent cores; the rest is noise
        (−1).  Clusters are numbered 0.. by their smallest point key."""
     zc = [f"z_{c}" for c in cols]

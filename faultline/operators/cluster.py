@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import formulas as X
+from faultline.session import materialize
 
 NUM_FEATURES = ["defect_rate", "temperature", "pressure", "speed", "vibration", "humidity"]
 # Constant parameter fills when a column is absent, cluster names.
@@ -71,7 +72,7 @@ def _key(df: DataFrame) -> DataFrame:
 def scaled_features(df: DataFrame, checkpoint: bool = True) -> DataFrame:
     """M-1 + M-2 + assembled vector, shared by K-means and DBSCAN (M-9)."""
     feat = window_features(df)
-    feat = feat.checkpoint() if checkpoint else feat.cache()   # bounded table, read by every model
+    feat = materialize(feat, "features") if checkpoint else feat.cache()   # bounded table, read by every model
     z = _key(standardize(feat))
     return VectorAssembler(inputCols=[f"z_{c}" for c in NUM_FEATURES], outputCol="features").transform(z)
 
@@ -176,7 +177,7 @@ def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_
     b = pts.select(F.col("pid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in zc], *cells)
     d2 = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in zc)
     edges = a.join(b, cells).where(d2 <= eps * eps).select("a", "b")
-    edges = edges.checkpoint()
+    edges = materialize(edges, "edges")
     deg = edges.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
     core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("pid"))
     core_edges = (edges.join(core.withColumnRenamed("pid", "a"), "a", "left_semi")
@@ -185,14 +186,15 @@ def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_
     # core id among its neighbours (self included); afterwards only the *contracted*
     # graph (distinct label pairs, which shrinks every round) is iterated, never the
     # full edge list again
-    labels = core_edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "pid").checkpoint()
-    g = (core_edges.join(labels.withColumnRenamed("pid", "a").withColumnRenamed("label", "la"), "a")
-                   .join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
-                   .where(F.col("la") != F.col("lb")).select("la", "lb").distinct()).checkpoint()
+    labels = materialize(core_edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "pid"), "labels")
+    g = materialize(core_edges.join(labels.withColumnRenamed("pid", "a").withColumnRenamed("label", "la"), "a")
+                              .join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
+                              .where(F.col("la") != F.col("lb")).select("la", "lb").distinct(), "graph")
     for _ in range(MAX_ITER):
         if g.isEmpty():
             break
         step = g.groupBy("la").agg(F.least(F.col("la"), F.min("lb")).alias("nl")).withColumnRenamed("la", "old")
+        # small per-round tables: a reliable checkpoint is cheaper than a table write here
         labels = (labels.join(step.withColumnRenamed("old", "label"), "label", "left")
                         .select("pid", F.coalesce("nl", "label").alias("label"))).checkpoint()
         g = (g.join(step.withColumnRenamed("old", "la"), "la", "left")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import formulas as X
+from faultline.session import materialize
 from faultline.functions.quantile import exact_quantiles
 from faultline.sources.fixtures import PARAMS
 
@@ -91,7 +92,7 @@ def mining_space(df: DataFrame, max_depth: int = 3, checkpoint: bool = True) ->
     if checkpoint:
         # reliable checkpoint in spark.checkpoint.dir: the ~10 passes below re-read the
         # cube, and a lost executor does not send them back to the inspection scan
-        fine = fine.checkpoint()
+        fine = materialize(fine, "cube")
     # all scalars of the mining space in one small job over the cube
     tot = fine.agg(F.sum("u").alias("u"), F.sum("d").alias("d"),
                    *[F.sum(f"s_{p}").alias(f"s_{p}") for p in params],
@@ -209,7 +210,7 @@ def slice_profiles(space: MiningSpace, passing: DataFrame, max_depth: int = 3, c
                  .agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")))
     prof = (_expanded(space, cube, max_depth, ["kind", "key", "u", "d", "n"], passing)
             .groupBy("skey", "kind", "key").agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")))
-    return prof.checkpoint() if checkpoint else prof
+    return materialize(prof, "profiles") if checkpoint else prof
 
 
 def recurrence(space: MiningSpace, prof: DataFrame) -> DataFrame:
@@ -262,7 +263,7 @@ def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
     space = mining_space(df, max_depth, checkpoint)
     s = slices(space, max_depth)
     if checkpoint:
-        s = s.checkpoint()
+        s = materialize(s, "slices")
     passing = s.select("skey")
     prof = slice_profiles(space, passing, max_depth, checkpoint)
     rec = recurrence(space, prof)
@@ -319,7 +320,7 @@ def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
         *_param_stats(space))
     # one row per qualifying slice (≤ 18,400): materialise once so recommendations,
     # evidence and exports do not re-run the mining passes
-    return out.checkpoint() if checkpoint else out
+    return materialize(out, "patterns") if checkpoint else out
 
 
 def _param_stats(space: MiningSpace) -> list[Column]:

@@ -65,3 +65,16 @@ def ship_package(spark: SparkSession) -> None:
     sc._faultline_shipped = True
     if os.path.dirname(pkg) not in sys.path:
         sys.path.insert(0, os.path.dirname(pkg))
+
+
+def materialize(df, name: str = "t"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared checkpoint folder
+    and reading it back.  Unlike a reliable ``checkpoint()`` of an unpersisted plan
+    (one job to count, a second to recompute and write), the plan runs once; the table
+    survives lost executors and gives AQE real statistics for the next stage."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

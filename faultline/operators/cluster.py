@@ -10,7 +10,6 @@ all-pairs product and nothing collected to the driver.
 
 from __future__ import annotations
 
-import itertools
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans

@@ -1,6 +1,5 @@
 """Root-cause helpers: ordinal encoding of wide categoricals and the tree's split table."""
 
-from pyspark.sql import functions as F
 
 from faultline.operators import investigate as C
 from faultline.sources.fixtures import inspections

@@ -37,14 +37,26 @@ def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_parquet(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_to_parquet(df: DataFrame, name: str, mode: str = "append",
+                   state_partitions: int | None = None) -> DataFrame:
     """Drain a streaming DataFrame into a parquet sink and return the sink as a batch
-    DataFrame."""
+    DataFrame.
+
+    ``state_partitions`` fixes the number of shuffle / state-store partitions of a
+    stateful query.  Spark records it in the query's checkpoint at the first start and
+    keeps it across restarts, so it is set only around ``start()``; by default the
+    cluster's parallelism is used rather than the session-wide shuffle setting."""
     spark = df.sparkSession
     base = _scratch(spark, name)
-    q = (df.writeStream.format("parquet").option("path", f"{base}/out")
-           .option("checkpointLocation", f"{base}/chk").outputMode(mode)
-           .trigger(availableNow=True).start())
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        q = (df.writeStream.format("parquet").option("path", f"{base}/out")
+               .option("checkpointLocation", f"{base}/chk").outputMode(mode)
+               .trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 

@@ -8,6 +8,7 @@ and stops, which is how the tests and the registered queries run them.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import pandas as pd
@@ -113,8 +114,14 @@ def _cusum_state(key, pdfs, state):
                 z = None
                 if len(hist) >= Z_WINDOW:
                     win = hist[-Z_WINDOW:]
-                    mu = sum(win) / len(win)
-                    sd = (sum((x - mu) ** 2 for x in win) / (len(win) - 1)) ** 0.5
+                    acc = 0.0                             # plain left-to-right sums (no compensation)
+                    for x in win:
+                        acc += x
+                    mu = acc / len(win)
+                    acc = 0.0
+                    for x in win:
+                        acc += (x - mu) * (x - mu)
+                    sd = math.sqrt(acc / (len(win) - 1))
                     z = (rate - mu) / sd if sd > 0 else 0.0
                     sp = max(0.0, sp + z - CUSUM_K)
                     sm = max(0.0, sm - z - CUSUM_K)

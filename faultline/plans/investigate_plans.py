@@ -104,7 +104,13 @@ def c05(spark, sf):
     return C.mutual_information(inspections(spark, sf), TYPE)
 
 
-@register("c04_feature_matrix")
+@register("c04_feature_matrix", with_views(f"""
+SELECT CAST(dense_rank() OVER (ORDER BY machine_id) - 1 AS DOUBLE) AS machine_id_idx,
+       CAST(dense_rank() OVER (ORDER BY shift) - 1 AS DOUBLE) AS shift_idx,
+       CAST(dense_rank() OVER (ORDER BY batch_id) - 1 AS DOUBLE) AS batch_id_idx,
+       CAST(temperature AS DOUBLE) AS temperature_imp,
+       CASE WHEN defect_type = '{TYPE}' THEN 1e0 ELSE 0e0 END AS label
+FROM inspections"""))
 def c04(spark, sf):
     feats, _ = C.feature_frame(inspections(spark, sf), TYPE)
     return feats.select("machine_id_idx", "shift_idx", "batch_id_idx", "temperature_imp", "label")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontam, exact_dedup, token_io
+from faultline.llm import bpe, decontam, exact_dedup, neardup, token_io
 from faultline.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def op6(spark, sf_dir):
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))

@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from faultline.llm import pretokens, words
-from faultline.session import ship_package
 
 #: Distinct pieces that a worker remembers before it starts anew.
 MEMO_PIECES = 400_000
@@ -319,7 +318,7 @@ def _memo(held) -> Memo:
 
 def vocabulary(df: DataFrame, path: str):
     """Broadcast tables of a rank file: bounded by the vocabulary, not by the data."""
-    ship_package(df.sparkSession)
+    words.prepare(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
 
 

@@ -23,7 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.session import materialize, ship_package
+from faultline.llm import words
+from faultline.session import materialize
 
 #: Entries of a Misra-Gries summary and so the most rows that are ever broadcast.
 COUNTERS = 1024
@@ -55,7 +56,7 @@ def _summaries(counters: int):
 def heavy_candidates(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """Digests that may be frequent: all with more than rows / (counters + 1) rows, at most
     ``counters`` in all.  Input and output have ``digest`` and a weight ``n``."""
-    ship_package(digests.sparkSession)
+    words.prepare(digests.sparkSession)
     kind = "digest binary, n long"
     step = digests.select("digest", F.lit(1).cast("long").alias("n")).mapInArrow(_summaries(counters), kind)
     step = step.repartition(MERGERS).mapInArrow(_summaries(counters), kind)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.components import components
 from faultline.llm import words
-from faultline.session import materialize, ship_package
+from faultline.session import materialize
 
 SHINGLE = 5
 COORDINATES = 40
@@ -70,7 +70,7 @@ def shingles(col: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
 
 def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, c1, c2 (128-bit name of the set), sig array<int> of COORDINATES values."""
-    ship_package(df.sparkSession)
+    words.prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, text):
@@ -201,3 +201,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     root = F.coalesce("component", "rep", "doc_id")
     return found.select("doc_id", "n_shingles", root.alias("component_id"),
                         F.col("doc_id").eqNullSafe(root).alias("kept"))
+
+
+def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``df`` without the documents that are linked, over any path, to one with a smaller id."""
+    gone = near_duplicates(df, doc_id, text).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return df.join(materialize(gone, "near-copies"), F.col(doc_id) == F.col("__id"), "left_anti")

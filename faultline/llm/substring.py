@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
-from faultline.session import materialize, ship_package
+from faultline.session import materialize
 
 WINDOW = 50
 #: Pair rounds.  Symbols then span four words and more, and nearly all windows hold several.
@@ -156,7 +156,7 @@ POSTINGS = "doc_id long, mark long, c1 long, c2 long, n_words long, sym long, fi
 def postings(df: DataFrame, doc_id: str, text: str, window: int = WINDOW) -> DataFrame:
     """Per text one row with ``sym`` null, naming its word sequence (c1, c2), and one row per
     representative: ``many`` windows from word ``first`` on have it."""
-    ship_package(df.sparkSession)
+    words.prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, "text"):

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+from faultline.session import ship_package
 
 #: Bytes of text that one numpy pass handles; bounds a worker's memory (a longer single text is one pass).
 SLICE_BYTES = 3 << 20
@@ -26,6 +29,17 @@ _MASK = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+#: Bytes of rows that Spark hands to Python at a time.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs in tasks: send the package to the workers and bound the batches they
+    get by bytes, as rows of long texts are large."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -20,7 +20,7 @@ WHITE_SPACE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
+def classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)),
                         np.uint8, 0x110000)
@@ -42,7 +42,7 @@ def boundaries(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         at = np.flatnonzero((data & 0xC0) != 0x80)
         heads = np.searchsorted(at, off)
     n = len(points)
-    kind = _classes()[points]
+    kind = classes()[points]
     first = np.zeros(n + 1, bool)       # of a text; the end of the slice counts as one
     first[heads] = True
     start = first.copy()

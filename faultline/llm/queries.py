@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import bpe, decontam, exact_dedup, neardup, substring, token_io
+from faultline.llm import bpe, chat, decontam, exact_dedup, langid, license_scan, neardup, quality, substring, token_io
 from faultline.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,61 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_r
 FROM d LEFT JOIN kept USING (doc_id)""")
 def op5(spark, sf_dir):
     return substring.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op10_chat_format", """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+f AS (SELECT *, 4 + length(replace(replace(replace(replace(role, '\\', '\\b'), '#', '\\h'), '</turn>', '\\l/turn>'), chr(10), '\\n')) + 1
+             + length(replace(replace(replace(text, '\\', '\\b'), '#', '\\h'), '</turn>', '\\l/turn>')) + 8 AS n FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id""")
+def op10(spark, sf_dir):
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = folder(spark, "conversations")
+    chat.format_conversations(chat.log_of_rows(rows), path)
+    return chat.digests(chat.read_conversations(spark, path))
+
+
+def _license_oracle() -> str:
+    """Sentences, lookup and rules as SQL; identifiers of a text are joined in order."""
+    known = ", ".join(f"('{s}', '{i}')" for s, i in license_scan.SENTENCES.items())
+    done = "seq"
+    for name, ids in license_scan.RULES:
+        done = f"replace({done}, '{''.join(f'<{i}>' for i in ids)}', '{{{name}}}')"
+    return rf"""
+WITH known(sentence, id) AS (VALUES {known}),
+s AS (SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS p FROM (SELECT doc_id,
+      string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+') AS x FROM documents)),
+m AS (SELECT doc_id, p, id FROM (SELECT *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s)
+      LEFT JOIN known USING (sentence)),
+q AS (SELECT doc_id, trim(regexp_replace(string_agg(coalesce('<' || id || '>', '|'), '' ORDER BY p), '\|+', '|', 'g'), '|') AS seq
+      FROM m GROUP BY doc_id),
+r AS (SELECT doc_id, seq, {done} AS done FROM q),
+l AS (SELECT doc_id, string_agg(name, ',' ORDER BY i) AS licenses FROM (SELECT doc_id, name, min(i) AS i FROM (
+      SELECT doc_id, unnest(regexp_extract_all(done, '\{{([^}}]*)\}}', 1)) AS name,
+             unnest(range(len(regexp_extract_all(done, '\{{([^}}]*)\}}', 1)))) AS i FROM r) GROUP BY ALL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(seq) - length(replace(seq, '<', '')) AS BIGINT) AS n_sentences, seq AS identifiers,
+       coalesce(licenses, '') AS licenses, CAST(length(done) - length(replace(done, '<', '')) AS BIGINT) AS n_unresolved
+FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
+@query("op1_license_scan", _license_oracle())
+def op1(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))

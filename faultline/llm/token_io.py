@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from faultline.llm import words
 from faultline.llm.bpe import Memo, encode_texts
-from faultline.session import materialize, ship_package
+from faultline.session import materialize
 
 BLOCK_IDS = 1 << 16
 CHECK_IDS = 256
@@ -47,35 +47,48 @@ PASS_IDS = 1 << 20
 
 # --- the tokenizer -----------------------------------------------------------------------------
 
+#: The byte-level alphabet keeps these bytes as characters; the others, in order, follow from U+0100.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+
+
 class LibraryEncoder:
     """Encodes distinct pieces with the tokenizers library, many per call.
 
-    Pieces go in as one text with U+0000 between them, which the library splits off first; a
-    piece that holds U+0000 itself is encoded alone."""
+    The pieces go in already written in the byte-level alphabet, as one text with byte 0
+    between them, which the library splits off before it merges; a piece that holds byte 0
+    itself is encoded alone."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
-        self.alone, self.many = Tokenizer.from_str(spec), Tokenizer.from_str(spec)
-        for t in (self.alone, self.many):
-            t.encode_special_tokens = True
-        self.many.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split("\0", "isolated"),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cut, = self.alone.encode("\0", add_special_tokens=False).ids
+        self.spec = spec
+        self.letters = np.zeros(256, np.uint32)
+        self.letters[PRINTABLE] = PRINTABLE
+        others = np.setdiff1d(np.arange(256), PRINTABLE)
+        self.letters[others] = 0x100 + np.arange(len(others))
+        self.many = Tokenizer.from_str(spec)
+        self.many.encode_special_tokens = True
+        self.many.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[0]), "isolated")
+        self.cut = self.many.token_to_id(chr(self.letters[0]))
+
+    def _alone(self, value: bytes) -> np.ndarray:
+        from tokenizers import Tokenizer
+        t = Tokenizer.from_str(self.spec)
+        t.encode_special_tokens = True
+        return np.array(t.encode(value.decode(), add_special_tokens=False).ids, np.int64)
 
     def __call__(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        odd = {k: np.array(self.alone.encode(v.decode(), add_special_tokens=False).ids)
-               for k, v in enumerate(values) if b"\0" in v}
-        text = b"\0".join(b" " if k in odd else v for k, v in enumerate(values)).decode()
-        ids = np.array(self.many.encode(text, add_special_tokens=False).ids, np.int64)
-        cuts = np.concatenate([[-1], np.flatnonzero(ids == self.cut), [len(ids)]])
-        lists = np.split(ids[ids != self.cut], (cuts[1:-1] - np.arange(len(cuts) - 2))) if odd else None
+        odd = {k: self._alone(v) for k, v in enumerate(values) if b"\0" in v}
+        held = b"\0".join([b" " if k in odd else v for k, v in enumerate(values)] if odd else values)
+        text = self.letters[np.frombuffer(held, np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.many.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        cuts = np.flatnonzero(ids == self.cut)
+        sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        flat = ids[ids != self.cut]
         if odd:
+            lists = np.split(flat, np.cumsum(sizes)[:-1])
             lists = [odd.get(k, x) for k, x in enumerate(lists)]
             sizes, flat = np.array([len(x) for x in lists]), np.concatenate(lists)
-        else:
-            sizes, flat = np.diff(cuts) - 1, ids[ids != self.cut]
         return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -84,17 +97,27 @@ def _memo(spec) -> Memo:
     return Memo(LibraryEncoder(words.worker_tables(spec)))
 
 
-def token_ids(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``ids``: little-endian unsigned 32-bit ids of each whole text and the end id."""
-    ship_package(df.sparkSession)
+def _spec(tokenizer: str) -> str:
     with open(tokenizer, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
+        return f.read()
+
+
+def id_kind(tokenizer: str, end_id: int) -> str:
+    from tokenizers import Tokenizer
+    return "<u2" if max(Tokenizer.from_str(_spec(tokenizer)).get_vocab_size() - 1, end_id) < 1 << 16 else "<u4"
+
+
+def token_ids(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``ids``: the ids of each whole text and the end id, little-endian and
+    unsigned, 16 bits each where the vocabulary and the end id allow it, else 32."""
+    words.prepare(df.sparkSession)
+    spec, kind = df.sparkSession.sparkContext.broadcast(_spec(tokenizer)), id_kind(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, text):
             ids, off = encode_texts(_memo(spec), part.column(text))
-            ids = np.insert(ids.astype("<u4"), off[1:], end_id)
-            ends = ((off + np.arange(len(off))) * 4).astype(np.int32)
+            ids = np.insert(ids.astype(kind), off[1:], end_id)
+            ends = ((off + np.arange(len(off))) * ids.itemsize).astype(np.int32)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column(doc_id).cast(pa.int64()),
                 "ids": pa.BinaryArray.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(ends), pa.py_buffer(ids)])})
@@ -152,7 +175,7 @@ class Code:
         size = int(ids.max(initial=0)) + 1
         self.word, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.word[ids], self.length[ids] = first >> (self.bits - lengths), lengths
-        self.table = np.zeros(1 << self.bits, np.int64)           # id * 64 + length, by the next bits
+        self.table = np.zeros(1 << self.bits, np.int32)           # id * 64 + length, by the next bits
         filled = np.repeat(ids * 64 + lengths, room)
         self.table[: len(filled)] = filled
 
@@ -195,13 +218,13 @@ def _code(held) -> Code:
     return Code(*words.worker_tables(held))
 
 
-def count_ids(encoded: DataFrame) -> DataFrame:
+def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
     """``id, n`` over all ids; each task adds up its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            now = np.bincount(_binary(batch.column("ids"), "<u4")[0])
+            now = np.bincount(_binary(batch.column("ids"), kind)[0])
             size = max(len(total), len(now))
             total = np.pad(total, (0, size - len(total))) + np.pad(now, (0, size - len(now)))
         seen = np.flatnonzero(total)
@@ -218,9 +241,9 @@ BLOCKS = ("part int, block long, first long, doc_ids array<long>, doc_sizes arra
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode all texts and write the file set below ``path``."""
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, id_kind(tokenizer, end_id)
     encoded = materialize(token_ids(df, tokenizer, end_id, doc_id, text), "token-ids")
-    counts = np.array([tuple(r) for r in count_ids(encoded).collect()], np.int64).reshape(-1, 2)
+    counts = np.array([tuple(r) for r in count_ids(encoded, kind).collect()], np.int64).reshape(-1, 2)
     lengths = code_lengths(counts[:, 1])
     spark.createDataFrame(list(zip(counts[:, 0].tolist(), lengths.tolist(), strict=True)), "id long, length long") \
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/code")
@@ -232,7 +255,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str
 
         def flush() -> pa.RecordBatch:
             nonlocal first, block, docs, sizes, held_ids, held_n
-            ids = np.concatenate(held_ids)
+            ids = np.concatenate(held_ids).astype(np.int64)
             payload, checks = code.pack(ids)
             row = pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": [block], "first": [first],
@@ -242,7 +265,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, doc_id: str
             return row
 
         for batch in batches:
-            flat, off = _binary(batch.column("ids"), "<u4")
+            flat, off = _binary(batch.column("ids"), kind)
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
                 docs.append(doc)
                 sizes.append(int(off[k + 1] - off[k]))
@@ -274,7 +297,7 @@ def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens`` and the ids of each document, decoded from the files:
     array<int> ``ids``, or with ``digest`` the CRC of the ids as little-endian 32-bit numbers."""
-    ship_package(spark)
+    words.prepare(spark)
     code = np.array([tuple(r) for r in spark.read.parquet(f"{path}/code").collect()], np.int64).reshape(-1, 2)
     held = spark.sparkContext.broadcast((code[:, 0], code[:, 1]))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")

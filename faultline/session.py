@@ -87,4 +87,14 @@ def materialize(df, name: str = "t"):
         df.write.mode("overwrite").parquet(path)
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, kept)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` stored, once nothing will read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -240,8 +240,7 @@ class PrefixTable:
         """Replace ``piece[start:stop]``; returns how many positions were filled anew.
 
         Behind the edit, filling ends once as many successive entries as the longest token
-        has bytes equal the old ones and none reaches back into the edit: a later entry
-        depends on nothing else."""
+        has bytes equal the old ones: a later entry depends on no others."""
         piece, old = self.piece[:start] + new + self.piece[stop:], self.last
         last, same = old[:start], 0
         shift = len(new) - (stop - start)
@@ -336,8 +335,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
             cols = {n: part.column(n) for n in part.schema.names if n != out}
             yield pa.RecordBatch.from_pydict(cols | {out: _lists(ids, off)})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
-    return df.mapInArrow(run, f"{kept}, `{out}` array<int>")
+    return df.mapInArrow(run, words.with_columns(df, (out, "array<int>")))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -356,8 +354,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
             cols = {n: part.column(n) for n in part.schema.names if n != out}
             yield pa.RecordBatch.from_pydict(cols | {out: pa.array(texts, pa.string())})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
-    return df.mapInArrow(run, f"{kept}, `{out}` string")
+    return df.mapInArrow(run, words.with_columns(df, (out, "string")))
 
 
 def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

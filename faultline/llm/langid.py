@@ -126,7 +126,8 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     counts = rows.mapInArrow(run, "lang string, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((size, len(langs)))
-    table[counts["at"], counts["lang"].map({k: i for i, k in enumerate(langs)})] = counts["n"]
+    if langs:
+        table[counts["at"], counts["lang"].map({k: i for i, k in enumerate(langs)})] = counts["n"]
     grams, scripts = table[:BUCKETS], table[BUCKETS:]
     logp = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS))
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
@@ -222,8 +223,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             said = pa.array([model.langs[p] if p >= 0 else UNKNOWN for p in pred], pa.string())
             yield pa.RecordBatch.from_pydict(cols | {"lang_pred": said, "lang_score": score, "lang_spans": spans})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in made)
-    return df.mapInArrow(run, f"{kept}, lang_pred string, lang_score double, lang_spans {SPANS}")
+    return df.mapInArrow(run, words.with_columns(df, *zip(made, ("string", "double", SPANS), strict=True)))
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

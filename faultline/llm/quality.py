@@ -222,8 +222,7 @@ def scores(df: DataFrame, model: Network | float, text: str = "text", out: str =
             cols = {n: part.column(n) for n in part.schema.names if n != out}
             yield pa.RecordBatch.from_pydict(cols | {out: net.score(data, off).astype(np.float64)})
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
-    return df.mapInArrow(run, f"{kept}, `{out}` double")
+    return df.mapInArrow(run, words.with_columns(df, (out, "double")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",

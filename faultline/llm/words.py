@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from faultline.session import ship_package
 
@@ -40,6 +41,13 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def with_columns(df: DataFrame, *made: tuple[str, str]) -> StructType:
+    """Schema of ``df`` with the columns ``made`` (name, type) new or replaced, at the end."""
+    names = {name for name, _ in made}
+    new = StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in made))
+    return StructType([f for f in df.schema if f.name not in names] + list(new))
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -6,10 +6,11 @@ exact value is found by narrowing a bracket instead:
 
 1. one job: ``count``, ``min``, ``max`` and a KLL/GK sketch (``percentile_approx``) at
    ``p ± δ`` per column — bounded memory per task;
-2. one job per round: count the rows below / inside the bracket; while the bracket still
-   holds too many rows, re-sketch inside it and narrow again (each round divides the
-   bracket by about the sketch accuracy);
-3. one job: rank only the (bounded) rows inside the bracket and read ranks k and k+1.
+2. one job per round: count the rows below / inside the bracket; while it holds many rows and
+   still shrinks, re-sketch inside it and narrow again (each round divides the bracket by
+   about the sketch accuracy).  A bracket of one value is the answer, whatever its ties;
+3. one job: add up rows per distinct value inside the bracket and read ranks k and k+1, so
+   ties collapse before anything is ranked.
 
 Only scalars reach the driver.  The result equals ``quantile_cont`` / pandas'
 ``quantile(..., interpolation='linear')``: ``v[k] + (v[k+1] - v[k]) * frac`` with
@@ -25,8 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000          # sketch accuracy: rank error <= n / ACCURACY
-MAX_EXACT_ROWS = 250_000   # rows ranked exactly in the last step (bounded, whatever n is)
-MAX_ROUNDS = 8
+NARROW_ROWS = 250_000      # a bracket of more rows is narrowed as long as that makes it smaller
 
 
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -100,9 +100,7 @@ def _exact_quantiles(df: DataFrame, cols: list[str], p: float) -> dict[str, floa
         todo[c] = dict(n=n, k=k, frac=frac, need=need, lo=float(r["br"][0]), hi=float(r["br"][1]),
                        min=float(r["lo_v"]), max=float(r["hi_v"]))
 
-    for _ in range(MAX_ROUNDS):
-        if not todo:
-            break
+    while todo:
         # pass 2: rows below / inside each bracket, one aggregate over the wide rows
         names = list(todo)
         aggs = []
@@ -111,31 +109,30 @@ def _exact_quantiles(df: DataFrame, cols: list[str], p: float) -> dict[str, floa
             aggs += [F.sum(F.when(v < t["lo"], 1).otherwise(0)).alias(f"b{i}"),
                      F.sum(F.when((v >= t["lo"]) & (v <= t["hi"]), 1).otherwise(0)).alias(f"i{i}")]
         r2 = df.agg(*aggs).first()
-        counts = {c: {"below": r2[f"b{i}"], "inside": r2[f"i{i}"]} for i, c in enumerate(names)}
-        ready, narrow = {}, {}
-        for c, t in list(todo.items()):
-            below, inside = counts[c]["below"], counts[c]["inside"]
+        ready = {}
+        for i, c in enumerate(names):
+            t, below, inside = todo[c], r2[f"b{i}"], r2[f"i{i}"]
             if below > t["k"]:                       # bracket too high: widen down
                 t["lo"] = t["min"]
-                continue
-            if below + inside < t["need"]:           # bracket too low: widen up
+            elif below + inside < t["need"]:         # bracket too low: widen up
                 t["hi"] = t["max"]
-                continue
-            t["below"], t["inside"] = below, inside
-            (ready if inside <= MAX_EXACT_ROWS else narrow)[c] = t
+            elif t["lo"] == t["hi"]:                 # both ranks are this value
+                out[c] = t["lo"]
+                todo.pop(c)
+            else:
+                t["below"] = below
+                stuck = t.get("inside") == inside
+                t["inside"] = inside
+                if inside <= NARROW_ROWS or stuck:
+                    ready[c] = todo.pop(c)
+                    continue
+                inner = long.where((F.col("param") == c) & (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))
+                q_lo = max(0.0, (t["k"] - below) / inside - delta)
+                q_hi = min(1.0, (t["need"] - below) / inside + delta)
+                br = inner.agg(F.percentile_approx("v", [q_lo, q_hi], ACCURACY)).first()[0]
+                t["lo"], t["hi"] = float(br[0]), float(br[1])
         if ready:
             out.update(_pick_ranks(long, ready))
-            for c in ready:
-                todo.pop(c)
-        for c, t in narrow.items():
-            inner = long.where((F.col("param") == c) & (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))
-            q_lo = max(0.0, (t["k"] - t["below"]) / t["inside"] - delta)
-            q_hi = min(1.0, (t["need"] - t["below"]) / t["inside"] + delta)
-            br = inner.agg(F.percentile_approx("v", [q_lo, q_hi], ACCURACY)).first()[0]
-            t["lo"], t["hi"] = float(br[0]), float(br[1])
-    if todo:  # pathological value distributions: fall back to the exact aggregate
-        for c in todo:
-            out[c] = long.where(F.col("param") == c).agg(F.percentile("v", p)).first()[0]
     return out
 
 
@@ -143,15 +140,19 @@ def _pick_ranks(long: DataFrame, ready: dict[str, dict]) -> dict[str, float]:
     cond = F.lit(False)
     for c, t in ready.items():
         cond = cond | ((F.col("param") == c) & (F.col("v") >= t["lo"]) & (F.col("v") <= t["hi"]))
-    w = Window.partitionBy("param").orderBy("v")
-    ranked = long.where(cond).withColumn("rk", F.row_number().over(w))
+    counted = long.where(cond).groupBy("param", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("param").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("last", F.sum("n").over(upto)).withColumn("first", F.col("last") - F.col("n") + 1)
     want = F.lit(False)
     for c, t in ready.items():
         r1 = t["k"] - t["below"] + 1
-        want = want | ((F.col("param") == c) & F.col("rk").between(r1, r1 + 1))
+        want = want | ((F.col("param") == c) & (F.col("first") <= r1 + 1) & (F.col("last") >= r1))
     vals: dict[str, dict[int, float]] = {}
-    for r in ranked.where(want).collect():   # at most two rows per column
-        vals.setdefault(r["param"], {})[r["rk"]] = r["v"]
+    for r in ranked.where(want).collect():   # at most two values per column
+        t = ready[r["param"]]
+        for rank in (t["k"] - t["below"] + 1, t["k"] - t["below"] + 2):
+            if r["first"] <= rank <= r["last"]:
+                vals.setdefault(r["param"], {})[rank] = r["v"]
     out = {}
     for c, t in ready.items():
         r1 = t["k"] - t["below"] + 1

@@ -4,8 +4,8 @@ The feature table has one row per (window, machine, shift): its size follows tim
 the machine / shift cardinalities, not the number of inspections.  It is built by one
 distributed aggregate and checkpointed; scaling, PCA and K-means run on it with
 ``pyspark.ml``; DBSCAN is a grid-blocked range self-join (only pairs in neighbouring
-cells are compared) followed by connected components by graph contraction — no
-all-pairs product and nothing collected to the driver.
+cells are compared) followed by connected components by star contraction — no all-pairs
+product and nothing collected to the driver.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import formulas as X
+from faultline.functions.components import components
 from faultline.session import materialize
 
 NUM_FEATURES = ["defect_rate", "temperature", "pressure", "speed", "vibration", "humidity"]
@@ -29,24 +30,23 @@ CLUSTER_NAMES = ["Stable Operation", "Elevated Defects", "High-Parameter Regime"
 HOT, HOT_NAME = 1.5, "Hot & Defective"
 COOL, COOL_NAME = 0.7, "Stable Operation"
 WINDOW_DAYS = 7
-MIN_ROWS, MIN_ROWS_SMALL, SMALL_TABLE = 5, 1, 50
+MIN_ROWS = 5
+PCA_MIN_ROWS = 3
 K_RANGE = (3, 5)
 RESTARTS = 10
 SEED = 42
 DBSCAN_EPS, DBSCAN_MIN_SAMPLES, DBSCAN_MIN_ROWS = 0.9, 5, 15
-MAX_ITER = 50
 
 
-def window_features(df: DataFrame) -> DataFrame:
+def window_features(df: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """M-1: (7-day epoch-anchored window, machine, shift) → units, defects, mean params,
-    rows; groups with < 5 rows dropped (< 1 when the table has < 50 rows)."""
-    small = df.agg(F.count(F.lit(1)) < SMALL_TABLE).scalar()
+    rows; groups with fewer than ``min_rows`` rows are left out (pass 1 for tables of a few rows)."""
     params = {p: (F.avg(p) if p in df.columns else F.lit(ABSENT_FILL[p])) for p in ABSENT_FILL}
     g = df.groupBy(F.window("timestamp", f"{WINDOW_DAYS} days").start.alias("window_start"),
                    "machine_id", "shift").agg(
         F.sum("units_inspected").alias("units"), F.sum("defect_count").alias("defects"),
         *[v.alias(p) for p, v in params.items()], F.count(F.lit(1)).alias("rows"))
-    g = g.where(F.col("rows") >= F.when(small, F.lit(MIN_ROWS_SMALL)).otherwise(F.lit(MIN_ROWS)))
+    g = g.where(F.col("rows") >= min_rows)
     return g.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("window"), "machine_id", "shift", "units", "defects",
         X.spark("CAST(`defects` AS DOUBLE) / CAST(greatest(`units`, 1) AS DOUBLE)").alias("defect_rate"),
@@ -68,9 +68,9 @@ def _key(df: DataFrame) -> DataFrame:
     return df.withColumn("pid", F.concat_ws("|", "window", "machine_id", "shift"))
 
 
-def scaled_features(df: DataFrame, checkpoint: bool = True) -> DataFrame:
+def scaled_features(df: DataFrame, checkpoint: bool = True, min_rows: int = MIN_ROWS) -> DataFrame:
     """M-1 + M-2 + assembled vector, shared by K-means and DBSCAN (M-9)."""
-    feat = window_features(df)
+    feat = window_features(df, min_rows)
     feat = materialize(feat, "features") if checkpoint else feat.cache()   # bounded table, read by every model
     z = _key(standardize(feat))
     return VectorAssembler(inputCols=[f"z_{c}" for c in NUM_FEATURES], outputCol="features").transform(z)
@@ -78,7 +78,9 @@ def scaled_features(df: DataFrame, checkpoint: bool = True) -> DataFrame:
 
 def pca_2d(z: DataFrame):
     """M-3: two principal components (sign fixed: largest |loading| positive) and the
-    explained-variance ratios."""
+    explained-variance ratios.  Refuses tables of fewer than ``PCA_MIN_ROWS`` windows."""
+    if z.limit(PCA_MIN_ROWS).count() < PCA_MIN_ROWS:
+        raise ValueError(f"projection needs at least {PCA_MIN_ROWS} windows")
     model = PCA(k=2, inputCol="features", outputCol="pcs").fit(z)
     comps = model.pc.toArray()           # 6 × 2 loadings: bounded by the feature count
     signs = [1.0 if comps[abs(comps[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
@@ -109,6 +111,7 @@ def kmeans_sweep(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS):
         rows.append((k, float(sil), float(model.summary.trainingCost)))
         if best is None or sil > best[1]:
             best = (k, sil, model)
+    z.unpersist()
     return rows, best
 
 
@@ -139,9 +142,21 @@ def cluster_profiles(points: DataFrame) -> DataFrame:
 
 def kmeans_clustering(df: DataFrame):
     """M-3..M-7: returns (sweep rows, profiles, labelled points, explained variance)."""
-    z = scaled_features(df)
-    z, var = pca_2d(z)
-    z = z.cache()
+    return kmeans_on(*pca_2d(scaled_features(df)))
+
+
+def cluster_both(df: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_SAMPLES):
+    """M-9: K-means and DBSCAN over one shared feature table: (the four K-means results, DBSCAN
+    labels with the same projection, or None below ``DBSCAN_MIN_ROWS`` windows)."""
+    z, var = pca_2d(scaled_features(df))
+    z = materialize(z, "projected")
+    labels = dbscan(z, eps, min_samples) if z.limit(DBSCAN_MIN_ROWS).count() >= DBSCAN_MIN_ROWS else None
+    return kmeans_on(z, var), labels
+
+
+def kmeans_on(z: DataFrame, var: list[float]):
+    """M-4..M-7 over scaled and projected windows."""
+    z = materialize(z, "projected")
     sweep, best = kmeans_sweep(z)
     if best is None:
         return sweep, None, None, var
@@ -160,9 +175,7 @@ def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_
        with points of the 3^d neighbouring cells (exact: a neighbour within eps
        differs by ≤ eps in every coordinate, so its cell differs by at most one);
     2. core points: ≥ ``min_samples`` neighbours (self included);
-    3. clusters: connected components of core points by contraction (smallest
-       neighbour id first, then only the shrinking graph of distinct label pairs is
-       iterated, checkpointed every round, until no edge joins two labels);
+    3. clusters: connected components of the core points, iterated until nothing changes;
     4. border points take the smallest label among adjacent cores; the rest is noise
        (−1).  Clusters are numbered 0.. by their smallest point key."""
     zc = [f"z_{c}" for c in cols]
@@ -181,36 +194,20 @@ def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_
     core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("pid"))
     core_edges = (edges.join(core.withColumnRenamed("pid", "a"), "a", "left_semi")
                        .join(core.withColumnRenamed("pid", "b"), "b", "left_semi"))
-    # connected components by contraction: every core point first takes the smallest
-    # core id among its neighbours (self included); afterwards only the *contracted*
-    # graph (distinct label pairs, which shrinks every round) is iterated, never the
-    # full edge list again
-    labels = materialize(core_edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "pid"), "labels")
-    g = materialize(core_edges.join(labels.withColumnRenamed("pid", "a").withColumnRenamed("label", "la"), "a")
-                              .join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
-                              .where(F.col("la") != F.col("lb")).select("la", "lb").distinct(), "graph")
-    for _ in range(MAX_ITER):
-        if g.isEmpty():
-            break
-        step = g.groupBy("la").agg(F.least(F.col("la"), F.min("lb")).alias("nl")).withColumnRenamed("la", "old")
-        # small per-round tables: a reliable checkpoint is cheaper than a table write here
-        labels = (labels.join(step.withColumnRenamed("old", "label"), "label", "left")
-                        .select("pid", F.coalesce("nl", "label").alias("label"))).checkpoint()
-        g = (g.join(step.withColumnRenamed("old", "la"), "la", "left")
-              .select(F.coalesce("nl", "la").alias("la"), "lb")
-              .join(step.withColumnRenamed("old", "lb"), "lb", "left")
-              .select("la", F.coalesce("nl", "lb").alias("lb"))
-              .where(F.col("la") != F.col("lb")).distinct()).checkpoint()
+    linked = components(core_edges)               # core points with another core point in reach
+    labels = materialize(core.join(linked.select(F.col("node").alias("pid"), F.col("component").alias("label")), "pid", "left")
+                             .select("pid", F.coalesce("label", "pid").alias("label")), "labels")
     border = (edges.join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
                    .join(core.withColumnRenamed("pid", "a"), "a", "left_anti")
                    .groupBy("a").agg(F.min("lb").alias("label")).withColumnRenamed("a", "pid"))
     all_labels = labels.unionByName(border)
     ids = all_labels.select("label").distinct().withColumn(
         "cluster", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))   # one row per cluster
-    out = (z.select("pid", "window", "machine_id", "shift", "defect_rate")
+    place = [c for c in ("pc1", "pc2") if c in z.columns]
+    out = (z.select("pid", "window", "machine_id", "shift", "defect_rate", *place)
              .join(all_labels, "pid", "left").join(ids, "label", "left")
              .withColumn("cluster", F.coalesce("cluster", F.lit(-1))))
-    return out.select("window", "machine_id", "shift", "cluster",
+    return out.select("window", "machine_id", "shift", "cluster", *[F.round(c, 3).alias(c) for c in place],
                       F.round(F.col("defect_rate") * 100, 2).alias("defect_rate_pct"))
 
 

@@ -17,8 +17,7 @@ FEATURES_SQL = f"""feat AS (
          machine_id, shift, CAST(sum(units_inspected) AS BIGINT) AS units, CAST(sum(defect_count) AS BIGINT) AS defects,
          CAST(sum(defect_count) AS DOUBLE) / CAST(greatest(sum(units_inspected), 1) AS DOUBLE) AS defect_rate,
          {", ".join(f"avg({p}) AS {p}" for p in P)}, count(*) AS rows
-  FROM inspections GROUP BY 1, 2, 3
-  HAVING count(*) >= CASE WHEN (SELECT count(*) FROM inspections) < 50 THEN 1 ELSE 5 END)"""
+  FROM inspections GROUP BY 1, 2, 3 HAVING count(*) >= 5)"""
 
 
 @register("m01_window_features", with_views(
@@ -67,11 +66,34 @@ def m07(spark, sf):
     return points
 
 
-@register("m08_dbscan_labels")
+Z_SQL = "z AS (SELECT concat_ws('|', \"window\", machine_id, shift) AS pid, \"window\", machine_id, shift, defect_rate, " + ", ".join(
+    f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0e0 END AS z_{c}"
+    for c in M.NUM_FEATURES) + " FROM feat)"
+#: Clusters by reachability over core points, as a recursive walk from each to all others.
+DBSCAN_SQL = f"""{FEATURES_SQL},
+{Z_SQL},
+near AS MATERIALIZED (SELECT x.pid AS a, y.pid AS b FROM z x, z y WHERE {" + ".join(f"pow(x.z_{c} - y.z_{c}, 2)" for c in M.NUM_FEATURES)} <= {M.DBSCAN_EPS ** 2}),
+core AS MATERIALIZED (SELECT a AS pid FROM near GROUP BY a HAVING count(*) >= {M.DBSCAN_MIN_SAMPLES}),
+step AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN (SELECT pid AS a FROM core) USING (a) SEMI JOIN (SELECT pid AS b FROM core) USING (b)),
+walk AS (SELECT pid AS a, pid AS b FROM core UNION SELECT walk.a, step.b FROM walk JOIN step ON walk.b = step.a),
+label AS (SELECT a AS pid, min(b) AS label FROM walk GROUP BY a),
+every AS (SELECT * FROM label UNION ALL SELECT a, min(label) FROM near JOIN label ON b = pid ANTI JOIN (SELECT pid AS a FROM core) USING (a) GROUP BY a),
+number AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT label FROM label)),
+db AS (SELECT "window", machine_id, shift, coalesce(cluster, -1) AS cluster, defect_rate
+       FROM z LEFT JOIN every USING (pid) LEFT JOIN number USING (label))"""
+
+
+def _recursive(sql: str) -> str:
+    return with_views(sql).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("m08_dbscan_labels", _recursive(f"WITH {DBSCAN_SQL}\nSELECT \"window\", machine_id, shift, cluster, round(defect_rate * 100, 2) AS defect_rate_pct FROM db"))
 def m08(spark, sf):
     return M.dbscan(M.scaled_features(inspections(spark, sf)))
 
 
-@register("m08b_dbscan_summary")
+@register("m08b_dbscan_summary", _recursive(f"""WITH {DBSCAN_SQL}
+SELECT count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS n_clusters, CAST(count(*) FILTER (cluster = -1) AS BIGINT) AS n_outliers,
+       {M.DBSCAN_EPS}e0 AS eps, count(*) AS points FROM db"""))
 def m08b(spark, sf):
     return M.dbscan_summary(M.dbscan(M.scaled_features(inspections(spark, sf))))

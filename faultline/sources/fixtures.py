@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import materialize
+
 CANONICAL = ["inspection_id", "timestamp", "machine_id", "batch_id", "shift", "defect_type",
              "defect_count", "units_inspected", "temperature", "pressure", "speed", "vibration",
              "humidity"]
@@ -23,8 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
 def inspections(spark: SparkSession, sf_dir: str, no_defect_label: bool = False,
                 with_part_lot: bool = False) -> DataFrame:
+    """The canonical table, joined and stored once per application and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, no_defect_label, with_part_lot)
+    if key not in _STORED:
+        _STORED[key] = materialize(join_inspections(spark, sf_dir, no_defect_label, with_part_lot), "inspections")
+    return _STORED[key]
+
+
+def join_inspections(spark: SparkSession, sf_dir: str, no_defect_label: bool = False,
+                     with_part_lot: bool = False) -> DataFrame:
     """The canonical inspection table over lineitem ⋈ orders ⋈ customer ⋈ supplier ⋈ part.
 
     Only the columns used are read (the projection reaches the parquet scans); join

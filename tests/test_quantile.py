@@ -8,7 +8,7 @@ from faultline.functions import quantile as QQ
 
 @pytest.mark.parametrize("max_exact", [250_000, 50])
 def test_exact_quantiles_match_numpy(spark, monkeypatch, max_exact):
-    monkeypatch.setattr(QQ, "MAX_EXACT_ROWS", max_exact)
+    monkeypatch.setattr(QQ, "NARROW_ROWS", max_exact)
     rng = np.random.default_rng(7)
     a = rng.normal(100, 15, 20_000)
     b = rng.integers(0, 20, 20_000).astype(float)          # heavy ties

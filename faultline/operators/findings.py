@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultline.functions import formulas as X
 
@@ -241,16 +242,30 @@ def nan_audit(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("bad_values"))
 
 
+def _json_safe(c, kind):
+    """Column expression with NaN and ±Inf replaced by null, inside structs, arrays and maps too."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_json_safe(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _json_safe(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: _json_safe(v, kind.valueType))
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """S-6: NaN and ±Inf → null in every float column (before ``write.json`` / ``to_json``)."""
-    out = []
-    for c, t in df.dtypes:
-        if t in ("double", "float"):
-            out.append(F.when(F.isnan(F.col(c)) | (F.abs(F.col(c)) == float("inf")), None)
-                       .otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    """S-6: NaN and ±Inf → null at any depth (before ``write.json`` / ``to_json``)."""
+    return df.select(*[_json_safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def write_export(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Write a result table as CSV (header, quoted) or as JSON lines without NaN."""
+    if kind == "csv":
+        df.write.mode("overwrite").csv(path, header=True, escape='"')
+    else:
+        json_safe(df).write.mode("overwrite").json(path)
 
 
 # Narrative sentences.

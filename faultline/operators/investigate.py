@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.ml import Pipeline
 from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +24,13 @@ from faultline.sources.fixtures import PARAMS
 
 CATS = ["machine_id", "shift", "batch_id"]
 FACTOR_LABEL = {"machine_id": "Machine", "shift": "Shift", "batch_id": "Batch"}
-MAX_LEVELS = 40            # fixed: factors with more distinct values are skipped
 MIN_ROWS = 30              # fixed: rows needed in a slice
 TOP_FACTORS = 25
 MI_BINS = 10
 TREE_DEPTH = 3
 TREE_MIN_LEAF = 50
 TOP_SPLITS = 6
-MAX_TREE_CATEGORIES = 1024  # above this a categorical is given to the tree as an ordinal
+TREE_BINS = 256            # candidate thresholds per feature
 
 
 def factor_label(col: str) -> str:
@@ -56,8 +54,8 @@ def target_baseline(df: DataFrame, defect_type: str) -> DataFrame:
 
 
 def contribution(df: DataFrame, defect_type: str, reference_cells: bool = False,
-                 top: int | None = TOP_FACTORS) -> DataFrame:
-    """C-2: per value of every factor (≤ 40 values, ≥ 30 rows): rate of the type inside
+                 top: int | None = TOP_FACTORS, max_levels: int | None = None) -> DataFrame:
+    """C-2: per value of every factor (≥ 30 rows; with ``max_levels``, factors of at most so many values): rate of the type inside
     vs outside, lift ≥ 1, Yates p; sorted by lift desc, p asc; first ``top``.
 
     ``reference_cells=True`` reproduces the fourth contingency cell of the original
@@ -83,12 +81,13 @@ def contribution(df: DataFrame, defect_type: str, reference_cells: bool = False,
                  X.spark(X.safe_div("sum(defect_count)", "sum(units_inspected)", "0e0")).alias("gr"))
     # number of values per factor: a grouped count joined back (one row per factor) —
     # a window partitioned by factor would put all values of a wide factor in one task
-    levels = g.groupBy("factor_col").agg(F.count(F.lit(1)).alias("levels"))
-    g = (g.join(F.broadcast(levels), "factor_col")          # ≤ one row per factor (8): bounded
-          .withColumn("target_units", tot.select("tu").scalar())
+    if max_levels is not None:
+        levels = g.groupBy("factor_col").agg(F.count(F.lit(1)).alias("levels")).where(F.col("levels") <= max_levels)
+        g = g.join(F.broadcast(levels), "factor_col", "left_semi")          # ≤ one row per factor (8): bounded
+    g = (g.withColumn("target_units", tot.select("tu").scalar())
           .withColumn("target_defects", tot.select("td").scalar())
           .withColumn("global_rate", tot.select("gr").scalar()))
-    g = g.where((F.col("levels") <= MAX_LEVELS) & (F.col("n") >= MIN_ROWS))
+    g = g.where(F.col("n") >= MIN_ROWS)
     g = (g.withColumn("def_out", F.col("target_defects") - F.col("def_in"))
           .withColumn("tot_out", F.col("target_units") - F.col("tot_in"))
           .withColumn("r_in", X.spark(X.safe_div("`def_in`", "`tot_in`", "0e0")))
@@ -102,10 +101,10 @@ def contribution(df: DataFrame, defect_type: str, reference_cells: bool = False,
           .withColumn("p_value", X.spark(X.round_half_up("`p_raw`", 4))))
     order = F.create_map(*[x for i, c in enumerate(CATS + [f"{p}_bucket" for p in params])
                            for x in (F.lit(c), F.lit(i))])[F.col("factor_col")]
-    w = Window.orderBy(F.col("lift").desc(), F.col("p_value").asc(), order, F.col("factor_value"))
-    g = g.withColumn("rank", F.row_number().over(w).cast("bigint"))   # ≤ 40 values × factors: small
+    by = [F.col("lift").desc(), F.col("p_value").asc(), order, F.col("factor_value")]
     if top is not None:
-        g = g.where(F.col("rank") <= top)
+        g = g.orderBy(*by).limit(top)              # every task sends its first rows only
+    g = g.withColumn("rank", F.row_number().over(Window.orderBy(*by)).cast("bigint"))
     label = F.create_map(*[x for c in CATS + [f"{p}_bucket" for p in params]
                            for x in (F.lit(c), F.lit(factor_label(c)))])[F.col("factor_col")]
     return g.select(
@@ -121,18 +120,18 @@ def mutual_information(df: DataFrame, defect_type: str, bins: int = MI_BINS) ->
     """C-5: plug-in MI (nats) between each factor and ``defect_type == t``; sorted desc."""
     params = [p for p in PARAMS if p in df.columns]
     y = (F.col("defect_type") == defect_type).cast("int")
-    rng = df.agg(*[F.min(p).alias(f"lo_{p}") for p in params], *[F.max(p).alias(f"hi_{p}") for p in params])
+    rng = df.agg(*[F.min(p).alias(f"lo_{p}") for p in params], *[F.max(p).alias(f"hi_{p}") for p in params],
+                 F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1")).first()
     pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin")) for c in CATS]
     for p in params:
-        lo, hi = rng.select(f"lo_{p}").scalar(), rng.select(f"hi_{p}").scalar()
+        lo, hi = F.lit(rng[f"lo_{p}"]), F.lit(rng[f"hi_{p}"])
         b = F.when(F.col(p).isNull(), F.lit(-1)).when(hi > lo, F.least(
             F.lit(bins - 1).cast("bigint"),
             F.floor((F.col(p) - lo) / (hi - lo) * float(bins)))).otherwise(F.lit(0))
         pairs.append(F.struct(F.lit(p).alias("feature"), b.cast("string").alias("bin")))
     long = df.select(F.explode(F.array(*pairs)).alias("kv"), y.alias("y"))
     cells = long.groupBy("kv.feature", "kv.bin").agg(F.count(F.lit(1)).alias("nx"), F.sum("y").alias("nx1"))
-    n_all = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n1"))
-    cells = (cells.withColumn("N", n_all.select("n").scalar()).withColumn("N1", n_all.select("n1").scalar())
+    cells = (cells.withColumn("N", F.lit(rng["n"]).cast("bigint")).withColumn("N1", F.lit(rng["n1"]).cast("bigint"))
                   .withColumn("nx0", F.col("nx") - F.col("nx1")))
     term = (f"(CASE WHEN `nx1` > 0 THEN CAST(`nx1` AS DOUBLE) / CAST(`N` AS DOUBLE) * ln(CAST(`nx1` AS DOUBLE) * CAST(`N` AS DOUBLE) / (CAST(`nx` AS DOUBLE) * CAST(`N1` AS DOUBLE))) ELSE 0e0 END"
             f" + CASE WHEN `nx0` > 0 THEN CAST(`nx0` AS DOUBLE) / CAST(`N` AS DOUBLE) * ln(CAST(`nx0` AS DOUBLE) * CAST(`N` AS DOUBLE) / (CAST(`nx` AS DOUBLE) * CAST(`N` - `N1` AS DOUBLE))) ELSE 0e0 END)")
@@ -153,25 +152,15 @@ def ordinal_encode(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 def feature_frame(df: DataFrame, defect_type: str | None = None):
-    """C-4: ordinal-encoded categoricals (alphabetical, unseen → extra index), numerics
-    with nulls replaced by the median, assembled into one vector column."""
+    """C-4: ordinal-encoded categoricals (alphabetical codes, null → -1; the same encoding at any
+    number of values), numerics with nulls replaced by the exact median, in one vector column."""
     params = [p for p in PARAMS if p in df.columns]
-    idx_cols = [f"{c}_idx" for c in CATS]
-    # StringIndexer keeps its label list on the driver: fine for a bounded number of
-    # values; wider columns get the distributed ordinal encoder (treated as numbers)
-    levels = df.agg(*[F.approx_count_distinct(c).alias(c) for c in CATS]).first()
-    wide = [c for c in CATS if levels[c] > MAX_TREE_CATEGORIES]
-    for c in wide:
-        df = ordinal_encode(df, c, f"{c}_idx")
-    stages = [StringIndexer(inputCol=c, outputCol=o, stringOrderType="alphabetAsc", handleInvalid="keep")
-              for c, o in zip(CATS, idx_cols) if c not in wide]
-    imp_cols = [f"{p}_imp" for p in params]
-    stages.append(Imputer(inputCols=params, outputCols=imp_cols, strategy="median"))
-    stages.append(VectorAssembler(inputCols=idx_cols + imp_cols, outputCol="features"))
-    src = df.select(*CATS, *[f"{c}_idx" for c in wide], *[F.col(p).cast("double").alias(p) for p in params],
-                    "defect_type")
-    model = Pipeline(stages=stages).fit(src)
-    out = model.transform(src)
+    src = df.select(*CATS, *[F.col(p).cast("double").alias(p) for p in params], "defect_type")
+    for c in CATS:
+        src = ordinal_encode(src, c, f"{c}_idx")
+    middle = exact_quantiles(src, params, 0.5)
+    out = src.select("*", *[F.coalesce(F.col(p), F.lit(middle[p]), F.lit(0.0)).alias(f"{p}_imp") for p in params])
+    out = VectorAssembler(inputCols=[f"{c}_idx" for c in CATS] + [f"{p}_imp" for p in params], outputCol="features").transform(out)
     if defect_type is not None:
         out = out.withColumn("label", (F.col("defect_type") == defect_type).cast("double"))
     return out, CATS + params
@@ -181,22 +170,13 @@ def decision_tree(df: DataFrame, defect_type: str, depth: int = TREE_DEPTH, min_
                   work_dir: str | None = None):
     """C-6..C-8: shallow tree for ``defect_type == t``; returns (splits, importances).
 
-    Categoricals stay categorical when their number of values fits ``maxBins``; above
-    that they are treated as ordinals so the split search stays bounded."""
+    Categoricals enter as their ordinal codes, so a split is always a threshold."""
     feats, names = feature_frame(df, defect_type)
-    levels = {c: feats.agg(F.countDistinct(c)).first()[0] for c in CATS}
-    if max(levels.values()) + 1 > MAX_TREE_CATEGORIES:
-        # arithmetic drops the nominal metadata: the tree then sees plain ordinals
-        num = [c for c in feats.columns if c.endswith("_imp")]
-        feats = VectorAssembler(inputCols=[f"{c}_ord" for c in CATS] + num, outputCol="features_ord").transform(
-            feats.select("*", *[(F.col(f"{c}_idx") * 1.0).alias(f"{c}_ord") for c in CATS])
-        ).drop("features").withColumnRenamed("features_ord", "features")
-    max_bins = max(32, max(levels.values()) + 2)
     # On a 0/1 label, variance = p(1 - p) = Gini / 2: the regression tree makes the same
     # splits as a Gini classifier, but keeps sibling leaves that predict the same class
     # (Spark's classifier prunes them), so every split and its gain is reported.
     tree = DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=min_leaf, impurity="variance",
-                                 maxBins=min(max_bins, MAX_TREE_CATEGORIES + 2), seed=42)
+                                 maxBins=TREE_BINS, seed=42)
     model = tree.fit(feats)
     spark = df.sparkSession
     base = work_dir or spark.sparkContext.getCheckpointDir()

@@ -170,6 +170,12 @@ def member_ranking(df: DataFrame, key: str, count_col: str) -> DataFrame:
                .withColumn("status", F.when(F.col("risk_rank") == 1, "Highest-risk").otherwise("Normal operation")))
 
 
+# The sentence about a parameter, as text and the number behind it.
+CONTRAST_FINDING = [(" > ", "thr"), (" is associated with a ", "hr"), ("% defect rate (", "lift_raw"),
+                    ("x lift vs baseline ", "lr")]
+CONTRAST_END = "%)."
+
+
 def parameter_contrast(df: DataFrame, params=tuple(PARAMS), min_rows: int = 5) -> DataFrame:
     """K-14: per process parameter — p90, rate above vs at/below, mean among defective vs
     good rows, lift; 'Data unavailable' for parameters with < ``min_rows`` values.
@@ -177,7 +183,7 @@ def parameter_contrast(df: DataFrame, params=tuple(PARAMS), min_rows: int = 5) -
     One unpivot job for all parameters; the p90s are exact (bracketed, see quantile.py)."""
     present = [p for p in params if p in df.columns]
     q = exact_quantiles(df, present, 0.9)
-    overall = df.agg((F.sum("defect_count") / F.sum("units_inspected") * 100.0)).scalar()
+    overall = df.agg(F.coalesce(F.try_divide(F.sum("defect_count"), F.sum("units_inspected")) * 100.0, F.lit(0.0))).scalar()
     long = df.select(
         "defect_count", "units_inspected",
         F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("double").alias("v"))
@@ -211,11 +217,13 @@ def parameter_contrast(df: DataFrame, params=tuple(PARAMS), min_rows: int = 5) -
         F.when(avail, X.spark(X.round_half_up("coalesce(`m_good`, `m_all`)", 4))).alias("mean_in_good"),
         F.when(avail, X.spark(X.round_half_up("`hr`", 6))).alias("high_threshold_rate_pct"),
         F.when(avail, X.spark(X.round_half_up("`lr`", 6))).alias("baseline_rate_pct"),
-        F.when(avail, X.spark(X.round_half_up("`lift_raw`", 6))).alias("lift"))
+        F.when(avail, X.spark(X.round_half_up("`lift_raw`", 6))).alias("lift"),
+        F.when(avail, F.concat(F.initcap("parameter"), *[x for text, c in CONTRAST_FINDING for x in (
+            F.lit(text), X.spark(X.fixed_text(f"`{c}`", 2)))], F.lit(CONTRAST_END))).alias("finding"))
     return names.join(res, "parameter", "left").select(
         "parameter", F.coalesce("status", F.lit("Data unavailable")).alias("status"),
         F.coalesce("has_data", F.lit(False)).alias("has_data"), "threshold_q90", "mean_in_defects",
-        "mean_in_good", "high_threshold_rate_pct", "baseline_rate_pct", "lift")
+        "mean_in_good", "high_threshold_rate_pct", "baseline_rate_pct", "lift", "finding")
 
 
 def heatmap(df: DataFrame, a: str = "machine_id", b: str = "shift") -> DataFrame:
@@ -226,14 +234,15 @@ def heatmap(df: DataFrame, a: str = "machine_id", b: str = "shift") -> DataFrame
             .withColumn("max_rate_pct", F.max("defect_rate_pct").over(w))
 
 
-def pivot_rates(df: DataFrame, row: str, col: str, values: list[str], value_col: str = "rate") -> DataFrame:
-    """K-16 / K-19: rows × explicit column values of the joint rate (missing → 0).
+def pivot_rates(df: DataFrame, row: str, col: str, values: list[str] | None = None) -> DataFrame:
+    """K-16 / K-19: rows × column values of the joint rate (missing → 0).
 
-    The column list is explicit so Spark does not run a distinct job to discover it."""
+    Without ``values`` every value of ``col`` becomes a column (Spark refuses more than
+    ``spark.sql.pivotMaxValues`` of them)."""
     g = _sums(df, row, col)
     p = g.groupBy(row).pivot(col, values).agg(
         F.first(X.spark(X.rate_pct(D, U, 6))))
-    return p.fillna(0.0, subset=values)
+    return p.fillna(0.0, subset=[c for c in p.columns if c != row])
 
 
 def daily_rate(df: DataFrame, key: str | None) -> DataFrame:

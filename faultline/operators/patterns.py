@@ -4,15 +4,15 @@ Plan, all declarative:
 
 1. Exact p90 per process parameter (bracketed quantile, only scalars reach the driver);
    the miner's thresholds are those values at six significant digits.
-2. Support floor ``min_units = max(50, int(0.005 * Σu))`` (scalar subquery).  A slice
-   needs that many units, so every grouping column has at most Σu / min_units ≤ 200
-   qualifying values; values below the floor at depth 1 can never be part of a
-   qualifying deeper slice (support is monotone) and are mapped to NULL — their rows
-   stay in every other slice and in the totals.  The keep-lists travel as literals:
-   their size bound (≤ 200 values per column) is proven, not guessed.
-3. One scan of the inspection table → a *fine cube* keyed by the pruned dimensions,
-   the raw categorical values, week and defect type.  Everything afterwards reads the
-   cube, whose size is bounded by the product of those cardinalities, not by the rows.
+2. Support floor ``min_units = max(50, int(0.005 * Σu))``.  A slice needs that many units, so
+   every grouping column has at most Σu / min_units ≤ 200 qualifying values; values below
+   the floor at depth 1 can never be part of a qualifying deeper slice (support is
+   monotone) and are mapped to NULL *before* the cube is built — their rows stay in every
+   other slice and in the totals.  The keep-lists travel as literals: their size bound is
+   proven, not guessed.
+3. One scan → a *fine cube* keyed by the pruned dimensions, week and defect type.  It does not
+   hold raw categorical values, so it does not grow with the number of batches; everything
+   but the affected lists reads the cube.
 4. ``GROUPING SETS`` (92 for eight dimensions) over roll-ups of the cube: slices with
    Σu, Σd, rows, dates, parameter sums; again with week in every set (recurrence),
    with defect type (dominant type), and with each raw categorical (affected lists).
@@ -59,6 +59,7 @@ class MiningSpace:
     total_u: Column
     total_d: Column
     fine: DataFrame            # pruned fine cube
+    base: DataFrame            # rows with pruned dimensions and raw categorical values
 
     @property
     def combos(self) -> list[tuple[str, ...]]:
@@ -78,46 +79,43 @@ def mining_space(df: DataFrame, max_depth: int = 3, checkpoint: bool = True) ->
     params = [p for p in params if q.get(p) is not None]
     thr_cols = {p: X.spark(X.sig6(X.lit(q[p]))) for p in params}
 
-    # the only scan of the inspection rows: raw categoricals, above-threshold flags, week
+    # totals and depth-1 support first, straight from the rows: one aggregate each
+    tot = df.agg(F.sum("units_inspected").alias("u"), F.sum("defect_count").alias("d"),
+                 *[F.sum(p).alias(f"s_{p}") for p in params], *[F.count(p).alias(f"c_{p}") for p in params]).first()
+    total_u = F.lit(tot["u"] or 0).cast("bigint")
+    total_d = F.lit(tot["d"] or 0).cast("bigint")
+    min_units = F.lit(max(SUPPORT_MIN, int((tot["u"] or 0) * SUPPORT_SHARE))).cast("bigint")
+    # at most Σu / min_units ≤ 200 values per column can qualify (proven bound), so the
+    # keep-lists travel as literals; all other values become NULL before the cube is built
+    value = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in CATS]))
+    keeps = (df.select(value.alias("x"), "units_inspected").groupBy("x.c", "x.v").agg(F.sum("units_inspected").alias("u"))
+               .where((F.col("u") >= min_units) & F.col("v").isNotNull()).collect())
+
+    def kept(c):
+        vals = sorted(r["v"] for r in keeps if r["c"] == c)
+        return F.when(F.col(c).cast("string").isin(vals), F.col(c).cast("string")) if vals else F.lit(None).cast("string")
+
     base = df.select(
-        *[F.col(c).cast("string").alias(f"raw_{c}") for c in CATS],
+        *[kept(c).alias(c) for c in CATS], *[F.col(c).cast("string").alias(f"raw_{c}") for c in CATS],
         *[F.coalesce(F.col(p) > thr_cols[p], F.lit(False)).alias(dim_name(p)) for p in params],
         F.to_date(F.date_trunc("week", "timestamp")).alias("week"),
         F.col("defect_type").cast("string").alias("defect_type"),
         "units_inspected", "defect_count", "timestamp", *params)
-    fine = base.groupBy(*[f"raw_{c}" for c in CATS], *[dim_name(p) for p in params], "week", "defect_type").agg(
+    fine = base.groupBy(*CATS, *[dim_name(p) for p in params], "week", "defect_type").agg(
         F.sum("units_inspected").alias("u"), F.sum("defect_count").alias("d"), F.count(F.lit(1)).alias("n"),
         F.min("timestamp").alias("ts_min"), F.max("timestamp").alias("ts_max"),
         *[F.sum(p).alias(f"s_{p}") for p in params], *[F.count(p).alias(f"c_{p}") for p in params])
     if checkpoint:
-        # reliable checkpoint in spark.checkpoint.dir: the ~10 passes below re-read the
-        # cube, and a lost executor does not send them back to the inspection scan
+        # stored in spark.checkpoint.dir: the passes below re-read the cube, and a lost
+        # executor does not send them back to the inspection scan
         fine = materialize(fine, "cube")
-    # all scalars of the mining space in one small job over the cube
-    tot = fine.agg(F.sum("u").alias("u"), F.sum("d").alias("d"),
-                   *[F.sum(f"s_{p}").alias(f"s_{p}") for p in params],
-                   *[F.sum(f"c_{p}").alias(f"c_{p}") for p in params]).first()
-    total_u = F.lit(tot["u"] or 0).cast("bigint")
-    total_d = F.lit(tot["d"] or 0).cast("bigint")
-    min_units = F.lit(max(SUPPORT_MIN, int((tot["u"] or 0) * SUPPORT_SHARE))).cast("bigint")
-    # support pruning of categorical values: at most Σu / min_units ≤ 200 values per
-    # column can qualify (proven bound), so the keep-lists travel as literals and the
-    # cube is rewritten in place — no join in any of the passes below
-    keeps = (fine.groupBy(*[F.col(f"raw_{c}") for c in CATS]).agg(F.sum("u").alias("_u"))
-                 .groupingSets([[f"raw_{c}"] for c in CATS], *[f"raw_{c}" for c in CATS])
-                 .agg(F.sum("_u").alias("_u"), *[F.grouping(f"raw_{c}").alias(f"g_{c}") for c in CATS])
-                 .where(F.col("_u") >= min_units).collect())
-    for c in CATS:
-        vals = sorted({r[f"raw_{c}"] for r in keeps if r[f"g_{c}"] == 0 and r[f"raw_{c}"] is not None})
-        fine = fine.withColumn(c, F.when(F.col(f"raw_{c}").isin(vals), F.col(f"raw_{c}")) if vals
-                               else F.lit(None).cast("string"))
     dims = CATS + [dim_name(p) for p in params]
     labels = {c: c for c in CATS}
     labels.update({dim_name(p): f"{p}_bucket" for p in params})
     return MiningSpace(dims=dims, labels=labels, params=params, thresholds=q, min_units=min_units,
                        param_sums={p: F.lit(tot[f"s_{p}"]).cast("double") for p in params},
                        param_counts={p: F.lit(tot[f"c_{p}"]).cast("bigint") for p in params},
-                       total_u=total_u, total_d=total_d, fine=fine)
+                       total_u=total_u, total_d=total_d, fine=fine, base=base)
 
 
 def _sets(space: MiningSpace, max_depth: int) -> list[tuple[str, ...]]:
@@ -194,20 +192,20 @@ def describe(space: MiningSpace) -> list[Column]:
 
 
 def slice_profiles(space: MiningSpace, passing: DataFrame, max_depth: int = 3, checkpoint: bool = True) -> DataFrame:
-    """One pass for every per-slice breakdown: each cube row is tagged with
-    (kind, key) for kind ∈ {week, defect type, raw batch, raw shift, raw machine}, the
-    tags are exploded, rows of non-qualifying slices are dropped by the broadcast
-    semi-join, and one aggregate yields (slice, kind, key) → units, defects, rows.
-    Its size is bounded by the qualifying slices times the key cardinalities."""
+    """Per-slice breakdowns: (kind, key) for kind ∈ {week, defect type} from the cube, and for
+    raw batches, shifts and machines from the rows, which the cube does not hold.  Rows of
+    non-qualifying slices are dropped by the broadcast semi-join before the shuffle, and one
+    aggregate yields (slice, kind, key) → units, defects, rows: its size is bounded by the
+    qualifying slices times the members that they have."""
     tags = F.explode(F.array(
         F.struct(F.lit("week").alias("kind"), F.col("week").cast("string").alias("key")),
-        F.struct(F.lit("type").alias("kind"), F.col("defect_type").alias("key")),
-        F.struct(F.lit("batch_id").alias("kind"), F.col("raw_batch_id").alias("key")),
-        F.struct(F.lit("shift").alias("kind"), F.col("raw_shift").alias("key")),
-        F.struct(F.lit("machine_id").alias("kind"), F.col("raw_machine_id").alias("key"))))
-    cube = (space.fine.select(*space.dims, "u", "d", "n", tags.alias("t"))
-                 .groupBy(*space.dims, "t.kind", "t.key")
-                 .agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")))
+        F.struct(F.lit("type").alias("kind"), F.col("defect_type").alias("key"))))
+    raw = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"raw_{c}").alias("key")) for c in CATS]))
+    measures = [F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")]
+    cube = space.fine.select(*space.dims, "u", "d", "n", tags.alias("t")).unionByName(
+        space.base.select(*space.dims, F.col("units_inspected").alias("u"), F.col("defect_count").alias("d"),
+                          F.lit(1).cast("bigint").alias("n"), raw.alias("t"))) \
+        .groupBy(*space.dims, "t.kind", "t.key").agg(*measures)
     prof = (_expanded(space, cube, max_depth, ["kind", "key", "u", "d", "n"], passing)
             .groupBy("skey", "kind", "key").agg(F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")))
     return materialize(prof, "profiles") if checkpoint else prof

@@ -181,6 +181,11 @@ def before_after_by(df: DataFrame, change_date: str, key: str, min_rows: int = 1
         X.spark(f"CASE WHEN {r1} > 0e0 THEN {X.round_half_up(f'{r2} / {r1}', 2)} END").alias("lift"))
 
 
+# What is said of series without and with one period.
+EMPTY_SERIES = "Insufficient data for trend interpretation."
+SHORT_SERIES = "Inspection volume is uniform across the observation window."
+
+
 def interpretation(series: DataFrame, cps: DataFrame) -> DataFrame:
     """T-10: one sentence per series: change point if any, else half-mean comparison
     (x1.15) — increasing / decreasing / stable — with the (first) peak period."""
@@ -190,9 +195,9 @@ def interpretation(series: DataFrame, cps: DataFrame) -> DataFrame:
     half = f"greatest(1, CAST(floor({n} / 2) AS INT))"
     r = "transform(pts, p -> p.defect_rate)"
     first = f"(aggregate(slice({r}, 1, {half}), 0e0, (a, x) -> a + x) / CAST({half} AS DOUBLE))"
-    second = f"(aggregate(slice({r}, {half} + 1, {n}), 0e0, (a, x) -> a + x) / CAST({n} - {half} AS DOUBLE))"
-    mean = f"(aggregate({r}, 0e0, (a, x) -> a + x) / CAST({n} AS DOUBLE))"
-    peak = "aggregate(pts, pts[0], (a, p) -> CASE WHEN p.defect_rate > a.defect_rate THEN p ELSE a END)"
+    second = f"try_divide(aggregate(slice({r}, {half} + 1, {n}), 0e0, (a, x) -> a + x), CAST({n} - {half} AS DOUBLE))"
+    mean = f"try_divide(aggregate({r}, 0e0, (a, x) -> a + x), CAST({n} AS DOUBLE))"
+    peak = "aggregate(pts, get(pts, 0), (a, p) -> CASE WHEN p.defect_rate > a.defect_rate THEN p ELSE a END)"
     s = s.select(F.expr(n).alias("n"), F.expr(first).alias("h1"), F.expr(second).alias("h2"),
                  F.expr(mean).alias("m"), F.expr(peak).alias("peak"))
     s = s.withColumn("_one", F.lit(1)).join(
@@ -200,10 +205,11 @@ def interpretation(series: DataFrame, cps: DataFrame) -> DataFrame:
     pct = lambda c: X.spark(X.fixed_text(f"({c}) * 1e2", 2))
     trend = (F.when(F.col("h2") > F.col("h1") * HALF_FACTOR, "increasing")
               .when(F.col("h1") > F.col("h2") * HALF_FACTOR, "decreasing").otherwise("stable"))
-    kind = F.when(F.col("cp_date").isNotNull(), "change_point").otherwise(trend)
+    kind = F.when(F.col("n") < 2, "insufficient").when(F.col("cp_date").isNotNull(), "change_point").otherwise(trend)
     peak_txt = F.concat(F.lit("The peak defect rate of "), pct("`peak`.`defect_rate`"), F.lit("% occurred on "),
                         F.col("peak.period"), F.lit("."))
-    text = (F.when(F.col("cp_date").isNotNull(), F.concat(
+    text = (F.when(F.col("n") == 0, EMPTY_SERIES).when(F.col("n") == 1, SHORT_SERIES)
+             .when(F.col("cp_date").isNotNull(), F.concat(
                 F.lit("A change-point was detected on "), F.date_format("cp_date", "yyyy-MM-dd"),
                 F.lit(" (CUSUM shift score "), X.spark(X.fixed_text("`cusum_value`", 1)), F.lit("). Defect rate shifted from "),
                 pct("`before_rate`"), F.lit("% prior to "), pct("`after_rate`"), F.lit("% following the shift. "), peak_txt))

@@ -49,7 +49,7 @@ g AS (SELECT factor_col, factor_value, count(*) AS n,
       FROM long GROUP BY factor_col, factor_value),
 g1 AS (SELECT g.*, count(*) OVER (PARTITION BY factor_col) AS levels, tot.* FROM g, tot),
 g2 AS (SELECT *, target_defects - def_in AS def_out, target_units - tot_in AS tot_out FROM g1
-       WHERE levels <= {C.MAX_LEVELS} AND n >= {C.MIN_ROWS}),
+       WHERE n >= {C.MIN_ROWS}),
 g3 AS (SELECT *, {Q(X.safe_div('"def_in"', '"tot_in"', '0e0'))} AS r_in,
               {Q(X.safe_div('"def_out"', '"tot_out"', '"global_rate"'))} AS r_out FROM g2),
 g4 AS (SELECT *, CASE WHEN r_out > 0 THEN r_in / r_out END AS lift_raw FROM g3),

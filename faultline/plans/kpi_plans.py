@@ -231,7 +231,10 @@ SELECT names.parameter,
        CASE WHEN avail THEN {Q(X.round_half_up('coalesce("m_good", "m_all")', 4))} END AS mean_in_good,
        CASE WHEN avail THEN {Q(X.round_half_up('"hr"', 6))} END AS high_threshold_rate_pct,
        CASE WHEN avail THEN {Q(X.round_half_up('"lr"', 6))} END AS baseline_rate_pct,
-       CASE WHEN avail THEN {Q(X.round_half_up('"lift_raw"', 6))} END AS lift
+       CASE WHEN avail THEN {Q(X.round_half_up('"lift_raw"', 6))} END AS lift,
+       CASE WHEN avail THEN upper(names.parameter[1]) || names.parameter[2:] || ' > ' || {Q(X.fixed_text('"thr"', 2))}
+            || ' is associated with a ' || {Q(X.fixed_text('"hr"', 2))} || '% defect rate (' || {Q(X.fixed_text('"lift_raw"', 2))}
+            || 'x lift vs baseline ' || {Q(X.fixed_text('"lr"', 2))} || '%).' END AS finding
 FROM names LEFT JOIN k ON names.parameter = k.parameter"""))
 def k14(spark, sf):
     return kpi.parameter_contrast(inspections(spark, sf))
@@ -248,6 +251,7 @@ def k15(spark, sf):
 
 
 # ----------------------------------------------------------------------------- K-16 / K-19
+# Columns that the fixture's pivots have; the queries take every value that the data holds.
 SHIFTS = ["1", "2", "3", "4", "5"]
 MACHINES = ["M01", "M02", "M03", "M04", "M05"]
 
@@ -265,14 +269,14 @@ SELECT {row}, {cells} FROM g GROUP BY {row}""")
 
 @register("k16_machine_shift_pivot", _pivot_sql("machine_id", "shift", SHIFTS))
 def k16(spark, sf):
-    return kpi.pivot_rates(inspections(spark, sf), "machine_id", "shift", SHIFTS)
+    return kpi.pivot_rates(inspections(spark, sf), "machine_id", "shift")
 
 
 @register("k19_wide_daily_machine_series", _pivot_sql("date", "machine_id", MACHINES,
                                                       row_expr='CAST("timestamp" AS DATE)'))
 def k19(spark, sf):
     df = inspections(spark, sf).withColumn("date", F.to_date("timestamp"))
-    return kpi.pivot_rates(df, "date", "machine_id", MACHINES)
+    return kpi.pivot_rates(df, "date", "machine_id")
 
 
 # ----------------------------------------------------------------------------- K-17 / K-18 / T-1

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -92,6 +93,16 @@ def materialize(df, name: str = "t"):
     return out
 
 
+#: Most rows of a table that is broadcast after counting it; its rows are to be narrow.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(stored):
+    """A stored table with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, counted
+    here; beyond that the join is left to shuffle.  The result is the same either way."""
+    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
+
+
 def discard(*tables) -> None:
     """Delete tables that ``materialize`` stored, once nothing will read them again."""
     for df in tables:

@@ -206,7 +206,7 @@ def findings_export(patterns: DataFrame, recs: DataFrame, ev: DataFrame) -> Data
     e = ev.select("pattern_id", "finding", "interpretation")
     j = recs.select("rec_rank", "pattern_id", "text", "priority").join(p, "pattern_id", "left").join(e, "pattern_id", "left")
     return j.select(
-        "rec_rank", F.coalesce("pattern_id", F.lit("")).alias("pattern_id"), "description", "defect_type",
+        F.coalesce("pattern_id", F.lit("")).alias("pattern_id"), "description", "defect_type",
         F.col("slice_rate").alias("slice_rate_pct"), F.col("baseline_rate").alias("baseline_rate_pct"), "lift",
         "sample_size", "defective_units", F.col("p_display").alias("p_value"), "association", "confidence",
         "pattern_score", "score_lift", "score_significance", "score_sample_size", "score_recurrence",

@@ -122,7 +122,7 @@ def r06(spark, sf):
 
 # ---------------------------------------------------------------- S-5
 @register("s05_findings_export", _findings_sql("""
-SELECT r.rec_rank, coalesce(r.pattern_id, '') AS pattern_id, p.description, p.defect_type,
+SELECT coalesce(r.pattern_id, '') AS pattern_id, p.description, p.defect_type,
        p.slice_rate AS slice_rate_pct, p.baseline_rate AS baseline_rate_pct, p.lift, p.sample_size, p.defective_units,
        p.p_display AS p_value, p.association, p.confidence, p.pattern_score, p.score_lift, p.score_significance,
        p.score_sample_size, p.score_recurrence, p.score_effect_size, p.recurrence,
@@ -155,6 +155,19 @@ def r12(spark, sf):
     return R.causal_language_audit(recommendations=recs, evidence=ev)
 
 
+@register("r12b_result_invariants", _findings_sql("""
+SELECT count(*) AS recommendations, CAST(sum(CASE WHEN contains(lower(text), 'caused') THEN 1 ELSE 0 END) AS BIGINT) AS caused_mentions,
+       count(*) <= 25 AS within_limit, CAST(0 AS BIGINT) AS bad_values FROM recs25"""))
+def r12b(spark, sf):
+    """What must hold of any result: at most 25 recommendations, none that says "caused" in any
+    wording, and no NaN or infinity among the patterns' numbers."""
+    pats, recs, _ = _all(spark, sf)
+    mentions = F.sum(F.lower("text").contains("caused").cast("int")).cast("bigint")
+    return recs.agg(F.count(F.lit(1)).alias("recommendations"), mentions.alias("caused_mentions"),
+                    (F.count(F.lit(1)) <= 25).alias("within_limit"),
+                    F.lit(R.nan_audit(pats).first()[0]).cast("bigint").alias("bad_values"))
+
+
 # ---------------------------------------------------------------- R-7 / R-9 / R-10 / R-11 / C-9
 def _r07_sql() -> str:
     from faultline.plans.investigate_plans import _contribution_sql

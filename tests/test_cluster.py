@@ -48,3 +48,11 @@ def test_dbscan_matches_brute_force(spark):
     for i in range(len(pts)):
         has_core = bool((nb[i] & core).any())
         assert (got[pid[i]] == -1) == (not has_core)
+
+
+def test_long_chain_is_one_cluster(spark):
+    cols = [f"z_{c}" for c in M.NUM_FEATURES]
+    rows = [(f"{k * 37 % 240:03d}", "w", "m", "s", 0.0, 0.4 * k, *[0.0] * 5) for k in range(240)]
+    z = spark.createDataFrame(rows, "pid string, window string, machine_id string, shift string, defect_rate double, "
+                              + ", ".join(f"{c} double" for c in cols))
+    assert [r["cluster"] for r in M.dbscan(z).select("cluster").distinct().collect()] == [0]

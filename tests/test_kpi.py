@@ -39,3 +39,17 @@ def test_wilson_interval_brackets_rate(spark):
     df = _df(spark, [("M1", "B1", "A", "Crack", 3, 40), ("M2", "B1", "A", "Crack", 0, 10)])
     for r in kpi.rate_by(df, "machine_id").collect():
         assert r["ci_lower"] <= r["defect_rate_pct"] <= r["ci_upper"]
+
+
+def test_contrast_without_units(spark):
+    df = spark.createDataFrame([(0, 0, float(k)) for k in range(10)], "defect_count long, units_inspected long, temperature double")
+    from faultline.operators import kpi
+    row = kpi.parameter_contrast(df, params=("temperature",)).first()
+    assert row["lift"] == 1.0 and row["finding"] == "Temperature > 8.10 is associated with a 0.00% defect rate (1.00x lift vs baseline 0.00%)."
+
+
+def test_json_safe_reaches_nested_numbers(spark):
+    from faultline.operators import findings
+    df = spark.sql("SELECT double('NaN') AS a, named_struct('x', array(1.5D, double('Infinity')), 'm', map('k', double('-Infinity'))) AS s")
+    row = findings.json_safe(df).first()
+    assert row["a"] is None and row["s"]["x"] == [1.5, None] and row["s"]["m"] == {"k": None}

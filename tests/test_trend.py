@@ -50,3 +50,13 @@ def test_fixture_facts_sf001(spark):
     assert sum(x["spike_flag"] for x in rows) == 1
     cp = trend.change_points(s).collect()
     assert len(cp) == 1 and cp[0]["direction"] == "down" and cp[0]["cp_period"] == "1998-03"
+
+
+def test_interpretation_of_short_series(spark):
+    from faultline.operators import trend
+    kind = ("idx bigint, period string, period_start date, units bigint, defects bigint, defect_rate double, cusum_pos double, "
+            "cusum_neg double, cusum_flag int")
+    one = spark.createDataFrame([(0, "2026-01-01", None, 10, 1, 0.1, 0.0, 0.0, 0)], kind)
+    assert trend.interpretation(one, trend.change_points(one)).first()["text"] == trend.SHORT_SERIES
+    none = one.limit(0)
+    assert trend.interpretation(none, trend.change_points(none)).first()["text"] == trend.EMPTY_SERIES

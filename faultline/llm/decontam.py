@@ -24,7 +24,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.session import materialize
+from faultline.session import broadcast_if_small, materialize
 
 WINDOW = 10
 #: Most rows of the item side that are broadcast, each below a kilobyte.
@@ -47,33 +47,35 @@ def _sent(df: DataFrame, small: bool) -> DataFrame:
 
 
 def item_windows(benchmark: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
-    """``item_id, words``: distinct windows of each item."""
+    """``item_id, words, size``: distinct windows of each item, their words joined by a blank."""
     w = benchmark.where(F.col(item_id).isNotNull()).select(
         F.col(item_id).alias("item_id"), F.transform(words(F.col(text)), lower_az).alias("w")).where(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     return w.select("item_id", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).alias("words")).distinct()
+        F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))).alias("words"),
+        n.alias("size")).distinct()
 
 
 def rare_words(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
-    """``words, rare, place``: the rarest word of each distinct window and where it stands.
+    """``words, size, rare, place``: the rarest word of each distinct window and where it stands.
 
     Rarity is the count over all words of all documents; ties go to the smaller word."""
-    vocab = windows.select(F.explode("words").alias("word")).distinct()
+    vocab = windows.select(F.explode(F.split("words", " ")).alias("word")).distinct()
     seen = docs.select(F.explode("w").alias("raw")).select(F.lower("raw").alias("word"))
     counts = seen.join(_sent(vocab.select(F.lower("word").alias("word")).distinct(), small), "word").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place"))
-    return windows.select("words").distinct().select("words", F.posexplode("words").alias("place", "word")).join(
+    return windows.select("words", "size").distinct().select(
+        "words", "size", F.posexplode(F.split("words", " ")).alias("place", "word")).join(
         counts.withColumnRenamed("word", "lowered"), F.lower("word") == F.col("lowered"), "left") \
-        .groupBy("words").agg(best.alias("best")).select("words", F.lower("best.word").alias("rare"), "best.place")
+        .groupBy("words", "size").agg(best.alias("best")).select("words", "size", F.lower("best.word").alias("rare"), "best.place")
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
                  text: str = "text", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
     """(places of windows in documents, items of windows).
 
-    Places: doc_id, mark (hash of the text, tells rows of one id apart), start, words.
+    Places: doc_id, mark (hash of the text, tells rows of one id apart), start, size, words.
     Items: words, item_id."""
     items = materialize(item_windows(benchmark, window, item_id, text), "item-windows")
     small = items.count() * max(1, window) <= BROADCAST_ROWS * WINDOW
@@ -81,11 +83,12 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, do
     rare = materialize(rare_words(items, rows, small), "rare-words")
     # lower() of the library folds at least A-Z, so equal words stay equal; the comparison below is the exact one
     seen = rows.select("doc_id", "mark", "w", F.posexplode("w").alias("at", "raw")).withColumn("rare", F.lower("raw"))
+    # only functions that compile into the join's loop, so that a text's words are never copied per word
     start = F.col("at") - F.col("place")
-    size = F.size("words")
-    found = seen.join(_sent(rare, small), "rare").where((start >= 0) & (start + size <= F.size("w")))
-    found = found.where(F.transform(F.slice("w", start + 1, size), lower_az) == F.col("words"))
-    return materialize(found.select("doc_id", "mark", start.alias("start"), "words"), "window-places"), items
+    held = lower_az(F.array_join(F.slice("w", start + 1, F.col("size")), " "))
+    found = seen.join(_sent(rare, small), "rare").where(
+        F.when((start >= 0) & (start + F.col("size") <= F.size("w")), held == F.col("words")).otherwise(F.lit(False)))
+    return materialize(found.select("doc_id", "mark", start.alias("start"), "size", "words"), "window-places"), items
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
@@ -93,9 +96,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     places, items = find_windows(docs, benchmark, window, doc_id, text, item_id)
     key = ["doc_id", "mark"]
-    hit = places.select(*key, F.explode(F.sequence("start", F.col("start") + F.size("words") - 1)).alias("at")) \
+    hit = places.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")) \
         .distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
-    of = places.select(*key, "words").distinct().join(items, "words").select(
+    of = places.select(*key, "words").distinct().join(items.select("words", "item_id"), "words").select(
         *key, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*key).agg(
         F.sort_array(F.collect_list("item")).alias("items"))
     judged = hit.join(of, hit["doc_id"].eqNullSafe(of["doc_id"]) & (hit["mark"] == of["mark"])).select(
@@ -113,5 +116,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                       text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``docs`` without the rows in which a window occurs."""
     places, _ = find_windows(docs, benchmark, window, doc_id, text, item_id)
-    bad = places.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")
+    bad = materialize(places.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(bad), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")

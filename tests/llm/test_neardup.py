@@ -72,6 +72,13 @@ def test_components_of_near_copies(spark):
     assert rows_of(got) == brute(rows)
 
 
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = near_copies(seed=5, bases=3, copies=50)
+    assert rows_of(neardup.near_duplicates(docs(spark, rows))) == brute(rows)
+
+
 def test_odd_rows(spark):
     df = docs(spark, ODD)
     assert rows_of(neardup.near_duplicates(df)) == brute(ODD)

@@ -5,16 +5,18 @@ where there are fewer).  Documents of one set are one class, represented by the
 A class has ``COORDINATES`` MinHash values and is posted under each coordinate-value pair.
 
 Two sets of similarity >= 0.85 agree in at least ``MATCHES`` coordinates but for a chance of
-2e-7 at exactly 0.85, far less above.  So of a class's pairs, ordered by
-how many classes share them, the first COORDINATES - MATCHES + 1 must hold a common one:
-pairs that nobody shares come first, post nothing and use up that prefix, and a class with too
-few shared pairs is skipped.  Classes that meet in the prefix have all coordinates counted,
+2e-7 at exactly 0.85, far less above.  So of a class's coordinate-value pairs, ordered by how
+many classes share them, the first COORDINATES - MATCHES + 1 must hold a common one: pairs
+that nobody shares come first, post nothing and use up that prefix, and a class with too few
+shared pairs is skipped.  Classes that meet in the prefix have all coordinates counted,
 and what reaches ``MATCHES`` is confirmed on the full sets.
 
-A posting list is never expanded into all its pairs: each member first meets only the list's
-smallest member, the confirmed links are contracted to components, and only lists that still
-hold several components then compare members of different ones.  What is left
-out are pairs that are connected already, so components are those of all links.
+A posting list is never expanded into all its pairs.  Each member first meets one member, drawn
+by a hash anew in each list, and the confirmed links are contracted to components.  Lists that
+still hold several components compare members of different ones: pair by pair in short lists
+(at most FEW / 2 pairs a posting), block against block inside tasks in long ones, which return
+a forest of the links found.  What is left out are pairs that are connected already, so
+components are those of all links.
 
 Defined results: null, empty and wordless texts have an empty set and are alone; rows of one
 id are one document that has the links of all its rows, and a null id links with nothing; an
@@ -32,11 +34,13 @@ from pyspark.sql import functions as F
 
 from faultline.functions.components import components
 from faultline.llm import words
-from faultline.session import materialize
+from faultline.session import broadcast_if_small, materialize
 
 SHINGLE = 5
 COORDINATES = 40
 MATCHES = 21
+#: Posting lists up to this length have their pairs compared one by one, longer ones in blocks.
+FEW, BLOCK = 32, 512
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -153,6 +157,72 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("na") + F.size("mb") - F.col("both"))).select("a", "b")
 
 
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between components among the members of a list's blocks i and j; a forest of them.
+
+    A pair counts in the first list that both are in, and, in a list, in the block pair of its
+    own blocks.  Overlaps of all pairs at once are products of 0/1 matrices."""
+    rep, c, n, block, i, j, key = (np.asarray(table[x].combine_chunks()) for x in ("rep", "c", "n", "block", "i", "j", "key"))
+    todo = (c[:, None] < c) & (100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n))
+    if i[0] != j[0]:
+        todo &= block[:, None] != block
+    earlier = _overlaps(table["lists"].combine_chunks(), lambda v: v < key[0])
+    todo &= earlier == 0
+    some = np.flatnonzero(todo.any(axis=0) | todo.any(axis=1))
+    found = []
+    if len(some):
+        both = _overlaps(table["members"].combine_chunks().take(pa.array(some)))
+        todo, n, c, rep = todo[np.ix_(some, some)], n[some], c[some], rep[some]
+        x, y = np.nonzero(todo & (100 * both >= PERCENT * (n[:, None] + n - both)))
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = v = parent[parent[v]]
+            return v
+
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            r, t = root(int(c[p])), root(int(c[q]))
+            if r != t:
+                parent[r] = t
+                found.append((int(rep[p]), int(rep[q])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _overlaps(lists: pa.Array, keep=None) -> np.ndarray:
+    """Number of common values of each two lists (of distinct values)."""
+    values, own = np.asarray(lists.flatten()), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    if keep is not None:
+        values, own = values[keep(values)], own[keep(values)]
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, own = (np.cumsum(count > 1) - 1)[column[shared]], own[shared]
+    total = np.zeros((len(lists), len(lists)), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, own = column[order], own[order]
+    width = 4096
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        at = slice(*np.searchsorted(column, [lo, lo + width]))
+        part = np.zeros((len(lists), width), np.float32)
+        part[own[at], column[at] - lo] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _long_lists(placed: DataFrame, posts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components in long lists, block by block.
+
+    A list of s members is cut into s / BLOCK blocks, and each pair of blocks is compared in one
+    task step of at most about 2 * BLOCK members, which returns links only, never pairs."""
+    own = posts.join(placed.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.collect_list("key").alias("lists"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = placed.join(own, "rep").join(sets, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn(
+        "o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "c", "n",
+                       "lists", "members")
+    return rows.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
     signed = materialize(signatures(df, doc_id, text), "signatures")
@@ -162,11 +232,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         "rep", "c1", "c2", F.col("n_shingles").alias("n"), "sig"), "classes")
     posts = materialize(prefix_postings(classes), "postings")
 
-    # each member of a posting list meets the smallest one
-    heads = posts.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"),
+    # each member of a posting list meets one member, another one in each list
+    by = F.xxhash64("rep", "key")
+    heads = posts.groupBy("key").agg(F.min(F.struct(by.alias("h"), "rep", "n")).alias("head"),
                                      F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = posts.join(heads, "key").where((F.col("rep") > F.col("head.rep")) & _close("n", "head.n")).select(
-        F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    star = posts.join(heads, "key").where((F.col("rep") != F.col("head.rep")) & _close("n", "head.n")).select(
+        F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
     star = materialize(_matching(star, classes), "star-pairs")
 
     # full sets of all classes that a link can have
@@ -185,18 +256,22 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     # lists that still hold several components: members of different ones meet
     placed = posts.join(joined, posts["rep"] == joined["node"], "left").select(
         "key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = materialize(placed.join(mixed, "key", "left_semi"), "mixed-lists")
-    x, y = placed.alias("x"), placed.alias("y")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where(
+        "lo < hi").select("key", "size")
+    placed = materialize(placed.join(mixed, "key"), "mixed-lists")
+    few = placed.where(F.col("size") <= FEW)
+    x, y = few.alias("x"), few.alias("y")
     rest = x.join(y, F.col("x.key") == F.col("y.key")).where(
         (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _close("x.n", "y.n")).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(_matching(rest, classes), sets), "more-links")
+    more = _confirmed(_matching(rest, classes), sets).unionByName(_long_lists(placed.where(F.col("size") > FEW), posts, sets))
+    more = materialize(more, "more-links")
     if more.take(1):
         joined = materialize(components(more.unionByName(
             joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))), "near-components")
 
-    reps = signed.join(groups, ["c1", "c2"], "left").select("doc_id", "n_shingles", "rep")
+    reps = signed.join(groups, ["c1", "c2"], "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
     found = reps.join(joined, reps["rep"] == joined["node"], "left")
     root = F.coalesce("component", "rep", "doc_id")
     return found.select("doc_id", "n_shingles", root.alias("component_id"),
@@ -206,4 +281,4 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` without the documents that are linked, over any path, to one with a smaller id."""
     gone = near_duplicates(df, doc_id, text).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(materialize(gone, "near-copies"), F.col(doc_id) == F.col("__id"), "left_anti")
+    return df.join(broadcast_if_small(materialize(gone, "near-copies")), F.col(doc_id) == F.col("__id"), "left_anti")

@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
-from faultline.session import materialize
+from faultline.session import broadcast_if_small, materialize
 
 #: Entries of a Misra-Gries summary and so the most rows that are ever broadcast.
 COUNTERS = 1024
@@ -84,13 +84,13 @@ def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", count
     """``df`` without the rows that repeat another row's text; one row of each group stays."""
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
     groups = materialize(exact_groups(df, doc_id, text, counters).where("group_size > 1"), "copies")
-    # of a kept row that is there twice, with the same id, one stays; such twins are few and get a number
-    twins = groups.where("kept").groupBy("keep_id", "text_sha256").count().where("count > 1").select(
-        F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    left = df.withColumn("__sha0", digest)
+    keys = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    gone = materialize(groups.where("not kept").select(*keys).distinct(), "copies-gone")
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha"))
-    rest = left.join(gone, same, "left_anti")
-    once = rest.join(twins, same, "left_semi").withColumn("__n", F.row_number().over(
-        Window.partitionBy(doc_id, "__sha0").orderBy(F.lit(1)))).where("__n = 1").drop("__n")
-    return rest.join(twins, same, "left_anti").unionByName(once).drop("__sha0")
+    rest = df.withColumn("__sha0", digest).join(broadcast_if_small(gone), same, "left_anti")
+    # a kept row may be there twice, with the same id: of such twins one stays
+    twins = materialize(groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*keys), "twins")
+    if twins.take(1):
+        once = rest.join(broadcast_if_small(twins), same, "left_semi").dropDuplicates([doc_id, "__sha0"])
+        rest = rest.join(broadcast_if_small(twins), same, "left_anti").unionByName(once)
+    return rest.drop("__sha0")

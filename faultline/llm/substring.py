@@ -10,12 +10,12 @@ without asking each other, and inside two equal substrings the same symbols appe
 near the ends.  For each symbol we keep the words its existence depends on (itself, and the
 neighbours that left it unmerged).  A window's symbols are those whose dependence lies inside
 it, so equal windows have equal symbols; each window is represented by the one with the
-smallest name among those of the last round; a window without one looks in earlier rounds,
+smallest name among those of the last round, of ``LONG`` words or more if there are such; a window without one looks in earlier rounds,
 and is represented by its own hash if it has none there either (inside a long run).
 Neighbouring windows share a representative: about one posting for twenty words.
 
 Representatives that occur in two different texts reveal candidate windows; only those are
-hashed in full (128 bits) and compared across the corpus, which gives for each the smallest
+hashed in full (96 bits) and compared across the corpus, which gives for each the smallest
 document.  Documents with one word sequence are one class: its smallest id stands for it in
 all joins, the others lose everything by definition.  Aggregations combine map-side, so a
 passage in a third of all documents is one row per task; joins on hot symbols are sorted
@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm import words
-from faultline.session import materialize
+from faultline.session import discard, materialize
 
 WINDOW = 50
 #: Pair rounds.  Symbols then span four words and more, and nearly all windows hold several.
 ROUNDS = 5
+#: Symbols of so many words are preferred as representatives, as few texts share them by chance.
+LONG = 6
 #: Rounds whose symbols represent a window, the first that has one inside it.
 LEVELS = (5, 2, 0)
 
@@ -82,6 +84,7 @@ class Grammar:
         run = np.diff(np.append(start, len(word)))
         self.doc = doc[start]
         self.name = np.where(run > 1, words.mix(word[start] * _A + run.astype(np.uint64)), word[start])
+        self.span = run
         self.lo, self.hi = start - 1, start + run + 1          # a run depends on both neighbours
         self.first, self.end = at[:-1] - 1, at[1:] + 1          # just outside each text
         self.rounds = 0
@@ -103,8 +106,10 @@ class Grammar:
         name = self.name.copy()
         at = np.flatnonzero(pair)
         name[at] = words.mix((self.name[at] * _A + self.name[at + 1]) * _B + np.uint64(self.rounds))
+        span = self.span.copy()
+        span[at] += self.span[at + 1]
         keep = ~eaten
-        self.name, self.lo, self.hi, self.doc = name[keep], lo[keep], hi[keep], self.doc[keep]
+        self.name, self.lo, self.hi, self.doc, self.span = name[keep], lo[keep], hi[keep], self.doc[keep], span[keep]
 
     def representatives(self, p: np.ndarray, window: int) -> np.ndarray:
         """Index of the symbol that represents the window at each word of ``p``; -1 for none."""
@@ -113,7 +118,7 @@ class Grammar:
         pick = np.full(len(p), -1)
         some = np.flatnonzero(count > 0)
         if len(some):
-            order = np.argsort(self.name, kind="stable")
+            order = np.lexsort((self.name, self.span < LONG))
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             level, best = np.frexp(count[some])[1] - 1, np.empty(len(some), np.int64)
@@ -136,12 +141,12 @@ def window_names(word: np.ndarray, at: np.ndarray, window: int = WINDOW) -> tupl
     if not len(p):
         return p, name
     g = Grammar(word, at)
-    held = {0: (g.name, g.lo, g.hi)}
+    held = {0: (g.name, g.lo, g.hi, g.span)}
     for _ in range(ROUNDS):
         g.pair()
-        held[g.rounds] = (g.name, g.lo, g.hi)
+        held[g.rounds] = (g.name, g.lo, g.hi, g.span)
     for level in LEVELS:
-        g.name, g.lo, g.hi = held[level]
+        g.name, g.lo, g.hi, g.span = held[level]
         pick = g.representatives(p[todo], window)
         name[todo[pick >= 0]] = g.name[pick[pick >= 0]]
         todo = todo[pick < 0]
@@ -190,7 +195,8 @@ def postings(df: DataFrame, doc_id: str, text: str, window: int = WINDOW) -> Dat
 
 
 def _full_windows(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, mark, at, h1, h2 of the candidate windows; ``rows`` has text and cand (first, many)."""
+    """doc_id, mark, at, h1, h2 (64 and 32 bits) of the candidate windows; ``rows`` has text and
+    cand (first, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, "text"):
@@ -203,9 +209,10 @@ def _full_windows(rows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "doc_id": part.column("doc_id").take(pa.array(doc)), "mark": part.column("mark").take(pa.array(doc)),
                 "at": (p - at[doc]).astype(np.int32),
-                "h1": _window_hash(one, window)[p].view(np.int64), "h2": _window_hash(two, window)[p].view(np.int64)})
+                "h1": _window_hash(one, window)[p].view(np.int64),
+                "h2": (_window_hash(two, window)[p] >> np.uint64(32)).astype(np.uint32).view(np.int32)})
 
-    return rows.mapInArrow(run, "doc_id long, mark long, at int, h1 long, h2 long")
+    return rows.mapInArrow(run, "doc_id long, mark long, at int, h1 long, h2 int")
 
 
 def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -214,21 +221,24 @@ def repeated_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     posted = materialize(postings(df, doc_id, text, window).where("doc_id is not null"), "grammar")
     docs, posts = posted.where("sym is null"), posted.where("sym is not null")
     classes = materialize(docs.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "sequences")
-    copies = docs.where(F.col("n_words") >= window).join(classes, ["c1", "c2"]).where("doc_id > rep").select(
-        "doc_id", "mark").distinct()
+    copies = materialize(docs.where(F.col("n_words") >= window).join(classes, ["c1", "c2"]).where("doc_id > rep").select(
+        "doc_id", "mark").distinct(), "copies")
     shared = posts.groupBy("sym").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("sym")
     heads = docs.join(classes, ["c1", "c2"]).where("doc_id = rep").select("doc_id", "mark").distinct()
     cand = posts.select("sym", "doc_id", "mark", "first", "many").join(shared, "sym").join(
         heads, ["doc_id", "mark"], "left_semi").groupBy("doc_id", "mark").agg(
         F.collect_set(F.struct("first", "many")).alias("cand"))
     cand = materialize(cand, "candidates")
+    discard(posted, classes)
     texts = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     full = materialize(_full_windows(texts.join(cand, ["doc_id", "mark"]), window), "windows")
     least = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     hit = full.join(least.select("h1", "h2", "lo"), ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "mark").agg(
         F.collect_set("at").alias("starts"))
-    return materialize(hit.select("doc_id", "mark", F.lit(False).alias("whole"), "starts").unionByName(
+    repeats = materialize(hit.select("doc_id", "mark", F.lit(False).alias("whole"), "starts").unionByName(
         copies.select("doc_id", "mark", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("starts"))), "repeats")
+    discard(cand, full, copies)
+    return repeats
 
 
 def _kept(text: str | None, whole: bool, starts: np.ndarray, window: int) -> tuple[int, int, bytes]:

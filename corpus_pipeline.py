@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from faultline.llm import bpe, decontam, exact_dedup, neardup, quality
 from faultline.session import materialize
 
+#: Near copies share 80 % of their word shingles; 18 equal coordinates miss a pair of exactly 80 % with a chance of 2e-7.
+NEAR_PERCENT, NEAR_MATCHES = 80, 18
+
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the classifier, learned from ``labels``, rejects."""
@@ -31,7 +34,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates keep the document with the smallest id."""
-    return neardup.drop_near_copies(docs)
+    return neardup.drop_near_copies(docs, percent=NEAR_PERCENT, matches=NEAR_MATCHES)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

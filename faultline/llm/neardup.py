@@ -4,12 +4,13 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased; all words as
 where there are fewer).  Documents of one set are one class, represented by the smallest id.
 A class has ``COORDINATES`` MinHash values and is posted under each coordinate-value pair.
 
-Two sets of similarity >= 0.85 agree in at least ``MATCHES`` coordinates but for a chance of
-2e-7 at exactly 0.85, far less above.  So of a class's coordinate-value pairs, ordered by how
-many classes share them, the first COORDINATES - MATCHES + 1 must hold a common one: pairs
-that nobody shares come first, post nothing and use up that prefix, and a class with too few
-shared pairs is skipped.  Classes that meet in the prefix have all coordinates counted,
-and what reaches ``MATCHES`` is confirmed on the full sets.
+Links have a similarity of at least ``percent``.  Two such sets agree in at least ``matches``
+coordinates but for a chance that the caller chooses with the two: 2e-7 at exactly 0.85 with 21
+matches and at exactly 0.80 with 18, far less above.  So of a class's coordinate-value pairs,
+ordered by how many classes share them, the first COORDINATES - matches + 1 must hold a common
+one: pairs that nobody shares come first, post nothing and use up that prefix, and a class with
+too few shared pairs is skipped.  Classes that meet in the prefix have all coordinates counted,
+and what reaches ``matches`` is confirmed on the full sets.
 
 A posting list is never expanded into all its pairs.  Each member first meets one member, drawn
 by a hash anew in each list, and the confirmed links are contracted to components.  Lists that
@@ -38,11 +39,10 @@ from faultline.session import broadcast_if_small, materialize
 
 SHINGLE = 5
 COORDINATES = 40
-MATCHES = 21
 #: Posting lists up to this length have their pairs compared one by one, longer ones in blocks.
 FEW, BLOCK = 32, 512
-#: Links have 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: Unless a caller says otherwise (op9), links have 100 * intersection >= PERCENT * union and MATCHES equal coordinates.
+PERCENT, MATCHES = 85, 21
 
 
 def shingles(col: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,7 @@ def full_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return df.select(doc_id, text).mapInArrow(run, "doc_id long, c1 long, c2 long, members array<long>")
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
+def prefix_postings(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
     """rep, key, n: the postings of each class that any of its links must share one of.
 
     ``classes``: rep, n, sig."""
@@ -129,41 +129,41 @@ def prefix_postings(classes: DataFrame) -> DataFrame:
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     common = posts.join(shared, "key")
     by = Window.partitionBy("rep")
-    ranked = common.withColumn("held", F.count(F.lit(1)).over(by)).where(F.col("held") >= MATCHES).withColumn(
+    ranked = common.withColumn("held", F.count(F.lit(1)).over(by)).where(F.col("held") >= matches).withColumn(
         "rank", F.row_number().over(by.orderBy("df", "key")))
-    return ranked.where(F.col("rank") <= F.col("held") - MATCHES + 1).select("rep", "key", "n")
+    return ranked.where(F.col("rank") <= F.col("held") - matches + 1).select("rep", "key", "n")
 
 
-def _close(n: str, m: str):
+def _close(n: str, m: str, percent: int):
     """Sizes of sets that can be linked."""
-    return (F.lit(100) * F.least(n, m) >= F.lit(PERCENT) * F.greatest(n, m))
+    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
 
 
-def _matching(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _matching(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     """Pairs whose signatures agree in enough coordinates."""
     left = classes.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").where(same >= MATCHES).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(same >= matches).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that are links by their full sets."""
     left = sets.select(F.col("rep").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("rep").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
     held = pairs.join(left, "a").withColumn("na", F.size("ma")).join(right, "b")
     return held.withColumn("both", both).where(
-        F.lit(100) * F.col("both") >= F.lit(PERCENT) * (F.col("na") + F.size("mb") - F.col("both"))).select("a", "b")
+        F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("na") + F.size("mb") - F.col("both"))).select("a", "b")
 
 
-def _block_links(table: pa.Table) -> pa.Table:
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
     """Links between components among the members of a list's blocks i and j; a forest of them.
 
     A pair counts in the first list that both are in, and, in a list, in the block pair of its
     own blocks.  Overlaps of all pairs at once are products of 0/1 matrices."""
     rep, c, n, block, i, j, key = (np.asarray(table[x].combine_chunks()) for x in ("rep", "c", "n", "block", "i", "j", "key"))
-    todo = (c[:, None] < c) & (100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n))
+    todo = (c[:, None] < c) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
     if i[0] != j[0]:
         todo &= block[:, None] != block
     earlier = _overlaps(table["lists"].combine_chunks(), lambda v: v < key[0])
@@ -173,7 +173,7 @@ def _block_links(table: pa.Table) -> pa.Table:
     if len(some):
         both = _overlaps(table["members"].combine_chunks().take(pa.array(some)))
         todo, n, c, rep = todo[np.ix_(some, some)], n[some], c[some], rep[some]
-        x, y = np.nonzero(todo & (100 * both >= PERCENT * (n[:, None] + n - both)))
+        x, y = np.nonzero(todo & (100 * both >= percent * (n[:, None] + n - both)))
         parent: dict[int, int] = {}
 
         def root(v: int) -> int:
@@ -209,7 +209,7 @@ def _overlaps(lists: pa.Array, keep=None) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _long_lists(placed: DataFrame, posts: DataFrame, sets: DataFrame) -> DataFrame:
+def _long_lists(placed: DataFrame, posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components in long lists, block by block.
 
     A list of s members is cut into s / BLOCK blocks, and each pair of blocks is compared in one
@@ -220,25 +220,30 @@ def _long_lists(placed: DataFrame, posts: DataFrame, sets: DataFrame) -> DataFra
         "o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "c", "n",
                        "lists", "members")
-    return rows.groupBy("key", "i", "j").applyInArrow(_block_links, "a long, b long")
 
+    def links(table: pa.Table) -> pa.Table:
+        return _block_links(table, percent)
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return rows.groupBy("key", "i", "j").applyInArrow(links, "a long, b long")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                    matches: int = MATCHES) -> DataFrame:
     """One row per row of ``df``: doc_id, n_shingles, component_id, kept."""
     signed = materialize(signatures(df, doc_id, text), "signatures")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     groups = materialize(named.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "set-classes")
     classes = materialize(named.join(groups, ["c1", "c2"]).where("doc_id = rep").dropDuplicates(["c1", "c2"]).select(
         "rep", "c1", "c2", F.col("n_shingles").alias("n"), "sig"), "classes")
-    posts = materialize(prefix_postings(classes), "postings")
+    posts = materialize(prefix_postings(classes, matches), "postings")
 
     # each member of a posting list meets one member, another one in each list
     by = F.xxhash64("rep", "key")
     heads = posts.groupBy("key").agg(F.min(F.struct(by.alias("h"), "rep", "n")).alias("head"),
                                      F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = posts.join(heads, "key").where((F.col("rep") != F.col("head.rep")) & _close("n", "head.n")).select(
+    star = posts.join(heads, "key").where((F.col("rep") != F.col("head.rep")) & _close("n", "head.n", percent)).select(
         F.least("rep", "head.rep").alias("a"), F.greatest("rep", "head.rep").alias("b")).distinct()
-    star = materialize(_matching(star, classes), "star-pairs")
+    star = materialize(_matching(star, classes, matches), "star-pairs")
 
     # full sets of all classes that a link can have
     wanted = posts.join(heads.select("key"), "key", "left_semi").select("rep").distinct()
@@ -250,7 +255,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     several = named.groupBy("doc_id").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi")
     own = named.join(several.select("doc_id"), "doc_id", "left_semi").join(groups, ["c1", "c2"]).select(
         F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = materialize(_confirmed(star, sets).unionByName(own), "links")
+    links = materialize(_confirmed(star, sets, percent).unionByName(own), "links")
     joined = materialize(components(links), "near-components")
 
     # lists that still hold several components: members of different ones meet
@@ -262,9 +267,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     few = placed.where(F.col("size") <= FEW)
     x, y = few.alias("x"), few.alias("y")
     rest = x.join(y, F.col("x.key") == F.col("y.key")).where(
-        (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _close("x.n", "y.n")).select(
+        (F.col("x.rep") < F.col("y.rep")) & (F.col("x.c") != F.col("y.c")) & _close("x.n", "y.n", percent)).select(
         F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirmed(_matching(rest, classes), sets).unionByName(_long_lists(placed.where(F.col("size") > FEW), posts, sets))
+    more = _confirmed(_matching(rest, classes, matches), sets, percent).unionByName(
+        _long_lists(placed.where(F.col("size") > FEW), posts, sets, percent))
     more = materialize(more, "more-links")
     if more.take(1):
         joined = materialize(components(more.unionByName(
@@ -278,7 +284,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                         F.col("doc_id").eqNullSafe(root).alias("kept"))
 
 
-def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
+                     matches: int = MATCHES) -> DataFrame:
     """``df`` without the documents that are linked, over any path, to one with a smaller id."""
-    gone = near_duplicates(df, doc_id, text).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    gone = near_duplicates(df, doc_id, text, percent, matches).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     return df.join(broadcast_if_small(materialize(gone, "near-copies")), F.col(doc_id) == F.col("__id"), "left_anti")

@@ -15,14 +15,17 @@ ascending ``doc_id`` order.  A file set is two Parquet folders below ``path``:
 driver holds only the counts per id (bounded by the vocabulary) and one total per written
 part.
 
-Defined results: a null or empty text is the end id alone; rows of equal ``doc_id`` are
+Defined results: a literal of one of the tokenizer file's added tokens (``<|endoftext|>``) is that
+token's id, as in the library; a null or empty text is the end id alone; rows of equal ``doc_id`` are
 ordered by their ids; no rows give empty folders; a corpus of one distinct id has codes of
 one bit; columns other than the two named ones are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,30 +54,59 @@ PASS_IDS = 1 << 20
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
+class AddedTokens:
+    """The tokenizer file's added tokens, whose literals the library cuts out before it splits a text."""
+
+    def __init__(self, spec: str):
+        added = json.loads(spec).get("added_tokens") or []
+        for t in added:
+            if t.get("lstrip") or t.get("rstrip") or t.get("single_word"):
+                raise ValueError(f"added token {t['content']!r} takes in or looks at its neighbours")
+        self.ids = {t["content"].encode(): t["id"] for t in added}
+        longest = sorted(self.ids, key=len, reverse=True)
+        self.any = re.compile(b"|".join(map(re.escape, longest))) if longest else None
+
+    def cut(self, col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts between the literals, how many each text has, which of them a literal follows, and its id."""
+        data, off = words.text_bytes(col)
+        blob = data.tobytes()
+        if self.any is None or not self.any.search(blob):
+            return col, np.ones(len(off) - 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, counts, after, ids = [], [], [], []
+        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            had, at = len(parts), a
+            for m in self.any.finditer(blob, a, b):
+                after.append(len(parts))
+                ids.append(self.ids[m.group()])
+                parts.append(blob[at: m.start()])
+                at = m.end()
+            parts.append(blob[at: b])
+            counts.append(len(parts) - had)
+        return pa.array(parts, pa.binary()).cast(pa.string()), np.array(counts), np.array(after), np.array(ids)
+
+
 class LibraryEncoder:
     """Encodes distinct pieces with the tokenizers library, many per call.
 
-    The pieces go in already written in the byte-level alphabet, as one text with byte 0
+    No piece holds the literal of an added token, so the library is set up without them.  The pieces go in already written in the byte-level alphabet, as one text with byte 0
     between them, which the library splits off before it merges; a piece that holds byte 0
     itself is encoded alone."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
-        self.spec = spec
+        self.spec = spec = json.dumps(json.loads(spec) | {"added_tokens": []})
         self.letters = np.zeros(256, np.uint32)
         self.letters[PRINTABLE] = PRINTABLE
         others = np.setdiff1d(np.arange(256), PRINTABLE)
         self.letters[others] = 0x100 + np.arange(len(others))
         self.many = Tokenizer.from_str(spec)
-        self.many.encode_special_tokens = True
         self.many.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[0]), "isolated")
         self.cut = self.many.token_to_id(chr(self.letters[0]))
 
     def _alone(self, value: bytes) -> np.ndarray:
         from tokenizers import Tokenizer
         t = Tokenizer.from_str(self.spec)
-        t.encode_special_tokens = True
         return np.array(t.encode(value.decode(), add_special_tokens=False).ids, np.int64)
 
     def __call__(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +125,20 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=2)
-def _memo(spec) -> Memo:
-    return Memo(LibraryEncoder(words.worker_tables(spec)))
+def _encoder(spec) -> tuple[AddedTokens, Memo]:
+    return AddedTokens(words.worker_tables(spec)), Memo(LibraryEncoder(words.worker_tables(spec)))
+
+
+def encode_whole(spec, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts of a slice, end to end, added tokens among them, and each text's offsets."""
+    added, memo = _encoder(spec)
+    between, counts, after, literal = added.cut(col)
+    ids, off = encode_texts(memo, between)
+    last = np.concatenate([[0], np.cumsum(counts)])             # parts before each text
+    if len(after):
+        ids = np.insert(ids.astype(np.int64), off[after + 1], literal)
+        off = off + np.searchsorted(after, np.arange(len(off)))
+    return ids, off[last]
 
 
 def _spec(tokenizer: str) -> str:
@@ -115,7 +159,7 @@ def token_ids(df: DataFrame, tokenizer: str, end_id: int, doc_id: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches, text):
-            ids, off = encode_texts(_memo(spec), part.column(text))
+            ids, off = encode_whole(spec, part.column(text))
             ids = np.insert(ids.astype(kind), off[1:], end_id)
             ends = ((off + np.arange(len(off))) * ids.itemsize).astype(np.int32)
             yield pa.RecordBatch.from_pydict({

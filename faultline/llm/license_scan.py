@@ -1,14 +1,17 @@
 """Licence recognition from sentences and ordered rules, row by row in DataFrame operations (op1).
 
-A text is cut into sentences (at line ends, and at white space after ``.``, ``!``, ``?`` or ``;``), each
-is normalised (lower case, runs of anything but letters and digits to one blank) and looked up
-among the known licence sentences.  The identifiers found, in order, form the text's sequence; a
+A text is lower-cased, runs of anything but letters and digits become one blank, and it is cut
+at line ends and at white space after ``.``, ``!``, ``?`` or ``;``.  A known licence sentence is
+found where its words lie between two cuts, also over several lines (hard-wrapped text, with or
+without comment leaders) and behind ``;``, never over ``.``, ``!`` or ``?``; every other stretch between cuts
+is an unknown sentence.  Numbers of list items and lines of punctuation only are no sentences.
+The identifiers found, in order, form the text's sequence; a
 sentence that is not known ends a run.  The rules are tried in their order on every run: a rule
 matches where its identifiers follow each other, and takes them, so a whole licence text is not
 also reported as the short reference that it contains.
 
-The sentence table and the rules are small constants of the code, so the lookup is a literal
-map in the plan: one pass over the texts, no shuffle and nothing that grows.
+The sentence tables and the rules are small constants of the code, so the lookup is one pattern
+and a literal map in the plan: one pass over the texts, no shuffle and nothing that grows.
 
 Defined results: null and empty texts have no sentences and no licence; a sentence that
 repeats counts each time, a licence is listed once, in order of its first appearance; known
@@ -96,22 +99,43 @@ RULES = [
     ("CC-BY-ND-4.0", ["cc-by-nd-reference"]),
     ("Proprietary", ["reserved"]),
 ]
-#: Where a sentence ends.
-BREAK = r"[\r\n]+|(?<=[.!?;])[ \t]+"
-
-
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: Sentences and rules that are known besides, tried before the others.
+MORE_SENTENCES = {
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific "
+    "prior written permission": "bsd-endorse",
+}
+MORE_RULES = [("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"])]
+#: A list item's number at the start of a line (of lower-case text), behind comment leaders.
+LABEL = r"(^|(?<!version)\n)[^a-z0-9\n]*(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+"
+#: Between two cuts, a sentence in letters other than a to z.
+FOREIGN = r"(?<=[\n\r])[^a-z0-9\n\r]*[\p{L}\p{N}&&[^\x00-\x7F]][^a-z0-9\n\r]*(?=[\n\r])"
+#: The owner in the third BSD clause; a name may hold a full stop ("Inc.").
+OWNER = (r"neither[ \n]the[ \n]name[ \n]of[ \n](?:[a-z0-9]+[ \n\r]){1,16}?nor[ \n]the[ \n]names[ \n]of[ \n]"
+         r"(?:its|their|any|other)[ \n]contributors")
+HOLDER = "neither the name of the copyright holder nor the names of its contributors"
+
+
+def cut(text: Column) -> Column:
+    """Words with one blank, line feed (line end or ``;``) or carriage return (``.``, ``!``, ``?``) between them."""
+    t = F.concat(F.lit("\n"), F.translate(F.lower(F.coalesce(text, F.lit(""))), "\r", "\n"), F.lit("\n"))
+    for pattern, put in ((LABEL, "$1"), (r"[.!?][ \t\n]+", "\r"), (r";[ \t]+", "\n"), (FOREIGN, "0"), (r"[^a-z0-9\n\r]+", " "),
+                         (r" ?\n[ \n]*", "\n"), (r"[ \n]?\r[ \n\r]*", "\r"), (OWNER, HOLDER)):
+        t = F.regexp_replace(t, pattern, put)
+    return t
 
 
 def identifiers(text: Column) -> Column:
-    """Identifier of each sentence in order, '' for an unknown one.
-
-    Only sentences as long as a known one may be are normalised."""
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in SENTENCES.items()))
-    short = min(map(len, SENTENCES))
-    return F.transform(F.split(F.coalesce(text, F.lit("")), BREAK), lambda s: F.when(
-        F.length(s) >= short, F.coalesce(F.try_element_at(known, normal(s)), F.lit(""))).otherwise(F.lit("")))
+    """Identifier of each sentence in order, '' for an unknown one."""
+    every = SENTENCES | MORE_SENTENCES
+    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in every.items()))
+    short = min(map(len, every))
+    longest = sorted(every, key=len, reverse=True)
+    stretch = r"(?<=[\n\r])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in longest) + r")(?=[\n\r])|[^\n\r]+"
+    return F.transform(F.regexp_extract_all(cut(text), F.lit(stretch), F.lit(0)), lambda s: F.when(
+        F.length(s) >= short, F.coalesce(F.try_element_at(known, F.translate(s, "\n", " ")), F.lit(""))).otherwise(F.lit("")))
 
 
 def sequence(ids: Column) -> Column:
@@ -124,7 +148,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     """doc_id, n_sentences (known ones), identifiers, licenses (comma-separated), n_unresolved."""
     seen = df.select(F.col(doc_id).alias("doc_id"), sequence(identifiers(F.col(text))).alias("seq"))
     resolved = reduce(lambda c, rule: F.replace(c, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit("{" + rule[0] + "}")),
-                      RULES, F.col("seq"))
+                      MORE_RULES + RULES, F.col("seq"))
     count = lambda c, mark: (F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))).cast("long")
     return seen.withColumn("done", resolved).select(
         "doc_id", count(F.col("seq"), "<").alias("n_sentences"), F.col("seq").alias("identifiers"),

@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 
 from faultline.llm import pretokens, words
 
-#: Distinct pieces that a worker remembers before it starts anew.
-MEMO_PIECES = 400_000
+#: Bytes of pieces, ids and table entries that a worker remembers before it starts anew; an entry counts ENTRY_BYTES.
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 160
+#: Bytes of text that are encoded and decoded at a time where both the ids and the text are returned.
+BOTH_BYTES = 1 << 20
 NONE = -1
 
 
@@ -268,13 +270,14 @@ class PrefixTable:
 
 
 class Memo:
-    """A worker's bounded memory of encoded pieces."""
+    """A worker's memory of encoded pieces, bounded by bytes: ``limit`` and what one slice adds."""
 
-    def __init__(self, encode, limit: int = MEMO_PIECES):
+    def __init__(self, encode, limit: int = MEMO_BYTES):
         self.encode, self.limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
+        self.held = 0
         self.number: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint16)
         self.off = np.zeros(1 << 14, np.int64)
@@ -287,7 +290,7 @@ class Memo:
 
     def lists(self, values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(flat ids, offsets, which list each value has)."""
-        if len(self.number) > self.limit:
+        if self.held > self.limit:
             self._clear()
         new = [v for v in values if v not in self.number]
         if new:
@@ -298,6 +301,7 @@ class Memo:
             self._room("flat", used + len(flat))[used: used + len(flat)] = flat
             self._room("off", have + len(new) + 1)[have + 1: have + len(new) + 1] = off[1:] + used
             self.number.update(zip(new, range(have, have + len(new)), strict=True))
+            self.held += sum(map(len, new)) + ENTRY_BYTES * len(new) + 2 * len(flat)
         return self.flat, self.off, np.fromiter(map(self.number.__getitem__, values), np.int64, len(values))
 
 
@@ -310,7 +314,7 @@ def encode_texts(memo: Memo, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, ends[at]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _memo(held) -> Memo:
     return Memo(words.worker_tables(held).encode_pieces)
 
@@ -338,25 +342,44 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     return df.mapInArrow(run, words.with_columns(df, (out, "array<int>")))
 
 
+def _decoded(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Texts of the lists of ids that ``off`` cuts ``ids`` into."""
+    raw, at = words.gather(v.flat, v.off, ids)
+    raw, at = raw.tobytes(), at[off]
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.string())
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """``df`` with string ``out``: the bytes of the ids, as UTF-8.  Null ids decode to ''."""
     held = vocabulary(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = words.worker_tables(held)
-        for part in batches:
+        for part in words.list_slices(batches, ids):
             col = part.column(ids)
-            flat = np.asarray(col.flatten(), dtype=np.int64)
-            at = np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths().fill_null(0)))])
-            raw, off = words.gather(v.flat, v.off, flat)
-            off = off[at]
-            texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)]
+            off = np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths().fill_null(0)))])
             cols = {n: part.column(n) for n in part.schema.names if n != out}
-            yield pa.RecordBatch.from_pydict(cols | {out: pa.array(texts, pa.string())})
+            yield pa.RecordBatch.from_pydict(cols | {out: _decoded(v, np.asarray(col.flatten()), off)})
 
     return df.mapInArrow(run, words.with_columns(df, (out, "string")))
 
 
+def encode_decode(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, text``: each text's ids, and the text that these decode to, made in
+    one pass over slices of BOTH_BYTES, so that a task holds one vocabulary and one slice."""
+    held = vocabulary(df, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = words.worker_tables(held)
+        for part in words.slices(batches, text, BOTH_BYTES):
+            ids, off = encode_texts(_memo(held), part.column(text))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": part.column(doc_id).cast(pa.int64()), "n_tokens": pa.array(np.diff(off)),
+                "ids": _lists(ids, off), "text": _decoded(v, ids, off)})
+
+    return df.select(doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, text string")
+
+
 def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, decode the ids again, and return digests of both:
     ``doc_id, n_tokens, ids_sha256`` (of decimal ids joined by one space), ``decoded_sha256``."""

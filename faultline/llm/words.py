@@ -77,6 +77,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             at = end
 
 
+def list_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES >> 2) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds at most ``limit`` list elements, or one row."""
+    for batch in batches:
+        total = np.concatenate([[0], np.cumsum(np.asarray(batch.column(column).value_lengths().fill_null(0)))])
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def spans(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of 1 in ``mask`` that stay inside one text, and
     the ``n + 1`` offsets of each text's runs among them."""

@@ -99,3 +99,19 @@ def test_int_map():
     held = bpe.IntMap(keys, np.arange(len(keys), dtype=np.int32))
     assert (held.get(keys) == np.arange(len(keys))).all()
     assert (held.get(keys + (1 << 41)) == bpe.NONE).all()
+
+
+def test_one_pass_returns_ids_and_their_text(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BOTH_BYTES", 50)
+    got = bpe.encode_decode(docs(spark, ODD), P.path("byte_bpe_50k.tiktoken")).collect()
+    want = sorted(((i, LIBRARY.encode_ordinary(t or ""), t or "") for i, t in ODD), key=repr)
+    assert sorted(((r["doc_id"], r["ids"], r["text"]) for r in got), key=repr) == want
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert bpe.encode_decode(docs(spark, ODD).limit(0), P.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_memory_of_pieces_is_bounded_by_bytes(vocab):
+    memo = bpe.Memo(vocab.encode_pieces, 1000)
+    for k in range(20):
+        memo.lists([b"piece%d" % k, b"x" * 300])
+        assert memo.held <= 1000 + 2 * (300 + 40 + bpe.ENTRY_BYTES) + 400

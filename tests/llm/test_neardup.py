@@ -13,7 +13,7 @@ def shingle_set(text):
     return frozenset(tuple(w[k: k + 5]) for k in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [shingle_set(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -30,7 +30,7 @@ def brute(rows):
     for k, s in enumerate(sets):
         both = Counter(j for x in s for j in holders[x] if j < k) if rows[k][0] is not None else {}
         for j, n in both.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 parent[find(k)] = find(j)
     first = {}
     for k, (i, _) in enumerate(rows):                 # rows of one id are one document

@@ -21,7 +21,7 @@ def test_run_is_brute_force(spark):
     for i in sorted(rows):
         last[rows[i]] = i
     kept = sorted((i, rows[i]) for i in last.values())
-    kept = [(i, rows[i]) for i, _, _, stays in test_neardup.brute(kept) if stays]
+    kept = [(i, rows[i]) for i, _, _, stays in test_neardup.brute(kept, corpus_pipeline.NEAR_PERCENT) if stays]
     items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     want = sorted(r[0] for r in test_decontam.brute(kept, items) if not r[-1])
     got = corpus_pipeline.run(spark, SMALL).collect()

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faultline.llm import bpe, decontam, exact_dedup, neardup, quality
 from faultline.session import materialize
@@ -44,9 +43,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the text that the ids decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"), path)
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [

@@ -7,8 +7,7 @@ from faultline.sources.fixtures import inspections
 from conftest import SF_SMALL
 
 
-def test_wide_categoricals_get_alphabetical_codes(spark, monkeypatch):
-    monkeypatch.setattr(C, "MAX_TREE_CATEGORIES", 10)     # batch_id (25 values) becomes "wide"
+def test_wide_categoricals_get_alphabetical_codes(spark):
     df = inspections(spark, SF_SMALL)
     feats, names = C.feature_frame(df, "STANDARD")
     got = {r["batch_id"]: r["batch_id_idx"] for r in feats.select("batch_id", "batch_id_idx").distinct().collect()}

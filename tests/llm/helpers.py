@@ -36,7 +36,7 @@ def rows_of(df):
 
 def matches_oracle(spark, query, sql, sf=SMALL):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "labels", "conversations", "pages"):
+    for t in ("documents", "benchmark", "labels", "conversations", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got = query(spark, sf)
     cur = con.execute(sql)

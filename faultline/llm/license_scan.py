@@ -21,6 +21,7 @@ rows get equal results; an empty table gives an empty table; extra columns do no
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import chain
 
@@ -46,6 +47,7 @@ SENTENCES = {
     "spdx license identifier apache 2 0": "apache2-reference",
     "you may not use this file except in compliance with the license": "apache2-comply",
     "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2-copy",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on "
     "an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
     "this work is licensed under the gnu general public license version 2": "gpl2-reference",
@@ -70,6 +72,40 @@ SENTENCES = {
     "disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following "
     "disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission": "bsd-endorse",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific "
+    "prior written permission": "bsd-endorse",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+    "public license as published by the free software foundation either version 2 1 of the license or at your option any "
+    "later version": "lgpl2-or-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+    "public license as published by the free software foundation either version 3 of the license or at your option any "
+    "later version": "lgpl3-or-later",
+    "this library is distributed in the hope that it will be useful but without any warranty": "gpl-hope",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general "
+    "public license as published by the free software foundation either version 3 of the license or at your option any "
+    "later version": "agpl3-or-later",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted "
+    "provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all "
+    "implied warranties of merchantability and fitness": "isc-warranty",
+    "this is free and unencumbered software released into the public domain": "unlicense-grant",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liability",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+    "and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and "
+    "accompanying documentation covered by this license the software to use reproduce display distribute execute and "
+    "transmit the software and to prepare derivative works of the software and to permit third parties to whom the "
+    "software is furnished to do so all subject to the following": "bsl1-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which "
+    "is available at https www eclipse org legal epl 2 0": "epl2-grant",
     "licensed under cc by 4 0": "cc-by-reference",
     "licensed under cc by sa 4 0": "cc-by-sa-reference",
     "licensed under cc by nc 4 0": "cc-by-nc-reference",
@@ -86,7 +122,21 @@ RULES = [
     ("Apache-2.0", ["apache2-grant", "apache2-comply"]),
     ("GPL-3.0-or-later", ["gpl3-or-later", "gpl-hope", "gpl-implied", "gpl-see"]),
     ("GPL-2.0-or-later", ["gpl2-or-later", "gpl-hope", "gpl-implied", "gpl-see"]),
+    ("LGPL-2.1-or-later", ["lgpl2-or-later", "gpl-hope", "gpl-implied", "lgpl-see"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later", "gpl-hope", "gpl-implied", "lgpl-see"]),
+    ("AGPL-3.0-or-later", ["agpl3-or-later", "gpl-hope", "gpl-implied", "agpl-see"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("Zlib", ["zlib-warranty", "zlib-liability", "zlib-grant"]),
+    ("ISC", ["isc-grant", "isc-warranty"]),
+    ("ISC", ["isc-grant"]),
+    ("LGPL-2.1-or-later", ["lgpl2-or-later"]),
+    ("LGPL-3.0-or-later", ["lgpl3-or-later"]),
+    ("AGPL-3.0-or-later", ["agpl3-or-later"]),
+    ("MPL-2.0", ["mpl2-grant"]),
+    ("Unlicense", ["unlicense-grant"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("EPL-2.0", ["epl2-grant"]),
     ("GPL-3.0-or-later", ["gpl3-or-later"]),
     ("GPL-2.0-or-later", ["gpl2-or-later"]),
     ("MIT", ["mit-reference"]),
@@ -99,21 +149,18 @@ RULES = [
     ("CC-BY-ND-4.0", ["cc-by-nd-reference"]),
     ("Proprietary", ["reserved"]),
 ]
-#: Sentences and rules that are known besides, tried before the others.
-MORE_SENTENCES = {
-    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2-copy",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
-    "derived from this software without specific prior written permission": "bsd-endorse",
-    "the name of the author may not be used to endorse or promote products derived from this software without specific "
-    "prior written permission": "bsd-endorse",
-}
-MORE_RULES = [("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"])]
+#: Further licences that an SPDX line may name; the line's sentence and rule are made from the name.
+SPDX = ["LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0",
+        "ISC", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-or-later", "CC0-1.0"]
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", n.lower()): f"spdx-{n}" for n in SPDX}
+RULES += [(n, [f"spdx-{n}"]) for n in SPDX]
+# Every pattern below takes a text in one pass: what a repeated class takes, the next part cannot be.
 #: A list item's number at the start of a line (of lower-case text), behind comment leaders.
-LABEL = r"(^|(?<!version)\n)[^a-z0-9\n]*(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]+"
-#: Between two cuts, a sentence in letters other than a to z.
-FOREIGN = r"(?<=[\n\r])[^a-z0-9\n\r]*[\p{L}\p{N}&&[^\x00-\x7F]][^a-z0-9\n\r]*(?=[\n\r])"
+LABEL = r"(?<!version)\n[^a-z0-9\n]*+(?:[0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]++"
+#: Between two cuts, a sentence in letters other than a to z (lower-case text has no others of ASCII).
+FOREIGN = r"(?<=[\n\r])[^\n\r\p{L}\p{N}]*+[\p{L}\p{N}&&[^\x00-\x7F]][^a-z0-9\n\r]*+(?=[\n\r])"
 #: The owner in the third BSD clause; a name may hold a full stop ("Inc.").
-OWNER = (r"neither[ \n]the[ \n]name[ \n]of[ \n](?:[a-z0-9]+[ \n\r]){1,16}?nor[ \n]the[ \n]names[ \n]of[ \n]"
+OWNER = (r"neither[ \n]the[ \n]name[ \n]of[ \n](?:[a-z0-9]++[ \n\r]){1,16}?nor[ \n]the[ \n]names[ \n]of[ \n]"
          r"(?:its|their|any|other)[ \n]contributors")
 HOLDER = "neither the name of the copyright holder nor the names of its contributors"
 
@@ -121,7 +168,7 @@ HOLDER = "neither the name of the copyright holder nor the names of its contribu
 def cut(text: Column) -> Column:
     """Words with one blank, line feed (line end or ``;``) or carriage return (``.``, ``!``, ``?``) between them."""
     t = F.concat(F.lit("\n"), F.translate(F.lower(F.coalesce(text, F.lit(""))), "\r", "\n"), F.lit("\n"))
-    for pattern, put in ((LABEL, "$1"), (r"[.!?][ \t\n]+", "\r"), (r";[ \t]+", "\n"), (FOREIGN, "0"), (r"[^a-z0-9\n\r]+", " "),
+    for pattern, put in ((LABEL, "\n"), (r"[.!?][ \t\n]+", "\r"), (r";[ \t]+", "\n"), (FOREIGN, "0"), (r"[^a-z0-9\n\r]+", " "),
                          (r" ?\n[ \n]*", "\n"), (r"[ \n]?\r[ \n\r]*", "\r"), (OWNER, HOLDER)):
         t = F.regexp_replace(t, pattern, put)
     return t
@@ -129,10 +176,9 @@ def cut(text: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Identifier of each sentence in order, '' for an unknown one."""
-    every = SENTENCES | MORE_SENTENCES
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in every.items()))
-    short = min(map(len, every))
-    longest = sorted(every, key=len, reverse=True)
+    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in SENTENCES.items()))
+    short = min(map(len, SENTENCES))
+    longest = sorted(SENTENCES, key=len, reverse=True)
     stretch = r"(?<=[\n\r])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in longest) + r")(?=[\n\r])|[^\n\r]+"
     return F.transform(F.regexp_extract_all(cut(text), F.lit(stretch), F.lit(0)), lambda s: F.when(
         F.length(s) >= short, F.coalesce(F.try_element_at(known, F.translate(s, "\n", " ")), F.lit(""))).otherwise(F.lit("")))
@@ -148,7 +194,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     """doc_id, n_sentences (known ones), identifiers, licenses (comma-separated), n_unresolved."""
     seen = df.select(F.col(doc_id).alias("doc_id"), sequence(identifiers(F.col(text))).alias("seq"))
     resolved = reduce(lambda c, rule: F.replace(c, F.lit("".join(f"<{i}>" for i in rule[1])), F.lit("{" + rule[0] + "}")),
-                      MORE_RULES + RULES, F.col("seq"))
+                      RULES, F.col("seq"))
     count = lambda c, mark: (F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))).cast("long")
     return seen.withColumn("done", resolved).select(
         "doc_id", count(F.col("seq"), "<").alias("n_sentences"), F.col("seq").alias("identifiers"),

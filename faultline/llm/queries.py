@@ -135,26 +135,40 @@ def op10(spark, sf_dir):
 
 
 def _license_oracle() -> str:
-    """Sentences, lookup and rules as SQL; identifiers of a text are joined in order."""
+    """The same cutting, tables and rules in RE2 patterns, which have no look-around: a line end behind
+    "version" is set aside for the list numbers, and tokens take the cut behind them along."""
     known = ", ".join(f"('{s}', '{i}')" for s, i in license_scan.SENTENCES.items())
+    said = "|".join(s.replace(" ", r"[ \n]") for s in sorted(license_scan.SENTENCES, key=len, reverse=True))
+    owner = license_scan.OWNER.replace("++", "+")
     done = "seq"
     for name, ids in license_scan.RULES:
         done = f"replace({done}, '{''.join(f'<{i}>' for i in ids)}', '{{{name}}}')"
+    cut = r"chr(10) || replace(lower(coalesce(text, '')), chr(13), chr(10)) || chr(10)"
+    cut = f"replace({cut}, 'version' || chr(10), 'version' || chr(57344))"
+    cut = rf"regexp_replace({cut}, '\n[^a-z0-9\n]*(?:[0-9]{{1,2}}|[a-z]|[ivx]{{2,4}})[.)][ \t]+', chr(10), 'g')"
+    cut = f"replace({cut}, chr(57344), chr(10))"
+    for pattern, put in ((r"[.!?][ \t\n]+", 13), (r";[ \t]+", 10)):
+        cut = f"regexp_replace({cut}, '{pattern}', chr({put}), 'g')"
+    cut = rf"""array_to_string(list_transform(regexp_extract_all({cut}, '[^\n\r]+|[\n\r]+'), lambda s:
+                 CASE WHEN regexp_matches(s, '^[^a-z0-9\n\r]*$') AND regexp_matches(s, '[\p{{L}}\p{{N}}]') THEN '0' ELSE s END), '')"""
+    for pattern, put in ((r"[^a-z0-9\n\r]+", "' '"), (r" ?\n[ \n]*", "chr(10)"), (r"[ \n]?\r[ \n\r]*", "chr(13)"),
+                         (owner, f"'{license_scan.HOLDER}'")):
+        cut = f"regexp_replace({cut}, '{pattern}', {put}, 'g')"
     return rf"""
 WITH known(sentence, id) AS (VALUES {known}),
 s AS (SELECT doc_id, unnest(x) AS s, unnest(range(len(x))) AS p FROM (SELECT doc_id,
-      string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;])[ \t]+', '\1' || chr(10), 'g'), '[\r\n]+') AS x FROM documents)),
-m AS (SELECT doc_id, p, id FROM (SELECT *, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM s)
+      list_filter(regexp_extract_all({cut}, '(?:{said})[\n\r]|[^\n\r]+[\n\r]?|[\n\r]'), lambda x: regexp_matches(x, '[^\n\r]')) AS x FROM documents)),
+m AS (SELECT doc_id, p, id FROM (SELECT *, replace(regexp_replace(s, '[\n\r]$', ''), chr(10), ' ') AS sentence FROM s)
       LEFT JOIN known USING (sentence)),
 q AS (SELECT doc_id, trim(regexp_replace(string_agg(coalesce('<' || id || '>', '|'), '' ORDER BY p), '\|+', '|', 'g'), '|') AS seq
       FROM m GROUP BY doc_id),
-r AS (SELECT doc_id, seq, {done} AS done FROM q),
+r AS (SELECT doc_id, seq, {done} AS done FROM (SELECT doc_id, coalesce(seq, '') AS seq FROM documents LEFT JOIN q USING (doc_id))),
 l AS (SELECT doc_id, string_agg(name, ',' ORDER BY i) AS licenses FROM (SELECT doc_id, name, min(i) AS i FROM (
       SELECT doc_id, unnest(regexp_extract_all(done, '\{{([^}}]*)\}}', 1)) AS name,
              unnest(range(len(regexp_extract_all(done, '\{{([^}}]*)\}}', 1)))) AS i FROM r) GROUP BY ALL) GROUP BY doc_id)
-SELECT d.doc_id, CAST(length(seq) - length(replace(seq, '<', '')) AS BIGINT) AS n_sentences, seq AS identifiers,
+SELECT doc_id, CAST(length(seq) - length(replace(seq, '<', '')) AS BIGINT) AS n_sentences, seq AS identifiers,
        coalesce(licenses, '') AS licenses, CAST(length(done) - length(replace(done, '<', '')) AS BIGINT) AS n_unresolved
-FROM documents d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)"""
+FROM r LEFT JOIN l USING (doc_id)"""
 
 
 @query("op1_license_scan", _license_oracle())

@@ -7,9 +7,10 @@ one word: the rarest of the window by the counts over all documents.  Documents'
 those rarest words in a join; a match at position p proposes the window at p - offset, and
 only where length and position leave room for it are its words compared one by one.
 
-The item side is broadcast while it has at most ``BROADCAST_ROWS`` rows, counted first; beyond
-that the same joins run as shuffles.  Documents are never grouped by a word, so a frequent
-word or passage gives no hot key.  The word counts are one extra pass over the documents.
+The item side is broadcast while it has at most ``BROADCAST_ROWS`` rows, counted first, and words are
+compared inside the compiled join.  Beyond that places of words are shuffled alone (id, mark, place,
+word), and a second join brings each text once to the windows proposed for it.  The side of the
+documents is never grouped by a word; a frequent word makes a join larger, which Spark splits.  The word counts are one extra pass over the documents.
 
 Defined results: null or wordless texts have no words and no hits; an item without words or
 without id has no windows; equal windows of several items count for each; rows of one
@@ -24,6 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.words import unused as words_unused
 from faultline.session import broadcast_if_small, materialize
 
 WINDOW = 10
@@ -81,14 +83,26 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, do
     small = items.count() * max(1, window) <= BROADCAST_ROWS * WINDOW
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), words(F.col(text)).alias("w"))
     rare = materialize(rare_words(items, rows, small), "rare-words")
-    # lower() of the library folds at least A-Z, so equal words stay equal; the comparison below is the exact one
-    seen = rows.select("doc_id", "mark", "w", F.posexplode("w").alias("at", "raw")).withColumn("rare", F.lower("raw"))
+    proposed = proposals(rows if small else rows.select("doc_id", "mark", "w"), rare, small)
+    if not small:
+        texts = rows.select(F.col("doc_id").alias("of"), F.col("mark").alias("by"), "w")
+        proposed = proposed.join(texts, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("by")))
+    held = lower_az(F.array_join(F.slice("w", F.col("start") + 1, F.col("size")), " "))
+    found = proposed.where(F.when(
+        (F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w")), held == F.col("words")).otherwise(F.lit(False)))
+    return materialize(found.select("doc_id", "mark", "start", "size", "words"), "window-places"), items
+
+
+def proposals(rows: DataFrame, rare: DataFrame, small: bool) -> DataFrame:
+    """Windows proposed by their rarest word: doc_id, mark, start, size, words, and, where the item side is
+    broadcast, the text's words ``w``, which no shuffle carries."""
+    # lower() of the library folds at least A-Z, so equal words stay equal; the comparison of all words is the exact one
+    text = ["w"] if small else ["n"]
+    seen = rows.withColumn("n", F.size("w")).select("doc_id", "mark", *text, F.posexplode("w").alias("at", "raw")).withColumn("rare", F.lower("raw"))
     # only functions that compile into the join's loop, so that a text's words are never copied per word
     start = F.col("at") - F.col("place")
-    held = lower_az(F.array_join(F.slice("w", start + 1, F.col("size")), " "))
-    found = seen.join(_sent(rare, small), "rare").where(
-        F.when((start >= 0) & (start + F.col("size") <= F.size("w")), held == F.col("words")).otherwise(F.lit(False)))
-    return materialize(found.select("doc_id", "mark", start.alias("start"), "size", "words"), "window-places"), items
+    room = (start >= 0) & (start + F.col("size") <= (F.size("w") if small else F.col("n")))
+    return seen.join(_sent(rare, small), "rare").where(room).select("doc_id", "mark", start.alias("start"), "size", "words", *(text if small else []))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
@@ -102,10 +116,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, d
         *key, F.col("item_id").cast("string").alias("item")).distinct().groupBy(*key).agg(
         F.sort_array(F.collect_list("item")).alias("items"))
     judged = hit.join(of, hit["doc_id"].eqNullSafe(of["doc_id"]) & (hit["mark"] == of["mark"])).select(
-        hit["doc_id"].alias("__id"), hit["mark"].alias("__mark"), "n_hit", "items")
+        hit["doc_id"].alias("of"), hit["mark"].alias("by"), "n_hit", "items")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"),
                        F.size(words(F.col(text))).cast("long").alias("n_words"))
-    return rows.join(judged, rows["doc_id"].eqNullSafe(F.col("__id")) & (rows["mark"] == F.col("__mark")), "left").select(
+    return rows.join(judged, rows["doc_id"].eqNullSafe(F.col("of")) & (rows["mark"] == F.col("by")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),
@@ -116,5 +130,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                       text: str = "text", item_id: str = "item_id") -> DataFrame:
     """``docs`` without the rows in which a window occurs."""
     places, _ = find_windows(docs, benchmark, window, doc_id, text, item_id)
-    bad = materialize(places.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct(), "contaminated")
-    return docs.join(broadcast_if_small(bad), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")
+    id_, mark = words_unused(docs, "bad_id", "bad_mark")
+    bad = materialize(places.select(F.col("doc_id").alias(id_), F.col("mark").alias(mark)).distinct(), "contaminated")
+    return docs.join(broadcast_if_small(bad), F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(mark)), "left_anti")

@@ -83,14 +83,15 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", coun
 def drop_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", counters: int = COUNTERS) -> DataFrame:
     """``df`` without the rows that repeat another row's text; one row of each group stays."""
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    own, id_, sha = words.unused(df, "own_sha", "gone_id", "gone_sha")
     groups = materialize(exact_groups(df, doc_id, text, counters).where("group_size > 1"), "copies")
-    keys = [F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")]
+    keys = [F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha)]
     gone = materialize(groups.where("not kept").select(*keys).distinct(), "copies-gone")
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__sha0") == F.col("__sha"))
-    rest = df.withColumn("__sha0", digest).join(broadcast_if_small(gone), same, "left_anti")
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sha))
+    rest = df.withColumn(own, digest).join(broadcast_if_small(gone), same, "left_anti")
     # a kept row may be there twice, with the same id: of such twins one stays
     twins = materialize(groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select(*keys), "twins")
     if twins.take(1):
-        once = rest.join(broadcast_if_small(twins), same, "left_semi").dropDuplicates([doc_id, "__sha0"])
+        once = rest.join(broadcast_if_small(twins), same, "left_semi").dropDuplicates([doc_id, own])
         rest = rest.join(broadcast_if_small(twins), same, "left_anti").unionByName(once)
-    return rest.drop("__sha0")
+    return rest.drop(own)

@@ -287,5 +287,6 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
 def drop_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT,
                      matches: int = MATCHES) -> DataFrame:
     """``df`` without the documents that are linked, over any path, to one with a smaller id."""
-    gone = near_duplicates(df, doc_id, text, percent, matches).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return df.join(broadcast_if_small(materialize(gone, "near-copies")), F.col(doc_id) == F.col("__id"), "left_anti")
+    (id_,) = words.unused(df, "gone_id")
+    gone = near_duplicates(df, doc_id, text, percent, matches).where("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    return df.join(broadcast_if_small(materialize(gone, "near-copies")), F.col(doc_id) == F.col(id_), "left_anti")

@@ -182,28 +182,30 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         sample: int = SAMPLE) -> Network | float:
     """Network learned from at most ``sample`` labelled rows of each label outside the held-out
     fold; the share of label 1 where a label is missing."""
-    marked = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y")).where(
-        "__y in (0, 1) and __id is not null").groupBy("__id").agg(F.min("__y").alias("__y"))
-    rows = docs.where(fold(doc_id) != 2).select(F.col(doc_id).alias("__id"), F.coalesce(text, F.lit("")).alias("__t"))
-    # the smallest hashes of each label: a bounded top-k per label, not of a group in one task
-    order = F.xxhash64("__t", F.lit("sample"))
-    known = rows.select("__id", order.alias("__h")).join(marked, "__id")
-    taken = [known.where(F.col("__y") == y).orderBy("__h", "__id").limit(sample) for y in (0, 1)]
+    marked = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where(
+        "y in (0, 1) and id is not null").groupBy("id").agg(F.min("y").alias("y"))
+    rows = docs.where(fold(doc_id) != 2).select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("t"))
+    # different texts of each label, the smallest hashes first: grouped before and behind the shuffle, then a
+    # bounded top-k per label, not of a group in one task
+    order = F.xxhash64("t", F.lit("sample"))
+    known = rows.select("id", order.alias("h")).join(marked, "id").groupBy("h", "y").agg(F.min("id").alias("id"))
+    taken = [known.where(F.col("y") == y).orderBy("h").limit(sample) for y in (0, 1)]
     picked = taken[0].unionByName(taken[1]).collect()
-    ones = sum(r["__y"] for r in picked)
+    ones = sum(r["y"] for r in picked)
     if not ones or ones == len(picked):
         return 1.0 if ones or not picked else 0.0
-    keys = docs.sparkSession.createDataFrame([(r["__id"], r["__h"], r["__y"]) for r in picked], "__id long, __h long, __y int")
+    keys = docs.sparkSession.createDataFrame([(r["id"], r["h"], r["y"]) for r in picked], "id long, h long, y int")
     words.prepare(docs.sparkSession)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in words.slices(batches, "__t"):
-            texts = [cut(t.encode(), SAMPLE_CHUNKS) for t in part.column("__t").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"h": part.column("__h"), "y": part.column("__y"),
+        for part in words.slices(batches, "t"):
+            texts = [cut(t.encode(), SAMPLE_CHUNKS) for t in part.column("t").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"h": part.column("h"), "y": part.column("y"),
                                               "chunks": pa.array(texts, pa.list_(pa.binary()))})
 
-    held = rows.withColumn("__h", order).join(F.broadcast(keys.distinct()), ["__id", "__h"]).select(
-        "__h", "__t", "__y").mapInArrow(pieces, "h long, y int, chunks array<binary>").collect()
+    # one row of each sampled text comes to the driver, however often it is there
+    held = rows.withColumn("h", order).join(F.broadcast(keys), ["id", "h"]).select("h", "t", "y").dropDuplicates(["h", "y"]).mapInArrow(
+        pieces, "h long, y int, chunks array<binary>").collect()
     held = sorted({(r["h"], r["y"]): [bytes(c) for c in r["chunks"]] for r in held}.items())
     return train([c for _, c in held], [y for (_, y), _ in held])
 
@@ -237,4 +239,5 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def drop_poor(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
               threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``."""
-    return scores(docs, fit(docs, labels, doc_id, text), text, "__score").where(F.col("__score") >= threshold).drop("__score")
+    (score,) = words.unused(docs, "own_score")
+    return scores(docs, fit(docs, labels, doc_id, text), text, score).where(F.col(score) >= threshold).drop(score)

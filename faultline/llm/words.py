@@ -48,6 +48,17 @@ def with_columns(df: DataFrame, *made: tuple[str, str]) -> StructType:
     return StructType([f for f in df.schema if f.name not in names] + list(new))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, however it spells its own."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -6,14 +6,15 @@ import duckdb
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars int, rep long, mark long, digest string, "
-          "score double, w array<string>, component string, a int, b int, key int, `odd name` string")
+          "score double, w array<string>, component string, a int, b int, key int, `odd name` string, own_sha string, "
+          "gone_id long, Bad_Id string, bad_mark long, own_score double, id long, t string, h long, y int, __id long")
 LONG = " ".join(f"w{k % 977}x{k // 977}" for k in range(60_000))
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix boxing gloves at noon"
 
 
 def docs(spark, rows, repeat=1):
     """Rows (doc_id, text) with extra columns whose names operators use inside."""
-    full = [(i, t, "en", "s", 0, 1, 2, "d", 0.5, ["w"], "c", 3, 4, 5, "o") for i, t in rows] * repeat
+    full = [(i, t, "en", "s", 0, 1, 2, "d", 0.5, ["w"], "c", 3, 4, 5, "o", "s", 1, "b", 2, 0.5, 1, "t", 2, 1, 3) for i, t in rows] * repeat
     return spark.createDataFrame(full, SCHEMA)
 
 

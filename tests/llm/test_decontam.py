@@ -50,6 +50,15 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     assert rows_of(decontam.contamination(docs(spark, rows), items(spark, ITEMS))) == brute(rows, ITEMS)
 
 
+def test_no_shuffle_carries_texts_per_word(spark):
+    rows = spark.createDataFrame([(1, 2, ["a", "b"])], "doc_id long, mark long, w array<string>")
+    rare = spark.createDataFrame([("a b", 2, "a", 0)], "words string, size int, rare string, place int")
+    plan = decontam.proposals(rows, rare.hint("merge"), False)
+    assert plan.columns == ["doc_id", "mark", "start", "size", "words"] and [tuple(r) for r in plan.collect()] == [(1, 2, 0, 2, "a b")]
+    above = plan._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0].splitlines()[-2]
+    assert "Project" in above and " w#" not in above          # what the exchange above the explosion sends
+
+
 def test_empty_tables(spark):
     df = docs(spark, ODD)
     assert not any(r["contaminated"] for r in decontam.contamination(df, items(spark, [])).collect())

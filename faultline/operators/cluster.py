@@ -3,13 +3,13 @@
 The feature table has one row per (window, machine, shift): its size follows time and
 the machine / shift cardinalities, not the number of inspections.  It is built by one
 distributed aggregate and checkpointed; scaling, PCA and K-means run on it with
-``pyspark.ml``; DBSCAN is a grid-blocked range self-join (only pairs in neighbouring
-cells are compared) followed by connected components by star contraction — no all-pairs
-product and nothing collected to the driver.
+``pyspark.ml``; DBSCAN works on a graph of grid cells, whose links are found box by box, with
+components by star contraction — no pairs of points are listed and nothing is collected.
 """
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
@@ -167,39 +167,153 @@ def kmeans_on(z: DataFrame, var: list[float]):
     return sweep, cluster_profiles(points), points.drop("defect_rate", *ABSENT_FILL.keys()), var
 
 
+# --------------------------------------------------------------------------- DBSCAN on a cell graph
+#: A node of at most LEAF points is taken apart into its points, a larger one into cells of half the side, HALVINGS times.
+LEAF, HALVINGS = 16, 8
+#: Dimensions by which occupied cells are blocked when they look for cells in reach.
+BLOCK_DIMS = 4
+
+
+def _cell(level: int, side: float, d: int):
+    """Name of a point's cell of side / 2^level."""
+    return F.concat_ws(",", F.lit(str(level)), *[F.floor(F.col(f"x{i}") * (2 ** level / side)).cast("string") for i in range(d)])
+
+
+def _nodes(pts: DataFrame, level: int, side: float, d: int) -> DataFrame:
+    """Occupied cells of a level: key, up (the cell around it), n points, and the box around them:
+    middle c and half width w (rounded up; 0 for a single point)."""
+    up = _cell(level - 1, side, d) if level else F.lit("")
+    boxes = pts.withColumn("key", _cell(level, side, d)).withColumn("up", up).groupBy("key").agg(
+        F.first("up").alias("up"), F.count(F.lit(1)).alias("n"), *[F.min(f"x{i}").alias(f"lo{i}") for i in range(d)],
+        *[F.max(f"x{i}").alias(f"hi{i}") for i in range(d)])
+    middle = [F.when(F.col(f"lo{i}") < F.col(f"hi{i}"), (F.col(f"lo{i}") + F.col(f"hi{i}")) / 2).otherwise(F.col(f"lo{i}")).alias(f"c{i}")
+              for i in range(d)]
+    width = [F.when(F.col(f"lo{i}") < F.col(f"hi{i}"), (F.col(f"hi{i}") - F.col(f"lo{i}")) / 2
+                    + (F.abs(f"lo{i}") + F.abs(f"hi{i}")) * 1e-15).otherwise(0.0).alias(f"w{i}") for i in range(d)]
+    return boxes.select("key", "up", "n", *middle, *width)
+
+
+def _single(pts: DataFrame, key, up, d: int) -> DataFrame:
+    """Points as nodes of themselves."""
+    return pts.select(key.alias("key"), up.alias("up"), F.lit(1).cast("bigint").alias("n"),
+                      *[F.col(f"x{i}").alias(f"c{i}") for i in range(d)], *[F.lit(0.0).alias(f"w{i}") for i in range(d)])
+
+
+def _summed(d: int, part):
+    """Sum over dimensions of part(distance of the middles, sum of the half widths) squared.
+
+    Lambdas keep the compiled join small enough for the JVM to compile it further."""
+    apart = F.array(*[F.abs(F.col(f"a_c{i}") - F.col(f"b_c{i}")) for i in range(d)])
+    width = F.array(*[F.col(f"a_w{i}") + F.col(f"b_w{i}") for i in range(d)])
+    return F.aggregate(F.zip_with(apart, width, part), F.lit(0.0), lambda s, x: s + x * x)
+
+
+def _gap(d: int):
+    """Squared least distance of two boxes."""
+    return _summed(d, lambda x, w: F.greatest(F.lit(0.0), x - w))
+
+
+def _reach(d: int):
+    """Squared largest distance of two boxes."""
+    return _summed(d, lambda x, w: x + w)
+
+
+def _side(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.select(*[F.col(c).alias(f"{name}_{c}") for c in nodes.columns if c != "up"])
+
+
+def _near(left: DataFrame, right: DataFrame, side: float, eps: float, d: int) -> DataFrame:
+    """Pairs of left nodes (points or cells) and right cells whose boxes come within ``eps``; only
+    occupied cells of neighbouring blocks meet."""
+    dims = range(min(BLOCK_DIMS, d))
+    a, b = _side(left, "a"), _side(right, "b")
+    for i in dims:                       # a cell is met in the block of its lowest corner, at most its side away
+        low, high = F.col(f"a_c{i}") - F.col(f"a_w{i}"), F.col(f"a_c{i}") + F.col(f"a_w{i}")
+        a = a.withColumn(f"block{i}", F.explode(F.sequence(F.floor((low - eps - side) / eps), F.floor((high + eps) / eps))))
+        b = b.withColumn(f"block{i}", F.floor((F.col(f"b_c{i}") - F.col(f"b_w{i}")) / eps))
+    keys = [f"block{i}" for i in dims]
+    # the tables are small for the work on them: they are dealt to all cores whatever their size
+    spark = left.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = a.repartition(tasks, *keys).join(b, keys)
+    for i in range(d):                   # a dimension alone tells most pairs apart
+        met = met.where(F.abs(F.col(f"a_c{i}") - F.col(f"b_c{i}")) <= F.col(f"a_w{i}") + F.col(f"b_w{i}") + eps * (1 + 1e-12))
+    return met.drop(*keys)
+
+
+def _within(pairs: DataFrame, left: DataFrame | None, right: DataFrame, side: float, eps: float, d: int) -> DataFrame:
+    """``a, b, pairs``: for pairs of nodes (keys a, b), how many of their point pairs are found within
+    ``eps``, without listing any: two boxes count as a whole once they lie within ``eps`` of each
+    other, go once they do not, and are taken apart in between.
+
+    ``left``: points of the left nodes (none if these are points already), ``right``: of the right."""
+    rows = pairs.select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "*")
+    out = None
+    for level in range(HALVINGS + 2):
+        rows = rows.withColumn("sure", _reach(d) <= eps * eps)
+        rows = materialize(rows.where(F.col("sure") | (_gap(d) <= eps * eps)), "box-pairs")
+        sure = rows.where("sure").groupBy("a", "b").agg(F.sum(F.col("a_n") * F.col("b_n")).alias("pairs"))
+        out = sure if out is None else out.unionByName(sure)
+        rows = rows.where("not sure").drop("sure")
+        if rows.isEmpty():
+            break
+        for name, pts in (("a", left), ("b", right)):
+            if pts is None:
+                continue
+            n, own = F.col(f"{name}_n"), _cell(level, side, d)
+            inner = _single(pts, own, own, d).withColumn("few", F.lit(True))
+            if level < HALVINGS:
+                inner = inner.unionByName(_nodes(pts, level + 1, side, d).withColumn("few", F.lit(False)))
+            few = n <= LEAF if level < HALVINGS else F.lit(True)
+            rows = rows.where(n == 1).unionByName(_apart(rows.where(n > 1), inner, name, few))
+    return out.groupBy("a", "b").agg(F.sum("pairs").alias("pairs"))
+
+
+def _apart(rows: DataFrame, parts: DataFrame, name: str, few) -> DataFrame:
+    """One side of the pairs replaced by the nodes inside it: points where ``few``, else cells."""
+    held = [c for c in rows.columns if c.startswith(f"{name}_")]
+    inner = parts.select(F.col("up").alias("_up"), F.col("few").alias("_few"), *[F.col(c[2:]).alias(f"_{c}") for c in held])
+    return rows.join(inner, (F.col(f"{name}_key") == F.col("_up")) & (F.col("_few") == few)).select(
+        *[F.col(f"_{c}").alias(c) if c in held else F.col(c) for c in rows.columns])
+
+
 def dbscan(z: DataFrame, eps: float = DBSCAN_EPS, min_samples: int = DBSCAN_MIN_SAMPLES,
            cols=NUM_FEATURES) -> DataFrame:
     """M-8: DBSCAN on the scaled features, Euclidean, self counted in ``min_samples``.
 
-    1. blocking: cell = floor(z / eps) in every dimension; a point is compared only
-       with points of the 3^d neighbouring cells (exact: a neighbour within eps
-       differs by ≤ eps in every coordinate, so its cell differs by at most one);
-    2. core points: ≥ ``min_samples`` neighbours (self included);
-    3. clusters: connected components of the core points, iterated until nothing changes;
-    4. border points take the smallest label among adjacent cores; the rest is noise
-       (−1).  Clusters are numbered 0.. by their smallest point key."""
-    zc = [f"z_{c}" for c in cols]
-    cells = [f"cell{i}" for i in range(len(zc))]
-    pts = z.select("pid", *zc, *[F.floor(F.col(c) / eps).alias(cell) for c, cell in zip(zc, cells)])
-    # neighbour cells: one small explode per dimension (3^d keys per point in total)
-    probe = pts
-    for cell in cells:
-        probe = probe.withColumn(cell, F.explode(F.array(F.col(cell) - 1, F.col(cell), F.col(cell) + 1)))
-    a = probe.select(F.col("pid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in zc], *cells)
-    b = pts.select(F.col("pid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in zc], *cells)
-    d2 = sum((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in zc)
-    edges = a.join(b, cells).where(d2 <= eps * eps).select("a", "b")
-    edges = materialize(edges, "edges")
-    deg = edges.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.where(F.col("deg") >= min_samples).select(F.col("a").alias("pid"))
-    core_edges = (edges.join(core.withColumnRenamed("pid", "a"), "a", "left_semi")
-                       .join(core.withColumnRenamed("pid", "b"), "b", "left_semi"))
-    linked = components(core_edges)               # core points with another core point in reach
-    labels = materialize(core.join(linked.select(F.col("node").alias("pid"), F.col("component").alias("label")), "pid", "left")
-                             .select("pid", F.coalesce("label", "pid").alias("label")), "labels")
-    border = (edges.join(labels.withColumnRenamed("pid", "b").withColumnRenamed("label", "lb"), "b")
-                   .join(core.withColumnRenamed("pid", "a"), "a", "left_anti")
-                   .groupBy("a").agg(F.min("lb").alias("label")).withColumnRenamed("a", "pid"))
+    1. cells of side eps / sqrt(d): points of one cell are within eps of each other, so all points of
+       a cell of ``min_samples`` are core without a distance;
+    2. the other points count their neighbours over the cells in reach, box by box (``_within``);
+    3. clusters: components of the graph of cells with core points, two cells being linked if
+       some core points of theirs are within eps, found in the same way;
+    4. border points take the smallest label among the cells with a core point within eps; the rest
+       is noise (−1), also a point with a null feature.  Clusters are numbered 0.. by their smallest
+       point key.
+
+    No table of point pairs is made: what is stored is linear in points and in pairs of occupied
+    cells in reach of each other."""
+    d = len(cols)
+    side = eps / math.sqrt(d) * (1 - 1e-12)
+    key = _cell(0, side, d)
+    pts = z.select("pid", *[F.col(f"z_{c}").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
+    pts = materialize(pts.withColumn("cell", key), "points")
+    cells = materialize(_nodes(pts, 0, side, d), "cells")
+    dense = cells.where(F.col("n") >= min_samples).select(F.col("key").alias("cell"))
+    thin = pts.join(dense, "cell", "left_anti")
+    around = _within(_near(_single(thin, F.col("pid"), F.col("cell"), d), cells, side, eps, d), None, pts, side, eps, d)
+    found = around.groupBy("a").agg(F.sum("pairs").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("pid"))
+    core = materialize(pts.join(dense, "cell", "left_semi").unionByName(thin.join(found, "pid", "left_semi").select(*pts.columns)), "core")
+    held = materialize(_nodes(core, 0, side, d), "core-cells")
+    edges = _within(_near(held, held, side, eps, d).where("a_key < b_key"), core, core, side, eps, d).select("a", "b")
+    linked = components(edges)                    # cells with another one in reach
+    labels = core.join(linked, core["cell"] == linked["node"], "left").select("pid", "cell", F.coalesce("component", "cell").alias("c"))
+    least = labels.groupBy("c").agg(F.min("pid").alias("label"))
+    labels = materialize(labels.join(least, "c").select("pid", "cell", "label"), "labels")
+    rest = pts.join(labels.select("pid"), "pid", "left_anti")
+    border = _within(_near(_single(rest, F.col("pid"), F.col("cell"), d), held, side, eps, d), None, core, side, eps, d)
+    border = border.join(labels.select("cell", "label").distinct(), F.col("b") == F.col("cell")).groupBy("a").agg(
+        F.min("label").alias("label")).withColumnRenamed("a", "pid")
+    labels = labels.select("pid", "label")
     all_labels = labels.unionByName(border)
     ids = all_labels.select("label").distinct().withColumn(
         "cluster", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("int"))   # one row per cluster

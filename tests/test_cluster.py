@@ -56,3 +56,45 @@ def test_long_chain_is_one_cluster(spark):
     z = spark.createDataFrame(rows, "pid string, window string, machine_id string, shift string, defect_rate double, "
                               + ", ".join(f"{c} double" for c in cols))
     assert [r["cluster"] for r in M.dbscan(z).select("cluster").distinct().collect()] == [0]
+
+
+def _cloud(spark, rows):
+    cols = [f"z_{c}" for c in M.NUM_FEATURES]
+    return spark.createDataFrame([(f"{k:05d}", f"{k:05d}", "m", "s", 0.0, *map(float, r)) for k, r in enumerate(rows)],
+                                 "pid string, window string, machine_id string, shift string, defect_rate double, "
+                                 + ", ".join(f"{c} double" for c in cols))
+
+
+def _same_clusters(got, X, eps, min_samples):
+    core, label, nb = brute_dbscan(X, eps, min_samples)
+    first = {}
+    for i in np.flatnonzero(core):                       # clusters are numbered by their smallest point
+        first.setdefault(label[i], len(first))
+    for i in range(len(X)):
+        near = [first[label[j]] for j in np.flatnonzero(nb[i] & core)]
+        want = -1 if not near else first[label[i]] if core[i] else min(near)
+        assert got[f"{i:05d}"] == want, i
+
+
+def test_boxes_taken_apart_to_points(spark, monkeypatch):
+    """Clouds around the reach of each other, with small leaves, so that boxes are halved again and again."""
+    monkeypatch.setattr(M, "LEAF", 3)
+    monkeypatch.setattr(M, "HALVINGS", 3)
+    rng = np.random.default_rng(4)
+    X = np.concatenate([rng.normal(c, 0.16, (45, 6)) for c in (0.0, 0.45, 1.6)] + [rng.uniform(-3, 3, (40, 6)), np.zeros((20, 6))])
+    got = {r["window"]: r["cluster"] for r in M.dbscan(_cloud(spark, X)).collect()}
+    _same_clusters(got, X, M.DBSCAN_EPS, M.DBSCAN_MIN_SAMPLES)
+
+
+def test_what_is_stored_is_linear_in_points(spark, monkeypatch):
+    """Half of all points in one cell: the largest stored table grows with the points, not with their pairs."""
+    def largest(n):
+        rng = np.random.default_rng(n)
+        X = np.concatenate([rng.uniform(0, 0.3, (n // 2, 6)), rng.uniform(0, 4, (n // 2, 6)) * [1, 1, 0, 0, 0, 0]])
+        held, real = [], M.materialize
+        monkeypatch.setattr(M, "materialize", lambda df, name: held.append(real(df, name)) or held[-1])
+        assert M.dbscan(_cloud(spark, X)).count() == n
+        monkeypatch.setattr(M, "materialize", real)
+        return max(t.count() for t in held)
+    small, large = largest(200), largest(800)
+    assert large <= 6 * small and large < 800 * 40

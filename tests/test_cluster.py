@@ -87,14 +87,15 @@ def test_boxes_taken_apart_to_points(spark, monkeypatch):
 
 
 def test_what_is_stored_is_linear_in_points(spark, monkeypatch):
-    """Half of all points in one cell: the largest stored table grows with the points, not with their pairs."""
+    """Half of all points in one cell, the others in as many cells at any size: the largest stored table
+    grows with the points, not with their pairs."""
     def largest(n):
-        rng = np.random.default_rng(n)
-        X = np.concatenate([rng.uniform(0, 0.3, (n // 2, 6)), rng.uniform(0, 4, (n // 2, 6)) * [1, 1, 0, 0, 0, 0]])
+        rng = np.random.default_rng(7)
+        far = rng.integers(0, 3, (n // 2, 6)) * 2.0 + rng.uniform(0, 0.1, (n // 2, 6))
+        X = np.concatenate([rng.uniform(0.5, 0.6, (n // 2, 6)), far])
         held, real = [], M.materialize
         monkeypatch.setattr(M, "materialize", lambda df, name: held.append(real(df, name)) or held[-1])
         assert M.dbscan(_cloud(spark, X)).count() == n
         monkeypatch.setattr(M, "materialize", real)
         return max(t.count() for t in held)
-    small, large = largest(200), largest(800)
-    assert large <= 6 * small and large < 800 * 40
+    assert largest(1600) <= 5 * largest(400)

@@ -62,7 +62,7 @@ WITH d AS (SELECT machine_id, CAST("timestamp" AS DATE) AS day, CAST(sum(units_i
 d2 AS (SELECT *, CASE WHEN units > 0 THEN CAST(defects AS DOUBLE) / CAST(units AS DOUBLE) ELSE 0e0 END AS rate,
               row_number() OVER (PARTITION BY machine_id ORDER BY day) - 1 AS idx,
               count(*) OVER (PARTITION BY machine_id) AS n FROM d),
-closed AS (SELECT * FROM d2 WHERE idx < n - 1),
+closed AS (SELECT * FROM d2 WHERE day + INTERVAL 1 DAY <= (SELECT max("timestamp") - INTERVAL 1 HOUR FROM event_inspections)),
 arr AS (SELECT machine_id, list(rate ORDER BY idx) AS r FROM closed GROUP BY machine_id),
 zt AS (SELECT c.*, CASE WHEN c.idx >= {J.Z_WINDOW} THEN (
            WITH w AS (SELECT list_slice(a.r, CAST(c.idx - {J.Z_WINDOW} + 1 AS BIGINT), CAST(c.idx AS BIGINT)) AS win),

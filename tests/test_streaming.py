@@ -45,3 +45,30 @@ def test_online_cusum_equals_batch_recurrence(spark):
         for (r, z, a, b), (_, row) in zip(exp, got.iterrows()):
             assert abs(row["defect_rate"] - r) < 1e-12
             assert abs(row["cusum_pos"] - a) < 1e-9 and abs(row["cusum_neg"] - b) < 1e-9
+
+
+def test_late_days_count_until_the_watermark(spark, tmp_path, monkeypatch):
+    """Files in shuffled order: days that come late, but before the watermark, are part of the result."""
+    monkeypatch.setattr(J, "WATERMARK", "10 days")
+    start = pd.Timestamp("2026-01-01")
+    rows = [(f"M{m}", start + pd.Timedelta(days=d, hours=3 * h + m), 100 + h, (d * 7 + h * 3 + m) % 11 + (20 if d > 25 else 0))
+            for m in range(2) for d in range(40) for h in range(4)]
+    cols = ["machine_id", "timestamp", "units_inspected", "defect_count"]
+    ev = pd.DataFrame(rows, columns=cols)
+    chunk = (ev["timestamp"] - start).dt.days // 5
+    last = pd.DataFrame([("M0", start + pd.Timedelta(days=80), 1, 0)], columns=cols)
+    schema = "machine_id string, timestamp timestamp, units_inspected long, defect_count long"
+    for part in [*(ev[chunk == c].sample(frac=1, random_state=c) for c in (1, 0, 3, 2, 5, 4, 7, 6)), last]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = J.run_to_parquet(J.online_cusum(stream), "t-late").toPandas()
+    for m, g in ev.groupby("machine_id"):
+        daily = g.groupby(g["timestamp"].dt.date)[["units_inspected", "defect_count"]].sum().sort_index()
+        hist, sp, sm, want = [], 0.0, 0.0, []
+        for day, r in daily.iterrows():
+            rate = r["defect_count"] / r["units_inspected"]
+            _, hist, sp, sm = J._step(rate, hist, sp, sm)
+            want.append((day, rate, sp, sm))
+        got = out[out["machine_id"] == m].sort_values("day")
+        assert list(zip(got["day"], got["defect_rate"], got["cusum_pos"], got["cusum_neg"])) == want
+    assert out["alert"].sum() > 0

@@ -61,12 +61,12 @@ class MiningSpace:
     fine: DataFrame            # pruned fine cube
     base: DataFrame            # rows with pruned dimensions and raw categorical values
 
+    max_depth: int = 3
+
     @property
     def combos(self) -> list[tuple[str, ...]]:
-        out: list[tuple[str, ...]] = [(d,) for d in self.dims]
-        out += list(itertools.combinations(self.dims, 2))
-        out += list(itertools.combinations(self.dims, 3))
-        return out
+        """Combinations of dimensions by depth, then in factor order."""
+        return [c for k in range(1, min(self.max_depth, len(self.dims)) + 1) for c in itertools.combinations(self.dims, k)]
 
 
 def dim_name(p: str) -> str:
@@ -115,7 +115,7 @@ def mining_space(df: DataFrame, max_depth: int = 3, checkpoint: bool = True) ->
     return MiningSpace(dims=dims, labels=labels, params=params, thresholds=q, min_units=min_units,
                        param_sums={p: F.lit(tot[f"s_{p}"]).cast("double") for p in params},
                        param_counts={p: F.lit(tot[f"c_{p}"]).cast("bigint") for p in params},
-                       total_u=total_u, total_d=total_d, fine=fine, base=base)
+                       total_u=total_u, total_d=total_d, fine=fine, base=base, max_depth=max_depth)
 
 
 def _sets(space: MiningSpace, max_depth: int) -> list[tuple[str, ...]]:
@@ -123,19 +123,26 @@ def _sets(space: MiningSpace, max_depth: int) -> list[tuple[str, ...]]:
 
 
 def _expanded(space: MiningSpace, cube: DataFrame, max_depth: int, carry: list[str],
-              passing: DataFrame | None = None) -> DataFrame:
+              passing: DataFrame | None = None, min_depth: int = 1, parents: DataFrame | None = None) -> DataFrame:
     """GROUPING SETS without the 92× blow-up: every cube row is exploded only into the
     combinations it can belong to (a categorical value that survived pruning, a
     parameter flag that is set) — typically ~10, not 92.  Combinations are bit masks
     over the dimensions; a row's valid mask selects them with one ``filter``.  When
     ``passing`` (qualifying slice keys, ≤ 18,400 rows by the support bound) is given,
-    rows of other slices are dropped by a broadcast semi-join *before* the shuffle."""
+    rows of other slices are dropped by a broadcast semi-join *before* the shuffle.  With
+    ``parents`` (supported slices one level up, as bounded), only rows go on whose slice has both
+    its first and its last factor's removal among them."""
     bits = {d: 1 << i for i, d in enumerate(space.dims)}
-    masks = [sum(bits[d] for d in c) for c in _sets(space, max_depth)]
+    masks = [sum(bits[d] for d in c) for c in _sets(space, max_depth) if len(c) >= min_depth]
     valid = sum((F.when(F.col(d).isNotNull() if d in CATS else F.col(d) == F.lit(True), bits[d])
                  .otherwise(0)) for d in space.dims)
     g = cube.select(*carry, *space.dims, F.explode(F.filter(
         F.array(*[F.lit(m) for m in masks]), lambda m: m.bitwiseAND(valid) == m)).alias("_m"))
+    if parents is not None:
+        top = F.create_map(*[F.lit(x) for m in masks for x in (m, 1 << (m.bit_length() - 1))])
+        for removed in (F.col("_m").bitwiseAND(F.col("_m") - 1), F.col("_m") - top[F.col("_m")]):
+            rest = F.concat_ws("|", *[F.when(removed.bitwiseAND(bits[d]) != 0, F.col(d).cast("string")).otherwise("*") for d in space.dims])
+            g = g.join(F.broadcast(parents.select(F.col("skey").alias("_parent"))), rest == F.col("_parent"), "left_semi")
     act = {d: F.col("_m").bitwiseAND(bits[d]) != 0 for d in space.dims}
     g = g.select(*carry, *[F.when(act[d], F.col(d)).alias(d) for d in space.dims],
                  *[act[d].alias(f"a_{d}") for d in space.dims])
@@ -147,13 +154,24 @@ def _expanded(space: MiningSpace, cube: DataFrame, max_depth: int, carry: list[s
 
 
 def slices(space: MiningSpace, max_depth: int = 3) -> DataFrame:
-    """P-1..P-4: every qualifying slice with in/out rates, lift and Yates p-value."""
+    """P-1..P-4: every qualifying slice with in/out rates, lift and Yates p-value.
+
+    Up to three factors are counted in one pass.  Deeper levels come one by one: a slice of k factors is
+    a candidate only if slices of k - 1 of them have support, as support can only fall with depth."""
     sums = ["u", "d", "n"] + [f"s_{p}" for p in space.params] + [f"c_{p}" for p in space.params]
     cube = space.fine.groupBy(*space.dims).agg(
         *[F.sum(c).alias(c) for c in sums], F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
-    e = _expanded(space, cube, max_depth, sums + ["ts_min", "ts_max"])
-    s = e.groupBy("skey", *space.dims, *[f"a_{d}" for d in space.dims]).agg(
-        *[F.sum(c).alias(c) for c in sums], F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
+
+    def counted(e: DataFrame) -> DataFrame:
+        return e.groupBy("skey", *space.dims, *[f"a_{d}" for d in space.dims]).agg(
+            *[F.sum(c).alias(c) for c in sums], F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
+
+    s = counted(_expanded(space, cube, min(max_depth, 3), sums + ["ts_min", "ts_max"]))
+    for level in range(4, min(max_depth, len(space.dims)) + 1):
+        held = materialize(s.where(F.col("u") >= space.min_units), "supported-slices")
+        depth = sum(F.col(f"a_{d}").cast("int") for d in space.dims)
+        e = _expanded(space, cube, level, sums + ["ts_min", "ts_max"], min_depth=level, parents=held.where(depth == level - 1))
+        s = held.unionByName(counted(e))
     s = (s.withColumn("tot_u", space.total_u).withColumn("tot_d", space.total_d)
           .withColumn("min_units", space.min_units)
           .withColumn("u_out", F.col("tot_u") - F.col("u")).withColumn("d_out", F.col("tot_d") - F.col("d")))

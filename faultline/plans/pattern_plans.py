@@ -20,7 +20,13 @@ from faultline.sources.fixtures import inspections, with_views
 Q = X.to_duckdb
 PARAMS = ["temperature", "pressure", "speed", "vibration", "humidity"]
 DIMS = P.CATS + [f"hi_{p}" for p in PARAMS]
-COMBOS = ([(d,) for d in DIMS] + list(itertools.combinations(DIMS, 2)) + list(itertools.combinations(DIMS, 3)))
+
+
+def _combos(depth: int) -> list[tuple[str, ...]]:
+    return [c for k in range(1, depth + 1) for c in itertools.combinations(DIMS, k)]
+
+
+COMBOS = _combos(3)
 TYPE_FOR_P09 = "STANDARD"
 
 
@@ -191,6 +197,25 @@ def p01(spark, sf):
                                        "defective_units", "record_count")
 
 
+def _deep_sql(depth: int) -> str:
+    """The qualifying slices of up to ``depth`` factors by grouping sets, without the tables of a pattern."""
+    global COMBOS
+    held, COMBOS = COMBOS, _combos(depth)
+    try:
+        return with_views(f"WITH {_mining_ctes()}\nSELECT {FACTORS_SQL}, factor_count, u AS units_inspected, "
+                          "d AS defective_units, n AS record_count, combo_idx FROM sl, thr")
+    finally:
+        COMBOS = held
+
+
+@register("p01b_slices_of_four_factors", _deep_sql(4))
+def p01b(spark, sf):
+    space = P.mining_space(inspections(spark, sf), 4)
+    s = P.slices(space, 4)
+    return s.select(P.describe(space)[0], "factor_count", F.col("u").alias("units_inspected"), F.col("d").alias("defective_units"),
+                    F.col("n").alias("record_count"), "combo_idx")
+
+
 @register("p03_contrast_and_significance", _pattern_sql(
     f"""{DESCRIPTION_SQL}, {Q(X.round_half_up('"r_in" * 1e2', 2))} AS slice_rate,
     {Q(X.round_half_up('"r_out" * 1e2', 2))} AS baseline_rate, lift,

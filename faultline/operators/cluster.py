@@ -12,16 +12,16 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions import formulas as X
 from faultline.functions.components import components
-from faultline.session import materialize
+from faultline.session import materialize, ship_package
 
 NUM_FEATURES = ["defect_rate", "temperature", "pressure", "speed", "vibration", "humidity"]
 # Constant parameter fills when a column is absent, cluster names.
@@ -76,26 +76,81 @@ def scaled_features(df: DataFrame, checkpoint: bool = True, min_rows: int = MIN_
     return VectorAssembler(inputCols=[f"z_{c}" for c in NUM_FEATURES], outputCol="features").transform(z)
 
 
-def pca_2d(z: DataFrame):
-    """M-3: two principal components (sign fixed: largest |loading| positive) and the
-    explained-variance ratios.  Refuses tables of fewer than ``PCA_MIN_ROWS`` windows."""
-    if z.limit(PCA_MIN_ROWS).count() < PCA_MIN_ROWS:
+def pca_2d(z: DataFrame, cols=NUM_FEATURES):
+    """M-3: two principal components (sign fixed: largest |loading| positive, the first of equal ones) and
+    the explained-variance ratios.  Refuses tables of fewer than ``PCA_MIN_ROWS`` windows.
+
+    One aggregate gives the covariances of the features, a matrix of a fixed size, whose eigenvectors
+    enter the plan as literals; no row leaves the tasks."""
+    zc = [f"z_{c}" for c in cols]
+    pairs = [(i, j) for i in range(len(zc)) for j in range(i, len(zc))]
+    got = z.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(zc[i], zc[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    if got["n"] < PCA_MIN_ROWS:
         raise ValueError(f"projection needs at least {PCA_MIN_ROWS} windows")
-    model = PCA(k=2, inputCol="features", outputCol="pcs").fit(z)
-    comps = model.pc.toArray()           # 6 × 2 loadings: bounded by the feature count
-    signs = [1.0 if comps[abs(comps[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    arr = vector_to_array("pcs")
-    out = model.transform(z).withColumn("pc1", arr[0] * signs[0]).withColumn("pc2", arr[1] * signs[1]).drop("pcs")
-    return out, [float(v) for v in model.explainedVariance.toArray()]
+    cov = np.zeros((len(zc), len(zc)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = got[f"c{i}_{j}"]
+    values, vectors = np.linalg.eigh(cov)
+    out, total = z, float(values.sum()) or 1.0
+    for k in (1, 2):
+        v = vectors[:, -k]
+        v = v * np.sign(v[np.argmax(np.round(np.abs(v), 9))])
+        out = out.withColumn(f"pc{k}", sum(F.col(c) * F.lit(float(x)) for c, x in zip(zc, v, strict=True)))
+    return out, [float(values[-k]) / total for k in (1, 2)]
+
+
+#: Points of a block; two blocks at a time are compared.
+SILHOUETTE_BLOCK = 2048
+
+
+def silhouettes(points: DataFrame, pid: str, cluster: str, cols: list[str]) -> DataFrame:
+    """M-5: ``pid, cluster, silhouette`` with Euclidean distances, exact: (b - a) / max(a, b) of the mean
+    distance a to the point's own cluster and the least mean distance b to another one; 0 in a
+    cluster of one.
+
+    Points are dealt to blocks by a hash; a task step adds up one block's distances to another one
+    by cluster, so what leaves it is a sum per point and cluster, never a pair."""
+    d = len(cols)
+    ship_package(points.sparkSession)
+    rows = materialize(points.select(F.col(pid).alias("pid"), F.col(cluster).cast("string").alias("c"),
+                                     F.array(*[F.col(x).cast("double") for x in cols]).alias("x")), "placed")
+    sizes = rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    blocks = max(1, -(-rows.count() // SILHOUETTE_BLOCK))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int"))
+    left = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("left", F.lit(True))
+    right = dealt.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("left", F.lit(False))
+
+    def sums(table: pa.Table) -> pa.Table:
+        x = np.asarray(table["x"].combine_chunks().flatten()).reshape(-1, d)
+        mine = np.asarray(table["left"].combine_chunks()).astype(bool)
+        coded = table["c"].combine_chunks().dictionary_encode()
+        code, names = np.asarray(coded.indices)[~mine], coded.dictionary
+        a, b, ids = x[mine], x[~mine], table["pid"].combine_chunks().filter(pa.array(mine))
+        found = np.zeros((len(a), len(names)))
+        for lo in range(0, len(a), 256):
+            dist = np.sqrt(((a[lo: lo + 256, None] - b) ** 2).sum(axis=2))
+            for k in range(len(names)):
+                found[lo: lo + 256, k] = dist[:, code == k].sum(axis=1)
+        who, k = np.nonzero(np.isin(np.arange(len(names)), code) & np.ones((len(a), 1), bool))
+        return pa.table({"pid": ids.take(pa.array(who)), "other": names.take(pa.array(k)), "s": found[who, k]})
+
+    kind = dict(rows.dtypes)["pid"]
+    cols_ = ["i", "j", "left", "pid", "c", "x"]
+    part = left.select(*cols_).unionByName(right.select(*cols_)).groupBy("i", "j").applyInArrow(sums, f"pid {kind}, other string, s double")
+    total = part.groupBy("pid", "other").agg(F.sum("s").alias("s")).join(F.broadcast(sizes.withColumnRenamed("c", "other")), "other")
+    means = total.join(rows.select("pid", "c"), "pid").groupBy("pid", "c").agg(
+        F.max(F.when(F.col("other") == F.col("c"), F.col("n"))).alias("n"),
+        F.max(F.when((F.col("other") == F.col("c")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(F.col("other") != F.col("c"), F.col("s") / F.col("n"))).alias("b"))
+    value = F.when((F.col("n") > 1) & (F.greatest("a", "b") > 0), (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return means.select("pid", F.col("c").alias("cluster"), F.coalesce(value, F.lit(0.0)).alias("silhouette"))
 
 
 def kmeans_sweep(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS):
     """M-4 / M-5: for each k, the best of ``restarts`` seeded runs (lowest cost); k chosen
-    by silhouette.  Spark's evaluator uses squared Euclidean distance (linear cost);
-    the exact Euclidean silhouette would need every pair of windows."""
-    z = z.select("features").cache()      # bounded feature table, read by every iteration of every fit
+    by the mean exact silhouette (M-5)."""
+    z = z.select("pid", "features", *[f"z_{c}" for c in NUM_FEATURES]).cache()      # bounded feature table, read by every iteration of every fit
     n = z.count()
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean")
     rows, best = [], None
     for k in range(k_range[0], k_range[1] + 1):
         if k >= n:
@@ -107,7 +162,7 @@ def kmeans_sweep(z: DataFrame, k_range=K_RANGE, restarts: int = RESTARTS):
                                                             predictionCol="cluster", maxIter=50).fit(z),
                                    range(restarts)))
         model = min(models, key=lambda m: m.summary.trainingCost)
-        sil = ev.evaluate(model.transform(z))
+        sil = silhouettes(model.transform(z), "pid", "cluster", [f"z_{c}" for c in NUM_FEATURES]).agg(F.avg("silhouette")).first()[0]
         rows.append((k, float(sil), float(model.summary.trainingCost)))
         if best is None or sil > best[1]:
             best = (k, sil, model)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from faultline.llm import pretokens, words
 
 #: Bytes of pieces, ids and table entries that a worker remembers before it starts anew; an entry counts ENTRY_BYTES.
-MEMO_BYTES, ENTRY_BYTES = 32 << 20, 160
+MEMO_BYTES, ENTRY_BYTES = 64 << 20, 160
 #: Bytes of text that are encoded and decoded at a time where both the ids and the text are returned.
 BOTH_BYTES = 1 << 20
 NONE = -1

@@ -16,10 +16,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from faultline.functions.quantile import exact_quantiles  # noqa: E402
 from faultline.operators import cluster, findings, investigate, kpi, patterns, trend  # noqa: E402
 from faultline.plans.catalog import QUERIES, load_all  # noqa: E402
 from faultline.session import get_spark  # noqa: E402
-from faultline.sources.fixtures import inspections  # noqa: E402
+from faultline.sources.fixtures import PARAMS, inspections  # noqa: E402
 from faultline.streaming import jobs  # noqa: E402
 
 
@@ -57,15 +58,17 @@ def main() -> None:
         run(trend.change_points(s))
     timed("t06_trend_cusum_change_point", trends)
 
-    pats = {}
+    pats, p90 = {}, {}
+    timed("q01_parameter_p90", lambda: p90.update(exact_quantiles(df, PARAMS, 0.9)))     # for mining and contributions
 
     def mine():
-        p = patterns.patterns(df)
+        p = patterns.patterns(df, thresholds=p90)
         pats["p"] = p
         run(p.where(F.col("pattern_id").isNotNull()))
     timed("p15_pattern_mining", mine)
     timed("r05_recommendations", lambda: run(findings.recommendations(pats["p"])))
-    timed("c02_contribution_ranking", lambda: run(investigate.contribution(df, "STANDARD")))
+    timed("c02_contribution_ranking", lambda: run(investigate.contribution(df, "STANDARD", thresholds=p90)))
+    timed("c05b_knn_information", lambda: run(investigate.knn_mutual_information(df, "STANDARD")))
     timed("c05_mutual_information", lambda: run(investigate.mutual_information(df, "STANDARD")))
     timed("m01_window_features", lambda: run(cluster.window_features(df)))
     timed("m04_kmeans_sweep", lambda: cluster.kmeans_sweep(cluster.scaled_features(df)))

@@ -20,7 +20,6 @@ Only scalars reach the driver.  The result equals ``quantile_cont`` / pandas'
 from __future__ import annotations
 
 import math
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,42 +35,10 @@ def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(pairs.alias("kv")).select("kv.param", "kv.v").where(F.col("v").isNotNull())
 
 
-_MEMO: dict[tuple, dict[str, float | None]] | None = None
-
-
-@contextmanager
-def memo_quantiles():
-    """Within this block, quantiles of the same plan are computed once (several
-    operators ask for the p90 of the same table).  Scoped on purpose: outside it the
-    data behind a path may change, so nothing is remembered."""
-    global _MEMO
-    outer = _MEMO
-    _MEMO = {} if outer is None else outer
-    try:
-        yield
-    finally:
-        _MEMO = outer
-
-
 def exact_quantiles(df: DataFrame, cols: list[str], p: float) -> dict[str, float | None]:
     """Exact ``p``-quantile (linear interpolation) of each column; None for empty columns."""
     if not cols:
         return {}
-    key = None
-    if _MEMO is not None:
-        try:
-            key = (df.semanticHash(), tuple(cols), p)
-        except Exception:  # noqa: BLE001 - plans without a semantic hash are simply not memoised
-            key = None
-    if key is not None and key in _MEMO:
-        return dict(_MEMO[key])
-    out = _exact_quantiles(df, cols, p)
-    if key is not None:
-        _MEMO[key] = dict(out)
-    return out
-
-
-def _exact_quantiles(df: DataFrame, cols: list[str], p: float) -> dict[str, float | None]:
     long = _long(df, cols)
     delta = 2.0 / ACCURACY
     # pass 1: one aggregate, no reshaping — count, min, max and a sketch per column

@@ -54,14 +54,16 @@ def target_baseline(df: DataFrame, defect_type: str) -> DataFrame:
 
 
 def contribution(df: DataFrame, defect_type: str, reference_cells: bool = False,
-                 top: int | None = TOP_FACTORS, max_levels: int | None = None) -> DataFrame:
+                 top: int | None = TOP_FACTORS, max_levels: int | None = None,
+                 thresholds: dict[str, float | None] | None = None) -> DataFrame:
     """C-2: per value of every factor (≥ 30 rows; with ``max_levels``, factors of at most so many values): rate of the type inside
     vs outside, lift ≥ 1, Yates p; sorted by lift desc, p asc; first ``top``.
 
     ``reference_cells=True`` reproduces the fourth contingency cell of the original
-    (outside units instead of outside non-defective units)."""
+    (outside units instead of outside non-defective units).  ``thresholds``: the parameters' p90, where
+    the caller has them already (one call of ``exact_quantiles`` serves several analyses)."""
     params = [p for p in PARAMS if p in df.columns]
-    q = exact_quantiles(df, params, 0.9)
+    q = thresholds if thresholds is not None else exact_quantiles(df, params, 0.9)
     params = [p for p in params if q.get(p) is not None]
     pairs = [F.struct(F.lit(c).alias("factor_col"), F.col(c).cast("string").alias("factor_value")) for c in CATS]
     for p in params:

@@ -73,9 +73,11 @@ def dim_name(p: str) -> str:
     return f"hi_{p}"
 
 
-def mining_space(df: DataFrame, max_depth: int = 3, checkpoint: bool = True) -> MiningSpace:
+def mining_space(df: DataFrame, max_depth: int = 3, checkpoint: bool = True,
+                 thresholds: dict[str, float | None] | None = None) -> MiningSpace:
+    """Pruned dimensions, totals and the stored fine cube.  ``thresholds``: the parameters' p90, if known."""
     params = [p for p in PARAMS if p in df.columns]
-    q = exact_quantiles(df, params, 0.9)
+    q = thresholds if thresholds is not None else exact_quantiles(df, params, 0.9)
     params = [p for p in params if q.get(p) is not None]
     thr_cols = {p: X.spark(X.sig6(X.lit(q[p]))) for p in params}
 
@@ -274,9 +276,9 @@ def affected(prof: DataFrame, cat: str, first: int | None = None) -> DataFrame:
 
 
 def patterns(df: DataFrame, max_depth: int = 3, defect_type: str | None = None,
-             checkpoint: bool = True) -> DataFrame:
+             checkpoint: bool = True, thresholds: dict[str, float | None] | None = None) -> DataFrame:
     """P-1..P-15: the full pattern table, ranked, with ids for the first 60."""
-    space = mining_space(df, max_depth, checkpoint)
+    space = mining_space(df, max_depth, checkpoint, thresholds)
     s = slices(space, max_depth)
     if checkpoint:
         s = materialize(s, "slices")

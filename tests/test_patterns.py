@@ -50,3 +50,32 @@ def test_recommendations_are_capped_and_not_causal(spark):
     audit = {r["source"]: r["caused_mentions"] for r in
              R.causal_language_audit(recommendations=recs, evidence=R.evidence(pats)).collect()}
     assert all(v == 0 for v in audit.values())
+
+
+def test_four_factors_are_mined_and_pruned_by_support(spark):
+    """A planted four-factor effect: counts of all its qualifying slices against plain counting."""
+    import itertools
+    import random
+
+    from faultline.operators import patterns as P
+    rng = random.Random(3)
+    rows = []
+    for i in range(3000):
+        m, s, b, hot = rng.choice(["M1", "M2"]), rng.choice("AB"), rng.choice(["B1", "B2"]), rng.random() < 0.09
+        bad = m == "M1" and s == "A" and b == "B1" and hot
+        rows.append((f"i{i}", f"2026-01-{1 + i % 28:02d}", m, s, b, "t", 6 if bad else rng.randrange(2), 10, 90.0 + rng.random() if hot else 10.0 + rng.random()))
+    df = spark.createDataFrame(rows, "inspection_id string, timestamp string, machine_id string, shift string, batch_id string, "
+                                     "defect_type string, defect_count long, units_inspected long, temperature double").selectExpr(
+        "* except (timestamp)", "CAST(timestamp AS timestamp_ntz) AS timestamp")
+    space = P.mining_space(df, 4)
+    got = {r["skey"]: (r["u"], r["d"]) for r in P.slices(space, 4).where("factor_count = 4").collect()}
+    cut = space.thresholds["temperature"]
+    want = {}
+    for m, s, b in itertools.product(["M1", "M2"], "AB", ["B1", "B2"]):
+        held = [r for r in rows if (r[2], r[3], r[4]) == (m, s, b) and r[8] > cut]
+        u, d = sum(r[7] for r in held), sum(r[6] for r in held)
+        rest = sum(r[6] for r in rows) - d
+        if u >= 150 and d / u >= rest / (30_000 - u):
+            want[f"{m}|{s}|{b}|true"] = (u, d)
+    assert got and got.items() <= want.items() and "M1|A|B1|true" in got
+    assert not P.slices(P.mining_space(df, 3), 3).where("factor_count > 3").count()

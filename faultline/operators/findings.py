@@ -353,10 +353,23 @@ def findings_summary(totals: DataFrame, patterns: DataFrame, cps: DataFrame) ->
     return j.select(text.alias("summary"))
 
 
+def _ranked_list(df: DataFrame, key: str, name: str, limit: int | None = None) -> DataFrame:
+    """One row: the members of a K-12 / K-13 ranking as an ordered list of structs."""
+    rows = df if limit is None else df.where(F.col("risk_rank") <= limit)
+    return rows.agg(F.array_sort(F.collect_list(F.struct(
+        "risk_rank", key, "defect_rate_pct", "ci_lower", "ci_upper", "defect_count", "units_inspected", "inspection_count",
+        "display_summary"))).alias(name))
+
+
 def context_record(totals: DataFrame, risk: DataFrame, types: DataFrame, patterns: DataFrame,
-                   cps: DataFrame, recs: DataFrame, n_patterns: int = 10, n_recs: int = 8) -> DataFrame:
-    """R-10: one JSON document: dataset, defect types, KPI summary, top patterns, change
-    points, top recommendations.  Every list is bounded (top-n or one per type)."""
+                   cps: DataFrame, recs: DataFrame, machines: DataFrame, shifts: DataFrame,
+                   alerts: DataFrame | None = None, n_patterns: int = 10, n_recs: int = 8) -> DataFrame:
+    """R-10: one JSON document: dataset, defect types, KPI summary, machine and shift analysis
+    (their whole rankings), top patterns, change points, top recommendations.
+
+    ``active_alerts`` counts the rows of ``alerts`` (spike periods, for instance); 0 without them.
+    Every list is a top-n or has one entry a type, machine, shift or change point.  Without rows
+    the lists are empty and the rates 0 or missing."""
     kp = risk.groupBy().agg(
         F.max(F.when(F.col("dimension") == "machine_id", F.col("member"))).alias("highest_risk_machine"),
         F.max(F.when(F.col("dimension") == "machine_id", F.col("rate_pct"))).alias("highest_risk_machine_rate_pct"),
@@ -366,12 +379,15 @@ def context_record(totals: DataFrame, risk: DataFrame, types: DataFrame, pattern
         F.col("rank"), "pattern_id", "description", "defect_type", F.col("slice_rate").alias("slice_rate_pct"),
         F.col("baseline_rate").alias("baseline_rate_pct"), "lift", "sample_size",
         F.col("p_display").alias("p_value"), F.col("pattern_score").alias("score")))).alias("top_patterns"))
-    cp = cps.agg(F.collect_list(F.struct(F.col("cp_date").cast("string").alias("date"), "direction",
-                                         "before_rate", "after_rate", "cusum_value")).alias("change_points"))
+    cp = cps.agg(F.array_sort(F.collect_list(F.struct(F.col("cp_date").cast("string").alias("date"), "direction",
+                                                      "before_rate", "after_rate", "cusum_value"))).alias("change_points"))
     rc = recs.where(F.col("rec_rank") <= n_recs).agg(F.array_sort(F.collect_list(F.struct(
         "rec_rank", "pattern_id", "category", "priority", "text"))).alias("recommendations"))
+    al = totals.select(F.lit(0).cast("bigint").alias("active_alerts")) if alerts is None else alerts.agg(
+        F.count(F.lit(1)).alias("active_alerts"))
     j = _one(totals)
-    for other in (kp, tl, tp, cp, rc):
+    for other in (kp, tl, tp, cp, rc, al, _ranked_list(machines, "machine_id", "machine_analysis"),
+                  _ranked_list(shifts, "shift", "shift_analysis")):
         j = j.join(_one(other), "_one", "left")
     doc = F.struct(
         F.struct(F.col("inspection_records").alias("total_inspections"),
@@ -380,11 +396,47 @@ def context_record(totals: DataFrame, risk: DataFrame, types: DataFrame, pattern
         .alias("dataset"),
         "defect_types",
         F.struct("highest_risk_machine", "highest_risk_machine_rate_pct", "highest_risk_shift",
-                 F.lit(0).alias("active_alerts")).alias("kpi_summary"),
+                 "active_alerts").alias("kpi_summary"),
+        "machine_analysis", "shift_analysis",
         "top_patterns", "change_points", "recommendations", F.lit(CONTEXT_DISCLAIMER).alias("disclaimer"))
     return j.select(F.to_json(doc).alias("context_json"))
 
 
+#: What a reader needs of a context record, by JSON path: one row of the parsed record each.
+CONTEXT_PATHS = {
+    "total_inspections": "$.dataset.total_inspections", "overall_defect_rate_pct": "$.dataset.overall_defect_rate_pct",
+    "date_min": "$.dataset.date_range[0]", "date_max": "$.dataset.date_range[1]",
+    "highest_risk_machine": "$.kpi_summary.highest_risk_machine", "highest_risk_shift": "$.kpi_summary.highest_risk_shift",
+    "active_alerts": "$.kpi_summary.active_alerts", "disclaimer": "$.disclaimer"}
+#: Lists of a context record: their JSON type, and the fields that are listed.
+CONTEXT_LISTS = {
+    "machine_analysis": ("array<struct<machine_id:string,defect_rate_pct:double,defect_count:bigint,units_inspected:bigint>>",
+                         ("machine_id", "defect_rate_pct", "defect_count", "units_inspected")),
+    "shift_analysis": ("array<struct<shift:string,defect_rate_pct:double,defect_count:bigint,units_inspected:bigint>>",
+                       ("shift", "defect_rate_pct", "defect_count", "units_inspected")),
+    "top_patterns": ("array<struct<pattern_id:string,description:string,lift:double,sample_size:bigint,score:bigint>>",
+                     ("pattern_id", "description", "lift", "sample_size", "score")),
+    "change_points": ("array<struct<date:string,direction:string>>", ("date", "direction")),
+    "recommendations": ("array<struct<category:string,priority:string,text:string>>", ("category", "priority", "text"))}
+
+
+def read_context(record: DataFrame) -> DataFrame:
+    """The record parsed back: ``part``, ``position`` (0 for single values, from 1 in lists), ``field``, ``value`` as text."""
+    whole = F.from_json("context_json", ", ".join(f"{k} {t}" for k, (t, _) in CONTEXT_LISTS.items()) + ", defect_types array<string>")
+    parsed = record.select("context_json", whole.alias("w"))
+    single = [F.struct(F.lit("record").alias("part"), F.lit(0).alias("position"), F.lit(k).alias("field"),
+                       F.get_json_object("context_json", p).alias("value")) for k, p in CONTEXT_PATHS.items()]
+
+    def listed(part: str, field: str, of):
+        return F.transform(F.col(f"w.{part}"), lambda x, i: F.struct(
+            F.lit(part).alias("part"), (i + 1).alias("position"), F.lit(field).alias("field"), of(x).alias("value")))
+
+    lists = [listed("defect_types", "defect_type", lambda x: x)]
+    for k, (_, fields) in CONTEXT_LISTS.items():
+        lists += [listed(k, f, lambda x, f=f: x[f].cast("string")) for f in fields]
+    return parsed.select(F.explode(F.concat(F.array(*single), *lists)).alias("r")).select("r.*")
+
+
 def report_sections(patterns: DataFrame, recs: DataFrame, n_multi: int = 10, n_single: int = 8,
                     n_recs: int = 10) -> DataFrame:
     """R-11: rows of the report's tables: top multi-factor patterns, single-factor
@@ -402,6 +454,78 @@ def report_sections(patterns: DataFrame, recs: DataFrame, n_multi: int = 10, n_s
     return multi.unionByName(single).unionByName(rs)
 
 
+# What the report says about its methods (section 13), in the order of its rows.
+REPORT_METHOD = {
+    "pattern_score": "Weighted sum of five parts, each from 0 to 1: lift, significance (chi-square), sample size, weekly recurrence, effect size.",
+    "baseline": "The defect rate of all units outside the slice.",
+    "lift": "Slice rate / baseline rate; above 1 the slice has the higher risk."}
+REPORT_TITLES = ("executive_summary", "dataset_overview", "quality_kpis", "trend", "machines", "shifts", "defect_types",
+                 "machine_shift_matrix", "process_parameters", "multi_factor_patterns", "single_factor_signals",
+                 "recommended_investigations", "methodology", "disclaimer")
+
+
+def _section(df: DataFrame, number: int, position, item, texts: tuple = (), numbers: tuple = ()) -> DataFrame:
+    """Rows of one section: a row per (row of ``df``, field), as ``text`` or as ``number``."""
+    cell = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text"), F.lit(None).cast("double").alias("number")) for c in texts]
+    cell += [F.struct(F.lit(c).alias("field"), F.lit(None).cast("string").alias("text"), F.col(c).cast("double").alias("number")) for c in numbers]
+    return df.select(F.lit(number).alias("section"), F.lit(REPORT_TITLES[number - 1]).alias("title"),
+                     position.cast("bigint").alias("position"), item.cast("string").alias("item"),
+                     F.explode(F.array(*cell)).alias("c")).select("section", "title", "position", "item", "c.*")
+
+
+def full_report(totals: DataFrame, summary: DataFrame, series: DataFrame, trend_text: DataFrame, machines: DataFrame,
+                shifts: DataFrame, types: DataFrame, cells: DataFrame, params: DataFrame, patterns: DataFrame,
+                recs: DataFrame, source: str, n_multi: int = 10, n_single: int = 8, n_recs: int = 10) -> DataFrame:
+    """R-11: all 14 sections as one long table: section, title, position, item, field, text, number.
+
+    Inputs are results of the other operators, with a row per period, member, cell, parameter or
+    pattern, none per inspection.  A cell of the machine x shift matrix (pairs that occur) has its
+    observed rate and, as ``mean_of_margins_pct``, the mean of its machine's and its shift's rate.
+    A section whose input is empty has no rows."""
+    one = F.lit(1)
+    cards = ("inspection_records", "units_inspected", "defective_units")
+    size = _one(totals)
+    for df, name in ((machines, "machines"), (shifts, "shifts")):
+        size = size.join(_one(df.agg(F.count(one).alias(name))), "_one")
+    matrix = cells.join(machines.select("machine_id", F.col("defect_rate_pct").alias("m")), "machine_id").join(
+        shifts.select("shift", F.col("defect_rate_pct").alias("s")), "shift").withColumn(
+        "mean_of_margins_pct", (F.col("m") + F.col("s")) / 2)
+    order = F.create_map(*[x for i, p in enumerate(PARAM_ORDER) for x in (F.lit(p), F.lit(i + 1))])[F.col("parameter")]
+    split = single_multi_split(patterns, max(n_multi, n_single)).where(
+        F.col("kind_rank") <= F.when(F.col("kind") == "multi", n_multi).otherwise(n_single))
+    found = ("slice_rate", "baseline_rate", "lift")
+    spark = totals.sparkSession
+    method = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), F.lit(t).alias("text"))
+                                                       for i, (k, t) in enumerate(REPORT_METHOD.items(), 1)])).alias("r")).select("r.*")
+    closing = spark.range(1).select(F.lit(CONTEXT_DISCLAIMER).alias("text"))
+    parts = [
+        _section(summary, 1, one, F.lit("summary"), ("executive_summary",)),
+        _section(size.withColumn("source", F.lit(source)), 2, one, F.lit("dataset"), ("source", "date_min", "date_max"),
+                 (*cards, "days_span", "machines", "shifts")),
+        _section(totals, 3, one, F.lit("kpis"), (), (*cards, "defect_rate_pct")),
+        _section(series, 4, F.col("idx") + 1, F.col("period"), (), ("defect_rate",)),
+        _section(trend_text.withColumnRenamed("text", "interpretation"), 4, F.lit(0), F.lit("interpretation"), ("interpretation",)),
+        _section(machines, 5, F.col("risk_rank"), F.col("machine_id"), ("status",), ("defect_rate_pct",)),
+        _section(shifts, 6, F.col("risk_rank"), F.col("shift"), ("status",), ("defect_rate_pct",)),
+        _section(types, 7, F.col("rank"), F.col("defect_type"), (),
+                 ("defect_count", "defect_rate_pct", "share_of_total_defects_pct")),
+        _section(matrix, 8, one, F.concat_ws(" x ", "machine_id", "shift"), (), ("defect_rate_pct", "mean_of_margins_pct")),
+        _section(params, 9, order, F.col("parameter"), ("status",),
+                 ("threshold_q90", "high_threshold_rate_pct", "baseline_rate_pct", "lift")),
+        _section(split.where("kind = 'multi'"), 10, F.col("kind_rank"), F.col("description"), ("pattern_id", "defect_type"),
+                 (*found, "pattern_score")),
+        _section(split.where("kind = 'single'"), 11, F.col("kind_rank"), F.col("description"), ("defect_type",),
+                 (*found, "sample_size")),
+        _section(recs.where(F.col("rec_rank") <= n_recs), 12, F.col("rec_rank"), F.col("category"), ("priority", "text")),
+        _section(method, 13, F.col("i"), F.col("k"), ("text",)),
+        _section(closing, 14, one, F.lit("note"), ("text",)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def dataset_summary(df: DataFrame, source: str) -> DataFrame:
     """S-7: loaded flag, rows, defect rate, date range, source label."""
     return df.agg(

@@ -15,6 +15,7 @@ from faultline.plans import pattern_plans as PP
 from faultline.plans import trend_plans  # noqa: F401  (registers the oracles reused below)
 from faultline.plans.catalog import register
 from faultline.plans.kpi_plans import k14 as k14_query
+from faultline.session import materialize
 from faultline.sources.fixtures import inspections, with_views
 
 Q = X.to_duckdb
@@ -246,13 +247,98 @@ def r09(spark, sf):
     return R.findings_summary(kpi.kpi_totals(df), pats, trend.change_points(s))
 
 
+def _cells(rows: str, number: int, position: str, item: str, texts: tuple = (), numbers: tuple = ()) -> str:
+    """The rows of a report section: a list of its fields, unnested."""
+    cell = [f"{{'field': '{c}', 'text': CAST(\"{c}\" AS VARCHAR), 'number': CAST(NULL AS DOUBLE)}}" for c in texts]
+    cell += [f"{{'field': '{c}', 'text': CAST(NULL AS VARCHAR), 'number': CAST(\"{c}\" AS DOUBLE)}}" for c in numbers]
+    return (f"SELECT {number} AS section, '{R.REPORT_TITLES[number - 1]}' AS title, CAST({position} AS BIGINT) AS position, "
+            f"CAST({item} AS VARCHAR) AS item, unnest([{', '.join(cell)}], recursive := true) FROM ({rows})")
+
+
+def _report_sql(source: str) -> str:
+    from faultline.plans.catalog import ORACLES as O
+    t, m, s = O["k02_kpi_totals"], O["k12_machine_ranking"], O["k13_shift_ranking"]
+    cards = ("inspection_records", "units_inspected", "defective_units")
+    pats = _findings_sql(", split AS (SELECT *, row_number() OVER (PARTITION BY factor_count >= 2 ORDER BY rank) AS kind_rank FROM patv)"
+                         " SELECT * FROM split WHERE {kind}")
+    method = " UNION ALL ".join(f"SELECT {i} AS i, '{k}' AS k, '{x}' AS \"text\"" for i, (k, x) in enumerate(R.REPORT_METHOD.items(), 1))
+    order = "CASE parameter " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(R.PARAM_ORDER, 1)) + " END"
+    found = ("slice_rate", "baseline_rate", "lift")
+    return "\nUNION ALL ".join([
+        _cells(_r08_sql(), 1, "1", "'summary'", ("executive_summary",)),
+        _cells(f"""SELECT *, '{source}' AS source, (SELECT count(*) FROM ({m})) AS machines, (SELECT count(*) FROM ({s})) AS shifts
+                   FROM ({t})""", 2, "1", "'dataset'", ("source", "date_min", "date_max"), (*cards, "days_span", "machines", "shifts")),
+        _cells(t, 3, "1", "'kpis'", (), (*cards, "defect_rate_pct")),
+        _cells(O["t02_adaptive_grain_trend"], 4, "idx + 1", "period", (), ("defect_rate",)),
+        _cells(f"SELECT \"text\" AS interpretation FROM ({O['t10_trend_interpretation']})", 4, "0", "'interpretation'", ("interpretation",)),
+        _cells(m, 5, "risk_rank", "machine_id", ("status",), ("defect_rate_pct",)),
+        _cells(s, 6, "risk_rank", "shift", ("status",), ("defect_rate_pct",)),
+        _cells(O["k08_defect_type_ranking"], 7, "rank", "defect_type", (),
+               ("defect_count", "defect_rate_pct", "share_of_total_defects_pct")),
+        _cells(f"""SELECT m.machine_id, s.shift, c.defect_rate_pct, (m.defect_rate_pct + s.defect_rate_pct) / 2 AS mean_of_margins_pct
+                   FROM ({O["k15_machine_shift_heatmap"]}) c JOIN ({m}) m ON c.machine_id = m.machine_id
+                     JOIN ({s}) s ON c.shift = s.shift""", 8, "1", "machine_id || ' x ' || shift", (),
+               ("defect_rate_pct", "mean_of_margins_pct")),
+        _cells(O["k14_parameter_contrast"], 9, order, "parameter", ("status",),
+               ("threshold_q90", "high_threshold_rate_pct", "baseline_rate_pct", "lift")),
+        _cells(pats.replace("{kind}", "factor_count >= 2 AND kind_rank <= 10"), 10, "kind_rank", "description", ("pattern_id", "defect_type"), (*found, "pattern_score")),
+        _cells(pats.replace("{kind}", "factor_count < 2 AND kind_rank <= 8"), 11, "kind_rank", "description", ("defect_type",), (*found, "sample_size")),
+        _cells(_findings_sql("SELECT * FROM recs25 WHERE rec_rank <= 10"), 12, "rec_rank", "category", ("priority", "text")),
+        _cells(method, 13, "i", "k", ('text',)),
+        _cells(f"SELECT '{R.CONTEXT_DISCLAIMER}' AS \"text\"", 14, "1", "'note'", ('text',)),
+    ])
+
+
+def _context_sql() -> str:
+    """The record's values from the other oracles, as ``read_context`` lists them."""
+    from faultline.plans.catalog import ORACLES as O
+    t, m, s, risk = O["k02_kpi_totals"], O["k12_machine_ranking"], O["k13_shift_ranking"], O["k05_highest_risk"]
+
+    def lists(part: str, rows: str, position: str, fields: dict[str, str]) -> str:
+        cell = ", ".join(f"{{'field': '{f}', 'value': CAST({c} AS VARCHAR)}}" for f, c in fields.items())
+        return (f"SELECT '{part}' AS part, CAST({position} AS INTEGER) AS position, unnest([{cell}], recursive := true) "
+                f"FROM ({rows})")
+
+    ranked = {c: c for c in ("defect_rate_pct", "defect_count", "units_inspected")}
+    return "\nUNION ALL ".join([
+        lists("record", t, "0", {"total_inspections": "inspection_records", "overall_defect_rate_pct": "defect_rate_pct",
+                                 "date_min": "date_min", "date_max": "date_max"}),
+        lists("record", f"SELECT * FROM ({risk}) WHERE dimension = 'machine_id'", "0", {"highest_risk_machine": "member"}),
+        lists("record", f"SELECT * FROM ({risk}) WHERE dimension = 'shift'", "0", {"highest_risk_shift": "member"}),
+        lists("record", f"SELECT count(*) AS n FROM ({O['t05_spike_periods']})", "0", {"active_alerts": "n"}),
+        lists("record", "SELECT 1", "0", {"disclaimer": f"'{R.CONTEXT_DISCLAIMER}'"}),
+        lists("defect_types", f"SELECT *, row_number() OVER (ORDER BY defect_type) AS i FROM ({O['k24_distinct_defect_types']})",
+              "i", {"defect_type": "defect_type"}),
+        lists("machine_analysis", m, "risk_rank", {"machine_id": "machine_id"} | ranked),
+        lists("shift_analysis", s, "risk_rank", {"shift": "shift"} | ranked),
+        lists("top_patterns", _findings_sql("SELECT * FROM patv WHERE rank <= 10"), "rank",
+              {"pattern_id": "pattern_id", "description": "description", "lift": "lift", "sample_size": "sample_size",
+               "score": "pattern_score"}),
+        lists("change_points", f"SELECT *, row_number() OVER (ORDER BY cp_date) AS i FROM ({O['t07_change_point']})", "i",
+              {"date": "cp_date", "direction": "direction"}),
+        lists("recommendations", _findings_sql("SELECT * FROM recs25 WHERE rec_rank <= 8"), "rec_rank",
+              {"category": "category", "priority": "priority", "text": '"text"'}),
+    ])
+
+
+def _context(spark, sf):
+    df = inspections(spark, sf)
+    pats = materialize(P.patterns(df), "patterns")
+    s = materialize(trend.trend_series(df), "series")
+    return R.context_record(kpi.kpi_totals(df), kpi.highest_risk(df), kpi.distinct_types(df), pats, trend.change_points(s),
+                            R.recommendations(pats), kpi.member_ranking(df, "machine_id", "inspection_id"),
+                            kpi.member_ranking(df, "shift", "defect_count"), s.where("spike_flag = 1"))
+
+
 @register("r10_context_record")
 def r10(spark, sf):
-    df = inspections(spark, sf)
-    pats = P.patterns(df)
-    s = trend.trend_series(df)
-    return R.context_record(kpi.kpi_totals(df), kpi.highest_risk(df), kpi.distinct_types(df), pats,
-                            trend.change_points(s), R.recommendations(pats))
+    return _context(spark, sf)
+
+
+@register("r10b_context_parsed_back", _context_sql())
+def r10b(spark, sf):
+    """The JSON document read back, value by value."""
+    return R.read_context(materialize(_context(spark, sf), "context"))
 
 
 def _r08_sql() -> str:
@@ -296,6 +382,19 @@ def r08(spark, sf):
                                kpi.member_ranking(df, "shift", "defect_count"), kpi.parameter_contrast(df))
 
 
+@register("r11b_full_report", _report_sql("parquet:inspections"))
+def r11b(spark, sf):
+    df = inspections(spark, sf)
+    totals, types = materialize(kpi.kpi_totals(df), "totals"), materialize(kpi.defect_type_ranking(df), "types")
+    machines = materialize(kpi.member_ranking(df, "machine_id", "inspection_id"), "machines")
+    shifts = materialize(kpi.member_ranking(df, "shift", "defect_count"), "shifts")
+    params, pats = materialize(kpi.parameter_contrast(df), "parameters"), materialize(P.patterns(df), "patterns")
+    series = materialize(trend.trend_series(df), "series")
+    return R.full_report(totals, R.executive_summary(totals, types, machines, shifts, params), series,
+                         trend.interpretation(series, trend.change_points(series)), machines, shifts, types, kpi.heatmap(df),
+                         params, pats, R.recommendations(pats), "parquet:inspections")
+
+
 # ---------------------------------------------------------------- S-6 / S-7
 @register("s06_json_safe_parameter_contrast", __import__("faultline.plans.catalog", fromlist=["ORACLES"])
           .ORACLES["k14_parameter_contrast"])

@@ -126,8 +126,10 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id""")
 def op10(spark, sf_dir):
-    said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("\\### Assistant: </turn> ok")
+    turn = F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role")
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), turn).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "role", said.alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     path = folder(spark, "conversations")
     chat.format_conversations(chat.log_of_rows(rows), path)

@@ -53,3 +53,24 @@ def test_json_safe_reaches_nested_numbers(spark):
     df = spark.sql("SELECT double('NaN') AS a, named_struct('x', array(1.5D, double('Infinity')), 'm', map('k', double('-Infinity'))) AS s")
     row = findings.json_safe(df).first()
     assert row["a"] is None and row["s"]["x"] == [1.5, None] and row["s"]["m"] == {"k": None}
+
+
+def test_line_items_are_not_shuffled_for_customers(spark):
+    """Customers are joined to the orders, so that line items meet orders, suppliers and parts only."""
+    from faultline.sources.fixtures import join_inspections
+
+    j = join_inspections(spark, "/root/testdata/sf0.001", with_part_lot=True)
+    plan = j._jdf.queryExecution().optimizedPlan()
+
+    def tables(node):
+        text = node.toString()
+        return {t for t in ("l_orderkey", "o_orderkey", "c_custkey", "s_suppkey", "p_partkey") if t in text}
+
+    joins, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Join":
+            joins.append(tables(node))
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert {"o_orderkey", "c_custkey"} in joins

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -212,18 +213,24 @@ def describe(space: MiningSpace) -> list[Column]:
 
 
 def slice_profiles(space: MiningSpace, passing: DataFrame, max_depth: int = 3, checkpoint: bool = True) -> DataFrame:
-    """Per-slice breakdowns: (kind, key) for kind ∈ {week, defect type} from the cube, and for
-    raw batches, shifts and machines from the rows, which the cube does not hold.  Rows of
+    """Per-slice breakdowns: (kind, key) for kind ∈ {week, defect type, batch, shift, machine} from the
+    cube; batches, shifts and machines that it does not hold (pruned or null) from their rows.  Rows of
     non-qualifying slices are dropped by the broadcast semi-join before the shuffle, and one
     aggregate yields (slice, kind, key) → units, defects, rows: its size is bounded by the
     qualifying slices times the members that they have."""
-    tags = F.explode(F.array(
-        F.struct(F.lit("week").alias("kind"), F.col("week").cast("string").alias("key")),
-        F.struct(F.lit("type").alias("kind"), F.col("defect_type").alias("key"))))
-    raw = F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(f"raw_{c}").alias("key")) for c in CATS]))
+    def tag(kind, key):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+
+    def told(*tags):
+        return F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull()))
+
+    tags = told(tag("week", F.col("week").cast("string")), tag("type", F.col("defect_type")),
+                *[F.when(F.col(c).isNotNull(), tag(c, F.col(c))) for c in CATS])
+    raw = told(*[F.when(F.col(c).isNull(), tag(c, F.col(f"raw_{c}"))) for c in CATS])
+    pruned = reduce(Column.__or__, [F.col(c).isNull() for c in CATS])
     measures = [F.sum("u").alias("u"), F.sum("d").alias("d"), F.sum("n").alias("n")]
     cube = space.fine.select(*space.dims, "u", "d", "n", tags.alias("t")).unionByName(
-        space.base.select(*space.dims, F.col("units_inspected").alias("u"), F.col("defect_count").alias("d"),
+        space.base.where(pruned).select(*space.dims, F.col("units_inspected").alias("u"), F.col("defect_count").alias("d"),
                           F.lit(1).cast("bigint").alias("n"), raw.alias("t"))) \
         .groupBy(*space.dims, "t.kind", "t.key").agg(*measures)
     prof = (_expanded(space, cube, max_depth, ["kind", "key", "u", "d", "n"], passing)

@@ -79,3 +79,28 @@ def test_four_factors_are_mined_and_pruned_by_support(spark):
             want[f"{m}|{s}|{b}|true"] = (u, d)
     assert got and got.items() <= want.items() and "M1|A|B1|true" in got
     assert not P.slices(P.mining_space(df, 3), 3).where("factor_count > 3").count()
+
+
+def test_members_of_slices_come_from_the_cube_and_pruned_ones_from_their_rows(spark):
+    """Rows are scanned again for pruned or null members only; the counts are those of all rows."""
+    df = planted(spark, 3000).withColumn("batch_id", F.expr(
+        "CASE WHEN pmod(xxhash64(inspection_id), 40) = 0 THEN inspection_id WHEN pmod(xxhash64(inspection_id), 40) <> 1 THEN batch_id END"))
+    space = P.mining_space(df)
+    passing = P.slices(space).select("skey")
+    rows = P.slice_profiles(space, passing, checkpoint=False)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnull(batch_id" in plan.lower()
+    got = {(r["skey"], r["kind"], r["key"]): (r["u"], r["d"], r["n"]) for r in rows.collect() if r["kind"] in P.CATS}
+    want: dict = {}
+    keys = {r[0] for r in passing.collect()}
+    kept = {c: {r[c] for r in space.base.select(c).distinct().collect()} for c in P.CATS}
+    assert len(kept["batch_id"]) == 11 and None in kept["batch_id"]
+    for r in df.collect():
+        for skey in keys:
+            parts = skey.split("|")
+            if any(p != "*" and r[c] != p for c, p in zip(P.CATS, parts)) or any(p != "*" for p in parts[3:]):
+                continue
+            for c in P.CATS:
+                u, d, n = want.get((skey, c, r[c]), (0, 0, 0))
+                want[(skey, c, r[c])] = (u + r["units_inspected"], d + r["defect_count"], n + 1)
+    assert got == want and any(k[2] is None for k in got)

@@ -1,7 +1,9 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
-from faultline.llm import quality, queries
+from faultline.llm import quality, queries, words
 from llm.helpers import ODD, docs
 
 MID = "/root/testdata/sf0.01"
@@ -48,6 +50,21 @@ def test_score_does_not_depend_on_the_slice():
     assert np.allclose(net.score(*join(texts)), alone, atol=1e-6)
 
 
+def test_scoring_a_slice_takes_little_memory():
+    """Two workers share an executor's memory with the JVM: a slice costs a few times its bytes."""
+    net, rng = quality.Network(3), np.random.default_rng(4)
+    sizes = np.array([0, 3, 200_000, *rng.integers(1, 5000, 2000)])
+    data = rng.integers(32, 127, min(sizes.sum(), words.SLICE_BYTES)).astype(np.uint8)
+    off = np.minimum(np.concatenate([[0], np.cumsum(sizes)]), len(data))
+    tracemalloc.start()
+    try:
+        got = net.score(data, off)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == len(sizes) and peak < 8 * words.SLICE_BYTES
+
+
 def test_odd_rows_and_missing_labels(spark):
     df = docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -21,7 +21,8 @@ other half (three differing bits leave one of its four bytes equal), cut into bl
 block pair returns a forest of the links found in it.  No anchor, however crowded, lands in one
 task, and pairs that are connected already are not listed.
 
-Moved between tasks: 17 anchors of 16 bytes for each half of each distinct fingerprint.
+Moved between tasks: 17 anchors of 16 bytes for each half of each distinct fingerprint.  All
+joins shuffle; nothing is broadcast, as sizes behind an explode are not known beforehand.
 
 Defined results: null and wordless texts have fingerprint zero, linked like any other; equal
 fingerprints are linked; rows of one id are one document that has the links of all its rows,
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.components import components
 from faultline.llm import words
-from faultline.session import discard, materialize
+from faultline.session import discard, materialize, shuffled
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 #: Homes of an anchor that meet its replicas in a join; more are compared in blocks of at most BLOCK.
@@ -180,8 +181,8 @@ def _crowded(placed: DataFrame) -> DataFrame:
     dealt = placed.select("key", "fp", "c", "home", part.alias("p")).select("key", "fp", "c", "home", "p.j", "p.byte")
     sizes = dealt.groupBy(*by).agg(F.sum(F.col("home").cast("long")).alias("h"), F.count(F.lit(1)).alias("n"),
                                    F.min("c").alias("lo"), F.max("c").alias("hi")).where("h > 0 and lo < hi")
-    dealt = dealt.join(sizes.select(*by, F.ceil(F.col("h") / BLOCK).cast("int").alias("hb"),
-                                    F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), by)
+    dealt = shuffled(dealt).join(sizes.select(*by, F.ceil(F.col("h") / BLOCK).cast("int").alias("hb"),
+                                              F.ceil(F.col("n") / BLOCK).cast("int").alias("nb")), by)
     block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
     left = dealt.where("home").withColumn("x", block("hb")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     right = dealt.withColumn("y", block("nb")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("hb") - 1)))
@@ -204,22 +205,23 @@ def linked(marks: DataFrame) -> DataFrame:
     held = marks.select("fp", F.explode(F.array(low, high)).alias("key"))
     heads = held.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("head"), F.count(F.lit(1)).alias("homes"))
     # a replica matters if it is linked to the home drawn, or if that is not the only one
-    met = covering(marks).join(heads, "key").where(
+    met = shuffled(covering(marks)).join(heads, "key").where(
         (F.col("homes") > 1) | ((F.col("fp") != F.col("head")) & (_apart("fp", "head") <= DISTANCE)))
     met = materialize(met, "anchored")
     star = materialize(met.where((F.col("fp") != F.col("head")) & (_apart("fp", "head") <= DISTANCE)).select(
         F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct(), "star-links")
     joined = components(star)
-    rest = met.where("homes > 1").join(joined, F.col("fp") == F.col("node"), "left").select(
+    rest = met.where("homes > 1").join(shuffled(joined), F.col("fp") == F.col("node"), "left").select(
         "key", "fp", "homes", F.coalesce("component", "fp").alias("c"))
     rest = materialize(rest, "placed")
-    mixed = rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = materialize(rest.join(mixed, "key").withColumn("home", _at_home("fp", "key")), "mixed-anchors")
-    discard(met, rest)
+    # stored, so that the join meets plain shuffles, of which Spark splits a crowded anchor's
+    mixed = materialize(rest.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"), "mixed-keys")
+    placed = materialize(rest.join(shuffled(mixed), "key").withColumn("home", _at_home("fp", "key")), "mixed-anchors")
+    discard(met, rest, mixed)
     few = placed.where(F.col("homes") <= FEW)
     x = few.where("home").select("key", F.col("fp").alias("a"), F.col("c").alias("ca"))
     y = few.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    pairs = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (_apart("a", "b") <= DISTANCE)).select("a", "b")
+    pairs = x.join(shuffled(y), "key").where((F.col("ca") != F.col("cb")) & (_apart("a", "b") <= DISTANCE)).select("a", "b")
     more = _crowded(placed.where(F.col("homes") > FEW))
     return star.unionByName(pairs).unionByName(more)
 
@@ -233,11 +235,11 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     links = linked(marks.select("fp"))
     # an id with several fingerprints is one document: they are linked
     several = named.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("hi")).where("a <> hi").select("doc_id", "a")
-    own = named.join(several, "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
+    own = named.join(shuffled(several), "doc_id").where("fp <> a").select("a", F.col("fp").alias("b"))
     joined = components(links.unionByName(own))
-    root = marks.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+    root = marks.join(shuffled(joined), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
     least = root.groupBy("c").agg(F.min("rep").alias("component_id"))
-    roots = materialize(root.join(least, "c").select(F.col("fp").alias("own"), "component_id"), "fingerprint-roots")
+    roots = materialize(root.join(shuffled(least), "c").select(F.col("fp").alias("own"), "component_id"), "fingerprint-roots")
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return signed.join(roots, F.col("fp") == F.col("own"), "left").select(
+    return signed.join(shuffled(roots), F.col("fp") == F.col("own"), "left").select(
         "doc_id", hexed, F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

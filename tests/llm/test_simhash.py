@@ -6,6 +6,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from faultline.functions import components
 from faultline.llm import queries, simhash
 from llm.helpers import ODD, SMALL, docs, lower_az, rows_of, words
 
@@ -124,3 +125,33 @@ def test_odd_rows_and_empty_table(spark):
 def test_query_is_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert rows_of(queries.op11(spark, SMALL)) == brute(rows)
+
+
+def test_rows_behind_an_explode_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes the anchors, 34 a fingerprint, by the file of the fingerprints."""
+    plans, kept = [], simhash.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    out = simhash.simhash_groups(docs(spark, ODD))
+    assert rows_of(out.select("doc_id", "fingerprint", "component_id")) == brute(ODD)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) >= 4 and not [p for p in joins if "BroadcastExchange" in p]
+
+
+def test_components_of_many_edges_are_not_broadcast(spark, monkeypatch):
+    plans, kept = [], components.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(components, "materialize", seen)
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 5)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20) if k != 9], "a long, b long")
+    assert sorted(tuple(r) for r in components.components(edges).collect()) == [(k, 0 if k < 10 else 10) for k in range(21)]
+    assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "BroadcastExchange" in p]

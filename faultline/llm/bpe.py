@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -102,6 +103,13 @@ class Vocabulary:
             ends[at] = k
         self.steps = IntMap(np.array([n * 256 + b for n, b in nodes], np.int64),
                             np.fromiter(nodes.values(), np.int32, len(nodes)))
+        #: Nodes behind the first byte and the first two, where most steps are taken.
+        self.one, self.two = np.full(1 << 8, NONE, np.int32), np.full(1 << 16, NONE, np.int32)
+        for (at, b), node in nodes.items():
+            if not at:
+                self.one[b] = node
+        for b in np.flatnonzero(self.one != NONE).tolist():
+            self.two[b << 8: b + 1 << 8] = self.steps.get(self.one[b].astype(np.int64) * 256 + np.arange(256))
         self.token_at = np.full(len(nodes) + 1, NONE, np.int32)
         self.token_at[list(ends)] = list(ends.values())
         made = np.flatnonzero(self.left != NONE)
@@ -142,7 +150,12 @@ class Vocabulary:
         at, node, length = np.arange(n), np.zeros(n, np.int64), 0
         starts, ends, tokens = [], [], []
         while len(at):
-            node = self.steps.get(node * 256 + data[at + length]).astype(np.int64)
+            if length == 0:
+                node = self.one[data]
+            elif length == 1:
+                node = self.two[data[at].astype(np.int64) << 8 | data[at + 1]]
+            else:
+                node = self.steps.get(node.astype(np.int64) * 256 + data[at + length])
             length += 1
             on = node != NONE
             at, node = at[on], node[on]
@@ -157,7 +170,7 @@ class Vocabulary:
             return np.zeros(0, np.int32)
         start, end, token = np.concatenate(starts), np.concatenate(ends), np.concatenate(tokens)
         size = end - head[start]                        # of the prefix that the token would end
-        order = np.argsort(size, kind="stable")
+        order = np.argsort(size.astype(np.uint16) if size.max() < 1 << 16 else size, kind="stable")
         start, end, token, size = start[order], end[order], token[order], size[order]
         edges = np.searchsorted(size, np.arange(1, int(size[-1]) + 2))
         last = np.full(n, NONE, np.int32)
@@ -278,7 +291,8 @@ class Memo:
 
     def _clear(self) -> None:
         self.held = 0
-        self.number: dict[bytes, int] = {}
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__      # a new piece gets the next number
         self.flat = np.zeros(1 << 16, np.uint16)
         self.off = np.zeros(1 << 14, np.int64)
 
@@ -292,17 +306,24 @@ class Memo:
         """(flat ids, offsets, which list each value has)."""
         if self.held > self.limit:
             self._clear()
-        new = [v for v in values if v not in self.number]
-        if new:
-            flat, off = self.encode(new)
-            have, used = len(self.number), int(self.off[len(self.number)])
+        have = len(self.number)
+        number = np.fromiter(map(self.number.__getitem__, values), np.int64, len(values))
+        if len(self.number) > have:
+            fresh = np.flatnonzero(number >= have)
+            fresh = fresh[np.unique(number[fresh], return_index=True)[1]]
+            new = [values[k] for k in fresh.tolist()]
+            try:
+                flat, off = self.encode(new)
+            except Exception:
+                self._clear()                                   # no number without its ids
+                raise
+            used = int(self.off[have])
             if flat.max(initial=0) > np.iinfo(self.flat.dtype).max:
                 self.flat = self.flat.astype(np.uint32)
             self._room("flat", used + len(flat))[used: used + len(flat)] = flat
             self._room("off", have + len(new) + 1)[have + 1: have + len(new) + 1] = off[1:] + used
-            self.number.update(zip(new, range(have, have + len(new)), strict=True))
             self.held += sum(map(len, new)) + ENTRY_BYTES * len(new) + 2 * len(flat)
-        return self.flat, self.off, np.fromiter(map(self.number.__getitem__, values), np.int64, len(values))
+        return self.flat, self.off, number
 
 
 def encode_texts(memo: Memo, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -43,6 +43,7 @@ COORDINATES = 40
 FEW, BLOCK = 32, 512
 #: Unless a caller says otherwise (op9), links have 100 * intersection >= PERCENT * union and MATCHES equal coordinates.
 PERCENT, MATCHES = 85, 21
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(col: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -58,18 +59,23 @@ def shingles(col: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     count = np.where(n > 0, n - width + 1, 0)
     begin = words.ranges(at[:-1], count)
     wide = np.repeat(width, count)
-    total = words.mix(wide.astype(np.uint64))
-    for k in range(size):
-        on = wide > k
-        total[on] = total[on] * np.uint64(0x9E3779B97F4A7C15) + word[begin[on] + k]
+    head = words.mix(np.arange(size + 1, dtype=np.uint64))
+    total = np.full(len(wide), head[size])
+    for k in range(size if len(wide) else 0):         # as if all shingles had all their words
+        total = total * _FACTOR + word.take(begin + k, mode="clip")
+    few = np.flatnonzero(wide < size)
+    total[few] = head[wide[few]]
+    for k in range(size if len(few) else 0):
+        on = few[wide[few] > k]
+        total[on] = total[on] * _FACTOR + word[begin[on] + k]
     total = words.mix(total)
-    doc = np.repeat(np.arange(len(n)), count)
-    order = np.lexsort((total, doc))
-    total, doc = total[order], doc[order]
+    edge = np.concatenate([[0], np.cumsum(count)])
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        total[a:b].sort()
     first = np.ones(len(total), bool)
-    first[1:] = (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])
-    total, doc = total[first], doc[first]
-    return total, np.searchsorted(doc, np.arange(len(n) + 1))
+    first[1:] = total[1:] != total[:-1]
+    first[edge[:-1][count > 0]] = True
+    return total[first], np.concatenate([[0], np.cumsum(first)])[edge]
 
 
 def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -85,8 +91,10 @@ def signatures(df: DataFrame, doc_id: str, text: str) -> DataFrame:
             if len(some):
                 for k in range(2):
                     name[k, some] = np.add.reduceat(words.mix(total + np.uint64(k + 1)), heads)
+                base, key = total ^ (total >> np.uint64(29)), np.empty_like(total)
                 for k in range(COORDINATES):
-                    key = (total ^ (total >> np.uint64(29))) * _odd(2 * k) + _odd(2 * k + 1)
+                    np.multiply(base, _odd(2 * k), out=key)
+                    np.add(key, _odd(2 * k + 1), out=key)
                     least = np.minimum.reduceat(key, heads)
                     sig[some, k] = (words.mix(least) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * COORDINATES),

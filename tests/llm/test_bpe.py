@@ -115,3 +115,27 @@ def test_memory_of_pieces_is_bounded_by_bytes(vocab):
     for k in range(20):
         memo.lists([b"piece%d" % k, b"x" * 300])
         assert memo.held <= 1000 + 2 * (300 + 40 + bpe.ENTRY_BYTES) + 400
+
+
+def test_memory_looks_a_piece_up_once(vocab):
+    class Piece(bytes):
+        looked = 0
+
+        def __hash__(self):
+            Piece.looked += 1
+            return bytes.__hash__(self)
+
+    said = [Piece(b"piece%d" % k) for k in range(50)] + [Piece(b"piece3")]
+    memo = bpe.Memo(vocab.encode_pieces)
+    for _ in range(2):
+        before = Piece.looked
+        flat, off, number = memo.lists(said)
+        assert [flat[off[n]: off[n + 1]].tolist() for n in number] == [vocab.encode_pieces([v])[0].tolist() for v in map(bytes, said)]
+    assert number[50] == number[3] and Piece.looked - before == len(said)      # known ones; not once for 'in' and once more
+    memo.encode = None
+    for _ in range(2):
+        try:
+            memo.lists([b"new"])
+            raise AssertionError
+        except TypeError:
+            assert not memo.number                            # a piece that was not encoded is not remembered

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 from faultline.functions.components import components
@@ -102,3 +103,13 @@ def test_long_chain_is_one_component(spark):
     got = components(edges).collect()
     assert len(got) == 301 and {r["component"] for r in got} == {0}
     assert components(edges.limit(0)).count() == 0
+
+
+def test_shingles_are_sorted_text_by_text(monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(200)] + [None, "", "a", "A b", "x " * 40]
+    alone = [neardup.shingles(pa.array([t], pa.string()))[0].tolist() for t in texts]
+    monkeypatch.setattr(np, "lexsort", None)
+    total, off = neardup.shingles(pa.array(texts, pa.string()))
+    assert [total[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == alone == [sorted(set(x)) for x in alone]
+    assert [len(x) for x in alone] == [len(shingle_set(t)) for t in texts]
